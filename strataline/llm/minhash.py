@@ -56,8 +56,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and the number of words up to each text's end."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of the texts that lie in `data` between offsets, and where it starts."""
     space = _SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -76,18 +76,24 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         n = int(np.searchsorted(-alive, -j, side="left"))
     out = np.empty_like(h)
     out[order] = h
-    return out, np.searchsorted(start, offsets)
+    return out, start
 
 
-def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts one after another, and where each text's begin (one more than texts)."""
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, and where each begins (one more than texts); null counts as empty."""
     if texts.null_count:
         texts = texts.fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts one after another, and where each text's begin (one more than texts)."""
+    data, offsets = text_bytes(texts)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    words, upto = _words(data, offsets - offsets[0])
+    words, start = word_hashes(data, offsets)
+    upto = np.searchsorted(start, offsets)
     count = np.diff(upto)
     g = np.full(max(len(words) - shingle + 1, 0), np.uint64(shingle))
     for k in range(shingle):
@@ -145,7 +151,7 @@ def band_keys(hashes: np.ndarray, at: np.ndarray, bands: int, rows: int) -> np.n
     return key
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Parts of about `most` bytes of text; a longer text comes alone."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
     a = 0
@@ -167,7 +173,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in text_slices(whole):
                 hashes, at = shingle_sets(batch.column("text"), shingle)
                 size = np.diff(at)
                 some = size > 0
@@ -187,7 +193,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in text_slices(whole):
                 hashes, at = shingle_sets(batch.column("text"), shingle)
                 a, b = _identity(hashes, at)
                 six = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 2:]).ravel()

@@ -24,6 +24,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.llm import sharding
 
@@ -43,6 +49,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.llm import quality
+
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.llm import line_dedup
 
