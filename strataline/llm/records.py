@@ -4,8 +4,8 @@ Layout of a record file, integers little-endian:
 
     u64 n | u32 masked checksum of those 8 bytes | n payload bytes | u32 masked checksum of the payload
 
-The payload is one flag byte (1: the document's id is null), the i64 id and
-the u32 token ids.  A masked checksum is the CRC-32 of the bytes, rotated
+The payload is one flag byte (1: the document's id is null, 2: ids take two
+bytes, which they do if the largest fits), the i64 id and the token ids.  A masked checksum is the CRC-32 of the bytes, rotated
 right by 15 bits, plus a constant, so that checksums of data that itself holds
 checksums stay sound.  Beside each file `x.rec` lies `x.idx`: for each record
 its u64 offset and u64 whole length, so that a reader can take records in any
@@ -72,12 +72,15 @@ def unframe(f) -> bytes | None:
 
 
 def to_payload(doc_id: int | None, ids: np.ndarray) -> bytes:
-    return _FIXED.pack(doc_id is None, doc_id or 0) + ids.astype("<u4").tobytes()
+    short = not len(ids) or int(ids.max()) < 1 << 16
+    return _FIXED.pack((doc_id is None) + 2 * short, doc_id or 0) + ids.astype("<u2" if short else "<u4").tobytes()
 
 
 def of_payload(payload: bytes) -> tuple[int | None, bytes]:
-    absent, doc_id = _FIXED.unpack_from(payload)
-    return (None if absent else doc_id), payload[_FIXED.size :]
+    """The id, and the token ids as little-endian u32."""
+    flags, doc_id = _FIXED.unpack_from(payload)
+    ids = payload[_FIXED.size :]
+    return (None if flags & 1 else doc_id), np.frombuffer(ids, "<u2").astype("<u4").tobytes() if flags & 2 else ids
 
 
 def _store(uri: str):
