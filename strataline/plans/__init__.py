@@ -1 +1,6 @@
-"""plans of strataline."""
+"""Named queries over the driver's tables, each with its SQL where SQL can state it."""
+
+from strataline.plans import aggregates, joins, listing  # noqa: F401
+from strataline.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
