@@ -50,7 +50,8 @@ def dedup(docs: DataFrame, size: int = 3) -> DataFrame:
     """`docs` with `text` rid of later occurrences, and after its columns n_lines and n_removed (prefixed with line_ where df has such names)."""
     new = [f"line_{n}" if n in {c.lower() for c in docs.columns} else n for n in ("n_lines", "n_removed")]
     gone = covered(docs, size).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (fingerprint(F.col("text")) == F.col("__print")), "left")
+    # a merge join at every size: what is covered grows with the corpus
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (fingerprint(F.col("text")) == F.col("__print")), "left")
     split = joined.withColumn("__lines", F.split("text", "\n"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> get(__lines, i)), '\\n')"))
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size("__lines")), F.lit(0)).cast("long")
