@@ -162,7 +162,12 @@ def read(manifest: DataFrame, digest_only: bool = False) -> DataFrame:
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    return placed.repartition("file").mapInArrow(read_files, schema)
+    return _dealt(placed).mapInArrow(read_files, schema)
+
+
+def _dealt(manifest: DataFrame) -> DataFrame:
+    """The manifest with about a task for each file: its rows are few and small, so adaptive execution would put them into one."""
+    return manifest.repartition(max(1, manifest.count()), "file")
 
 
 def _batch(rows: list[tuple], digest_only: bool) -> pa.RecordBatch:
@@ -183,7 +188,7 @@ def index(manifest: DataFrame) -> DataFrame:
                 n = len(at)
                 yield pa.RecordBatch.from_pydict({"file": [row["file"]] * n, "part": pa.array([row["part"]] * n, pa.int32()), "ordinal": np.arange(n), "at": at[:, 0], "n_bytes": at[:, 1]})
 
-    return manifest.mapInArrow(read_index, "file string, part int, ordinal long, at long, n_bytes long")
+    return _dealt(manifest).mapInArrow(read_index, "file string, part int, ordinal long, at long, n_bytes long")
 
 
 def read_shuffled(manifest: DataFrame, seed: int = 0) -> DataFrame:
