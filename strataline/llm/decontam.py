@@ -34,6 +34,9 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+_WORDS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), R'{WORD}', 0)"
+
+
 def _hash_at(hashes: str, i: str, n: int) -> str:
     return f"xxhash64({', '.join(f'get({hashes}, {i} + {k})' for k in range(n))})"
 
@@ -48,6 +51,17 @@ def item_windows(items: DataFrame, window: int = 10) -> DataFrame:
     return rows.select("item_id", "n", F.array_join("w", " ").alias("said"), hashed.alias("h")).select("item_id", "n", "said", by_length.alias("hash")).distinct()
 
 
+def _windows(scratch: Scratch, items: DataFrame, window: int, most: int) -> tuple[DataFrame, list[int], bool]:
+    """The saved windows, the lengths they have, and whether their hashes may go into the plan."""
+    bench = scratch.save(item_windows(items, window), "windows")
+    lengths = sorted(r.n for r in bench.select("n").distinct().collect())  # at most `window` numbers
+    return bench, lengths, bench.select("n", "hash").distinct().count() <= most
+
+
+def _hashes(bench: DataFrame, n: int) -> str:
+    return ", ".join(f"{r.hash}L" if r.hash > -(1 << 63) else "(-9223372036854775807L - 1L)" for r in bench.where(F.col("n") == n).select("hash").distinct().collect())
+
+
 def scan(docs: DataFrame, items: DataFrame, window: int = 10, most: int = MOST_HASHES) -> tuple[DataFrame, DataFrame]:
     """Saves two tables.
 
@@ -56,15 +70,12 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, most: int = MOST_H
     occurrence), item_ids (sorted strings), a row for each hit (doc_id, print).
     """
     scratch = Scratch(docs.sparkSession, "decontam")
-    bench = scratch.save(item_windows(items, window), "windows")
-    lengths = sorted(r.n for r in bench.select("n").distinct().collect())  # at most `window` numbers
-    small = bench.select("n", "hash").distinct().count() <= most
+    bench, lengths, small = _windows(scratch, items, window, most)
     rows = need(docs, "doc_id", "text").select("doc_id", fingerprint(F.col("text")).alias("print"), words_of(F.col("text")).alias("words"))
     hashed = rows.select("*", F.expr("transform(words, x -> xxhash64(x))").alias("h"))
     said = "array_join(slice(words, i + 1, {n}), ' ')"
     if small:
-        known = {n: [r.hash for r in bench.where(F.col("n") == n).select("hash").distinct().collect()] for n in lengths}
-        found = [f"if(size(words) >= {n}, transform(filter(sequence(0, size(words) - {n}), i -> {_hash_at('h', 'i', n)} in ({', '.join(f'{x}L' if x > -(1 << 63) else '(-9223372036854775807L - 1L)' for x in known[n])})), i -> struct(i as at, {n} as n, {said.format(n=n)} as said)), array())" for n in lengths]
+        found = [f"if(size(words) >= {n}, transform(filter(sequence(0, size(words) - {n}), i -> {_hash_at('h', 'i', n)} in ({_hashes(bench, n)})), i -> struct(i as at, {n} as n, {said.format(n=n)} as said)), array())" for n in lengths]
         spots = F.expr(f"concat({', '.join(found)})") if found else F.expr("array()").cast("array<struct<at:int,n:int,said:string>>")
         base = scratch.save(hashed.select("doc_id", "print", F.size("words").cast("long").alias("n_words"), spots.alias("spots")), "base")
         spotted = base.where("size(spots) > 0").select("doc_id", "print", F.explode("spots").alias("s")).select("doc_id", "print", "s.*")
@@ -101,11 +112,24 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10, most: int = MOST
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, most: int = MOST_HASHES, least_share: float = 0.0) -> DataFrame:
-    """`docs` without the documents of which more than least_share of the words are hit; all columns stay."""
+    """`docs` without the documents of which more than least_share of the words are hit; all columns stay.
+
+    If any hit counts and the windows fit into the plan, documents are tested
+    in place and no text is shuffled; else they are joined with the hits.
+    """
+    scratch = Scratch(docs.sparkSession, "decontam")
+    bench, lengths, small = _windows(scratch, items, window, most)
+    if not least_share and small:
+        if not lengths:
+            return docs
+        said = {n: ", ".join(f"'{r.said}'" for r in bench.where(F.col("n") == n).select("said").distinct().collect()) for n in lengths}  # words hold no quotes
+        tests = [f"(size(w) >= {n} and exists(sequence(0, size(w) - {n}), i -> {_hash_at('h', 'i', n)} in ({_hashes(bench, n)}) and array_join(slice(w, i + 1, {n}), ' ') in ({said[n]})))" for n in lengths]
+        # w and h are bound once a row; as columns they would be computed anew for each i when the filter is pushed down
+        return docs.where(f"not exists(array({_WORDS_SQL}), w -> exists(array(transform(w, x -> xxhash64(x))), h -> {' or '.join(tests)}))")
     base, hits = scan(docs, items, window, most)
     bad = base.alias("b").join(hits.alias("h"), F.expr("b.doc_id <=> h.doc_id and b.print = h.print")).where(F.size("h.hit_words") > F.lit(least_share) * F.col("n_words"))
     bad = bad.select(F.col("b.doc_id").alias("__id"), F.col("b.print").alias("__print")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (fingerprint(F.col("text")) == F.col("__print")), "left_anti")
+    return docs.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (fingerprint(F.col("text")) == F.col("__print")), "left_anti")
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, window: int = 10, most: int = MOST_HASHES) -> DataFrame:

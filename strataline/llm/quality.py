@@ -227,25 +227,43 @@ def described(docs: DataFrame) -> DataFrame:
     return told.mapInArrow(describe, "doc_id long, print string, held_out boolean, x array<double>")
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, print, held_out, score, predicted for every row."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    shaped = scratch.save(described(docs), "shapes")
+def train(shaped: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Weights from the training fold of described documents and the labels of it."""
     trusted = need(labels, "doc_id", "quality").where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     training = shaped.where("not held_out")
     n_p, m_p, s_p = moments(training.join(trusted, "doc_id", "left_semi"))
     n_u, m_u, s_u = moments(training)
-    w = minimise(estimated_prior(m_p, m_u), m_p, s_p, m_u, s_u) if n_p and n_u else np.zeros(N_BASIS)
+    return minimise(estimated_prior(m_p, m_u), m_p, s_p, m_u, s_u) if n_p and n_u else np.zeros(N_BASIS)
+
+
+def chances(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.clip((1 + basis(x) @ w) / 2, 0, 1)
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, print, held_out, score, predicted for every row."""
+    shaped = Scratch(docs.sparkSession, "quality").save(described(docs), "shapes")
+    w = train(shaped, labels)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.clip((1 + basis(_numbers(batch)) @ w) / 2, 0, 1)
+            p = chances(_numbers(batch), w)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "print": batch.column("print"), "held_out": batch.column("held_out"), "score": p, "predicted": pa.array((p >= 0.5).astype(np.int32))})
 
     return shaped.mapInArrow(judge, "doc_id long, print string, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs`, all columns, without the documents that the classifier rejects."""
-    bad = score(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (fingerprint(F.col("text")) == F.col("__print")), "left_anti")
+    """`docs`, all columns, without the documents that the classifier rejects.
+
+    Texts are described once more where they are, which costs less than
+    shuffling them to meet their scores.
+    """
+    w = train(Scratch(docs.sparkSession, "quality").save(described(docs), "shapes"), labels)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole):
+                yield batch.filter(pa.array(chances(shapes(batch.column("text")), w) >= 0.5))
+
+    return docs.mapInArrow(judge, docs.schema)
