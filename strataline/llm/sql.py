@@ -1,3 +1,40 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express over whole tables."""
 
-ORACLE: dict[str, str] = {}
+_LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TOKENS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+LINE_DEDUP = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents),
+w AS (SELECT doc_id, i AS line, x[i + 1] AS a, x[i + 2] AS b, x[i + 3] AS c FROM l, unnest(range(0, len(x) - 2)) t(i) WHERE trim(x[i + 1]) <> '' OR trim(x[i + 2]) <> '' OR trim(x[i + 3]) <> ''),
+later AS (SELECT doc_id, line FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, line) AS nth FROM w) WHERE nth > 1),
+gone AS (SELECT doc_id, list(DISTINCT line + k) AS lines FROM later, unnest([0, 1, 2]) u(k) GROUP BY doc_id)
+SELECT l.doc_id, len(x) AS n_lines, coalesce(len(lines), 0) AS n_removed,
+CASE WHEN lines IS NULL THEN array_to_string(x, chr(10)) ELSE array_to_string(list_transform(list_filter(range(0, len(x)), lambda i: NOT list_contains(lines, i)), lambda i: x[i + 1]), chr(10)) END AS text
+FROM l LEFT JOIN gone USING (doc_id)"""
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(_LOW.format('text'))} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS.format(_LOW.format('text'))} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i + 1:i + least(len(w), 10)], ' ') AS said FROM b, unnest(range(0, len(w) - least(len(w), 10) + 1)) t(i) WHERE len(w) > 0),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i + 1:i + n], ' ') AS said FROM d, (SELECT DISTINCT n FROM bw) s, unnest(range(0, len(w) - n + 1)) t(i) WHERE len(w) >= n),
+h AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, said)),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM h, unnest(range(0, n)) t(k) GROUP BY doc_id),
+s AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+#: Every two documents that share a shingle are counted, exactly and without signatures.
+NEAR_DEDUP = f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_TOKENS.format(_LOW.format('text'))} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(w[i + 1], w[i + 2]) AS g FROM t, unnest(range(0, len(w) - 1)) u(i) WHERE len(w) >= 2 UNION ALL SELECT doc_id, hash(w[1]) FROM t WHERE len(w) = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both_ >= 80 * (a.n + b.n - both_)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM r JOIN both_ways b ON b.x = r.y),
+c AS (SELECT x, min(y) AS y FROM r GROUP BY 1)
+SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(y, t.doc_id)) AS component_id, t.doc_id = least(t.doc_id, coalesce(y, t.doc_id)) AS kept
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = t.doc_id"""
+
+ORACLE: dict[str, str] = {"op8_line_dedup": LINE_DEDUP, "op9_decontamination": DECONTAMINATION, "op10_minhash_near_dedup": NEAR_DEDUP}
