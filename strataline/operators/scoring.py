@@ -132,7 +132,9 @@ def gate(title: Column, description: Column, in_country: Column, most_years: int
     code = lambda cond, name: F.when(F.coalesce(cond, F.lit(False)), F.lit(name))
     codes = F.array_compact(F.array(code(family == "OTHER", "NON_TARGET_ROLE"), code(~in_country, "OUTSIDE_US"), code(years >= most_years, "EXPERIENCE_TOO_HIGH"), *[code(where[w].rlike(p), name) for name, w, p in CHECKS]))
     notes = F.array_compact(F.array(F.lit("NO_HARD_BLOCKER"), code(F.length(F.trim(where["description"])) < 400, "REQUIREMENTS_NOT_VERIFIED"), code(where["title"].rlike(r"(?i)\b(?:new grad|graduate|university)\b"), "NEW_GRAD_TITLE"), code(where["title"].rlike(r"(?i)\b(?:early career|entry[\s-]level|junior|associate)\b"), "EARLY_CAREER_SIGNAL")))
-    return F.struct(F.when(F.size(codes) > 0, "REJECT").otherwise("PASS").alias("status"), F.when(F.size(codes) > 0, codes).otherwise(notes).alias("codes"))
+    # bound once, so that the rules run once a row
+    told = F.transform(F.array(F.struct(codes.alias("no"), notes.alias("yes"))), lambda s: F.struct(F.when(F.size(s["no"]) > 0, "REJECT").otherwise("PASS").alias("status"), F.when(F.size(s["no"]) > 0, s["no"]).otherwise(s["yes"]).alias("codes")))
+    return F.get(told, 0)
 
 
 #: Message intents, in order of precedence.

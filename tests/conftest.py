@@ -1,5 +1,7 @@
 import os
+import shutil
 import sys
+import tempfile
 
 import pytest
 
@@ -16,6 +18,7 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+    shutil.rmtree(os.path.join(tempfile.gettempdir(), "strataline-shared"), ignore_errors=True)
 
 
 @pytest.fixture(scope="session")
