@@ -9,11 +9,13 @@ hashed to bucket keys.
 
 Candidates.  Texts with equal sets are one node from the start.  In each
 bucket the member that shares most bucket places with others is the centre of
-a star; it is compared with all members that are not yet in its component, on
-the full sets.  Then it leaves the bucket, and while a bucket still holds more
-than one component the next centre is taken.  So every two members of a bucket
-are either compared or already connected, yet a bucket of copies costs one
-star and not all pairs.
+a star, and it alone is compared with the others, on the full sets.  That
+connects nearly all true groups.  Where a bucket still holds several
+components, its members outside the largest one are searched for links among
+all members of such buckets by their rarest shingles: two sets of similarity
+t share one of the |s| - ceil(t |s|) + 1 first shingles of each in any common
+order, so with rare ones first few pairs are left to compare, and none is
+lost.  A bucket of copies, or of copies of copies, never costs all its pairs.
 
 What remains to chance is that two texts at the threshold share no band:
 0.8^5 a band, (1 - 0.328)^36 = 6e-7 in all.
@@ -40,6 +42,9 @@ from strataline.session import Scratch
 
 BANDS, ROWS = 36, 5
 
+#: Cells of the table of shingle counts that orders shingles by rarity: 8 MB, whatever the corpus.
+CELLS = 1 << 20
+
 #: Largest number of ids that is broadcast to pick texts (16 bytes each in the hash table).
 MOST_IDS = 1_000_000
 
@@ -223,8 +228,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    x = sets.select(F.col("node").alias("u"), F.col("hashes").alias("x"))
-    y = sets.select(F.col("node").alias("v"), F.col("hashes").alias("y"))
+    x = sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")).hint("merge")
+    y = sets.select(F.col("node").alias("v"), F.col("hashes").alias("y")).hint("merge")
     return pairs.select("u", "v").join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(test, "u struct<a:long,b:long>, v struct<a:long,b:long>")
 
 
@@ -249,42 +254,80 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
+def rare_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: pairs of nodes of open_ (node, comp, astray) in different components, one of them astray, that share a shingle of their rarest."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for x in batch.column("hashes"):
+                np.add.at(total, (_decoded(x.as_py()) % CELLS).astype(np.int64), 1)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"cell": cell, "n": total[cell]})
+
+    held = open_.join(sets.hint("merge"), "node")
+    counts = np.zeros(CELLS, np.int64)
+    for r in held.select("hashes").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.cell] = r.n
+    shared = open_.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, sh, size, place = [], [], [], []
+            for i, x in enumerate(batch.column("hashes")):
+                h = _decoded(x.as_py())
+                n = len(h)
+                k = n - (percent * n + 99) // 100 + 1
+                sh.append(h[np.lexsort((h, rare[(h % CELLS).astype(np.int64)]))[:k]].view(np.int64))
+                row.append(np.full(len(sh[-1]), i))
+                size.append(np.full(len(sh[-1]), n))
+                place.append(np.arange(len(sh[-1])))
+            at = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(sh), "n": np.concatenate(size), "place": np.concatenate(place)} | {c: batch.column(c).take(at) for c in ("node", "comp", "astray")})
+
+    node = "struct<a:long,b:long>"
+    rows = held.mapInArrow(first, f"shingle long, n long, place long, node {node}, comp {node}, astray boolean")
+    x, y = rows.where("astray").alias("x"), rows.alias("y")
+    # with sizes n and m they share `both` shingles at least, so one among the first n - both + 1 of one and m - both + 1 of the other
+    both = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent) - 1e-9)
+    first_ones = (F.col("x.place") <= F.col("x.n") - both) & (F.col("y.place") <= F.col("y.n") - both)
+    met = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where((F.col("x.comp") != F.col("y.comp")) & first_ones)
+    return met.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
+
+
 def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, print, n_shingles, component_id, kept for every row."""
     scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.save(signatures(docs, shingle, bands, rows), "signatures")
     told = signed.where("n_shingles > 0 and doc_id is not null")
     nodes = scratch.save(told.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
-    placed = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
+    placed = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = scratch.save(placed.join(shared, "bucket"), "members")
+    members = scratch.save(placed.join(shared.hint("merge"), "bucket"), "members")
     hubs = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = scratch.save(members.join(hubs, "node").select("bucket", "node", "n", "weight"), "members")
-    sets = scratch.save(full_sets(docs, nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")), shingle).dropDuplicates(["node"]), "sets")
-    comps = links = None
-    while True:
-        labelled = members.withColumn("comp", F.col("node")) if comps is None else members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        top = F.max(F.struct("weight", "node", "n", "comp"))
-        centres = labelled.groupBy("bucket").agg(top.alias("top"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("bucket", F.col("top.node").alias("c"), F.col("top.n").alias("c_n"), F.col("top.comp").alias("c_comp"))
-        centres = scratch.save(centres, "centres")
-        if not centres.limit(1).count():
-            break
-        open_ = labelled.join(centres, "bucket").where("node <> c")
-        rest = scratch.save(open_.select("bucket", "node", "n", "weight", "c", "c_n", "comp", "c_comp"), "members")
-        alike = rest.where("comp <> c_comp").where(F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent)
-        pairs = alike.select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
-        found = scratch.save(confirmed(pairs, sets, percent), "links")
-        members = rest.select("bucket", "node", "n", "weight")
-        if found.limit(1).count():
-            links = found if links is None else links.union(found)
-            comps = components(links, scratch)
+    hubs = scratch.save(hubs.join(nodes.select("node", "n", "rep"), "node"), "hubs")
+    sets = scratch.save(full_sets(docs, hubs.select(F.col("rep").alias("doc_id")), shingle).join(hubs.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    weighed = members.select("bucket", "node").join(hubs.select("node", "n", "weight"), "node")
+    top = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("c")).select("bucket", F.col("c.node").alias("c"), F.col("c.n").alias("c_n"))
+    near = F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent
+    stars = weighed.join(top, "bucket").where((F.col("node") != F.col("c")) & near).select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
+    links = scratch.save(confirmed(stars, sets, percent), "links")
+    comps = components(links, scratch)
+    # buckets that hold several components, and who is outside the largest one there
+    labelled = members.select("bucket", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    open_ = parts.groupBy("bucket").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("most.comp").alias("main"))
+    astray = labelled.join(open_, "bucket").groupBy("node", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("astray"))
+    pairs = rare_pairs(scratch.save(astray, "open"), sets, percent)
+    links = scratch.save(confirmed(pairs, sets, percent).union(links), "links")
+    comps = components(links, scratch)
     # smallest id of each component; nodes without links stand for themselves
-    if comps is None:
-        named = nodes.select("node", F.col("rep").alias("component_id"))
-    else:
-        least = comps.join(nodes, "node").groupBy("comp").agg(F.min("rep").alias("component_id"))
-        of = comps.join(least, "comp").select("node", "component_id")
-        named = nodes.join(of, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    least = comps.join(nodes, "node").groupBy("comp").agg(F.min("rep").alias("component_id"))
+    of = comps.join(least, "comp").select("node", "component_id")
+    named = nodes.join(of, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "print", "n_shingles", F.col("doc_id").alias("component_id"))
     every = told.join(named, "node").select("doc_id", "print", "n_shingles", "component_id").union(rest)
     return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -293,4 +336,5 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BA
 def dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """`docs`, all columns, with one document of each group."""
     gone = groups(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct()
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__id")) & (fingerprint(F.col("text")) == F.col("__print")), "left_anti")
+    # a merge join at every size: what goes grows with the corpus
+    return docs.join(gone.hint("merge"), (F.col("doc_id").cast("long") == F.col("__id")) & (fingerprint(F.col("text")) == F.col("__print")), "left_anti")
