@@ -52,8 +52,9 @@ def dedup(docs: DataFrame, size: int = 3) -> DataFrame:
     gone = covered(docs, size).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("gone").alias("__gone"))
     # a merge join at every size: what is covered grows with the corpus
     joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (fingerprint(F.col("text")) == F.col("__print")), "left")
-    split = joined.withColumn("__lines", F.split("text", "\n"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> get(__lines, i)), '\\n')"))
-    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size("__lines")), F.lit(0)).cast("long")
+    # the lines are bound once a row; as a column they would be split anew for each line where a filter on the text is pushed down
+    left = F.expr("get(transform(array(split(text, '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), __gone), i -> get(l, i)), '\n')), 0)")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
+    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))), F.lit(0)).cast("long")
     n_gone = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long")
-    return split.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], n_lines.alias(new[0]), n_gone.alias(new[1]))
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], n_lines.alias(new[0]), n_gone.alias(new[1]))
