@@ -40,6 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Most bytes of rows in one Arrow batch while a table is saved; a longer row comes alone.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 class Scratch:
     """Tables and folders under the shared folder that cut lineage within one run.
 
@@ -57,8 +62,14 @@ class Scratch:
         return f"{self.root}/{self.count:03d}-{name}"
 
     def save(self, df: DataFrame, name: str = "table") -> DataFrame:
+        """Writes df and reads it back; Python workers are handed batches of bounded size meanwhile, whatever the length of rows."""
         path = self.folder(name)
-        df.write.parquet(path)
+        kept = self.spark.conf.get(_BATCH_SETTING)
+        self.spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH_SETTING, kept)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._strataline_path = path
         return out
