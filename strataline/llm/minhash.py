@@ -156,14 +156,19 @@ def band_keys(hashes: np.ndarray, at: np.ndarray, bands: int, rows: int) -> np.n
     return key
 
 
-def text_slices(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Parts of about `most` bytes of text; a longer text comes alone."""
+def text_slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of about `most` bytes of text; a longer text comes alone.
+
+    Afterwards Arrow's freed memory goes back to the system, as the worker
+    lives on beside the ones of later stages.
+    """
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
     a = 0
     while a < batch.num_rows:
         b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, side="right")))
         yield batch.slice(a, b - a)
         a = b
+    pa.default_memory_pool().release_unused()
 
 
 def _identity(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,6 +232,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     x = sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")).hint("merge")
     y = sets.select(F.col("node").alias("v"), F.col("hashes").alias("y")).hint("merge")

@@ -32,7 +32,7 @@ def _byte_letters() -> str:
 class PieceEncoder:
     """Remembers at most about `cap` pieces, or 5 * `cap` ids, and starts anew beyond."""
 
-    def __init__(self, path: str, cap: int = 1_000_000):
+    def __init__(self, path: str, cap: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -124,6 +124,7 @@ class PieceEncoder:
             k, counts = slots[keep], np.where(pc.binary_length(texts).to_numpy() > 0, counts, 0)
         ids, ends = self._gather(k)
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        pa.default_memory_pool().release_unused()
         return ids, np.diff(upto)
 
     def _slots_or_none(self, firsts: list[str]) -> np.ndarray:
