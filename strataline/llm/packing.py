@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.llm.common import need
+from strataline.llm.minhash import text_slices
 from strataline.llm.tokens import default_tokenizer, encoder
 from strataline.session import Scratch
 
@@ -97,10 +99,10 @@ def pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None,
         from pyspark import TaskContext
 
         enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in chain.from_iterable(map(text_slices, batches)):
             ids, lens = enc.encode(batch.column("text"))
             ends = np.cumsum(lens)
-            whole = ids.astype("<u4")
+            ids = ids.astype("<u4")
             n = lens + 1
             count = -(-n // capacity)
             doc = np.repeat(np.arange(len(n)), count)
@@ -112,7 +114,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None,
             end = np.minimum(begin + length, ends[doc])
             tail = np.array([end_id], "<u4").tobytes()
             last = piece == count[doc] - 1
-            data = [whole[a:b].tobytes() + (tail if z else b"") for a, b, z in zip(begin, end, last, strict=True)]
+            data = [ids[a:b].tobytes() + (tail if z else b"") for a, b, z in zip(begin, end, last, strict=True)]
             rank = np.zeros(len(doc), np.int64)
             order = np.argsort(length, kind="stable")
             kinds, at, sizes = np.unique(length[order], return_index=True, return_counts=True)

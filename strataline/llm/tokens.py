@@ -10,6 +10,7 @@ it separately).  The ids equal those of encoding the whole text at once.
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import chain
 
@@ -33,6 +34,7 @@ class PieceEncoder:
     """Remembers at most about `cap` pieces, or 5 * `cap` ids, and starts anew beyond."""
 
     def __init__(self, path: str, cap: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would hold memory of its own
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
