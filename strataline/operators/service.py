@@ -86,7 +86,9 @@ def link_messages(messages: DataFrame, applications: DataFrame) -> DataFrame:
         left, right = m, a
         for u in usable:
             left, right = left.where(u), right.where(u)
-        hit = left.select("message_id", *keys).join(right.select("key", *keys), keys).groupBy("message_id").agg(F.count_distinct("key").alias("n"), F.min("key").alias("key")).select("message_id", F.lit(rank).alias("rank"), F.lit(reason).alias("reason"), "n", "key")
+        held = right.groupBy(*keys).agg(F.min("key").alias("key"), F.max("key").alias("last"))  # a row for each value, however many applications have it
+        hit = left.select("message_id", *keys).join(held, keys).groupBy("message_id").agg(F.min("key").alias("key"), F.max("last").alias("last"))
+        hit = hit.select("message_id", F.lit(rank).alias("rank"), F.lit(reason).alias("reason"), F.when(F.col("key").isNull(), 0).when(F.col("key") == F.col("last"), 1).otherwise(2).alias("n"), "key")
         found = hit if found is None else found.unionByName(hit)
     first = found.groupBy("message_id").agg(F.min(F.struct("rank", "reason", "n", "key")).alias("f"))
     out = messages.select("message_id").join(first, "message_id", "left")

@@ -98,13 +98,21 @@ def inventory_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey FROM orders WHERE o_orderkey % 13 = 0 AND (o_orderstatus || ':' || o_custkey) <> (CASE WHEN o_orderkey % 26 = 0 THEN 'X' ELSE o_orderstatus END || ':' || o_custkey)""")
 def inventory_same_key_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 13 = 0")
+    return _key_diff(table(spark, sf_dir, "orders").where("o_orderkey % 13 = 0"))
+
+
+def _key_diff(orders: DataFrame) -> DataFrame:
     key = lambda status: F.concat_ws(":", status, F.col("o_custkey").cast("string"))
     a = orders.select("o_orderkey", key(F.col("o_orderstatus")).alias("ka"))
     b = orders.select("o_orderkey", key(F.when(F.col("o_orderkey") % 26 == 0, "X").otherwise(F.col("o_orderstatus"))).alias("kb"))
     return a.join(b, "o_orderkey", "full_outer").where(~F.col("ka").eqNullSafe(F.col("kb"))).select("o_orderkey")
 
 
+@query("""SELECT o_orderkey FROM orders WHERE (o_orderstatus || ':' || o_custkey) <> (CASE WHEN o_orderkey % 26 = 0 THEN 'X' ELSE o_orderstatus END || ':' || o_custkey)""")
+def inventory_same_key_diff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _key_diff(table(spark, sf_dir, "orders"))
+
+
 @query("""SELECT user_id, event_id, value, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, ts DESC, event_id DESC) AS place FROM events) WHERE place <= 3""")
 def topn_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.desc_nulls_last("value"), F.desc("ts"), F.desc("event_id")]

@@ -82,13 +82,22 @@ def employer_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey < 3000), n AS (SELECT o_custkey, count(*) AS n FROM a GROUP BY 1), t AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS k FROM a GROUP BY ALL)
 SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey WHEN t.n = 1 THEN t.k END AS application_key, CASE WHEN o_orderkey % 3 = 0 THEN 'link' WHEN t.n = 1 THEN 'title' ELSE 'several' END AS reason FROM a JOIN t USING (o_custkey, o_orderpriority)""")
 def message_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 3000")
+    return _links(table(spark, sf_dir, "orders").where("o_orderkey < 3000"))
+
+
+def _links(rows: DataFrame) -> DataFrame:
     link, company = F.concat(F.lit("https://x.com/"), F.col("o_orderkey").cast("string")), F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
     base = rows.select(F.col("o_orderkey").alias("key"), company.alias("company"), link.alias("link"), F.lit(None).cast("long").alias("job_id"), F.col("o_orderpriority").alias("title"))
     mail = base.select(F.col("key").alias("message_id"), "company", F.when(F.col("key") % 3 == 0, F.col("link")).alias("link"), "job_id", "title")
     return service.link_messages(mail, base)
 
 
+@query("""WITH t AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS k FROM orders GROUP BY ALL)
+SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey WHEN t.n = 1 THEN t.k END AS application_key, CASE WHEN o_orderkey % 3 = 0 THEN 'link' WHEN t.n = 1 THEN 'title' ELSE 'several' END AS reason FROM orders JOIN t USING (o_custkey, o_orderpriority)""")
+def message_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(table(spark, sf_dir, "orders"))
+
+
 @query("""SELECT count(*) AS listed, count(*) FILTER (o = 'board') AS board, count(*) FILTER (o = 'feed') AS feed, count(*) FILTER (o = 'missed') AS missed, count(*) FILTER (o = 'board' AND d >= DATE '2001-07-18') AS timed, count(*) FILTER (o = 'board' AND d >= DATE '2001-07-18' AND o_orderkey % 4 <= 1) AS within_a_day, round(count(*) FILTER (o = 'board')::DOUBLE / count(*), 6) AS recall
 FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CASE o_orderstatus WHEN 'F' THEN 'board' WHEN 'O' THEN 'feed' ELSE 'missed' END AS o FROM orders)""")
 def recall_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
