@@ -156,6 +156,11 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", text.html_to_text(F.col("html")).alias("body"))
 
 
+@query()
+def html_to_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("body"))
+
+
 @query()
 def email_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intents of conversation turns, with the phrases of the rules put into some."""
@@ -166,10 +171,18 @@ def email_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 2 + doc_id % 3 WHEN 1 THEN 5 WHEN 2 THEN 3 END::INTEGER AS years FROM documents WHERE NOT regexp_matches(text, '[0-9] *(years?|yrs?)')""")
 def experience_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _years(table(spark, sf_dir, "documents").where(~F.col("text").rlike("[0-9] *(years?|yrs?)")))
+
+
+def _years(docs: DataFrame) -> DataFrame:
     k = F.col("doc_id")
     tail = F.when(k % 4 == 0, F.concat(F.lit("\nRequirements:\n"), (2 + k % 3).cast("string"), F.lit("-9 years of work."))).when(k % 4 == 1, F.lit("\nPreferred:\nAt least 5 years of Go.")).when(k % 4 == 2, F.lit("\nYou have 3+ years. 8 years is a plus.")).otherwise("")
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[0-9] *(years?|yrs?)"))
-    return docs.select("doc_id", scoring.required_years(F.concat("text", tail)).alias("years"))
+    return docs.select("doc_id", scoring.required_years(F.concat(F.coalesce("text", F.lit("")), tail)).alias("years"))
+
+
+@query()
+def experience_years_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _years(table(spark, sf_dir, "documents"))
 
 
 @query()
@@ -206,6 +219,14 @@ def company_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, date_trunc('hour', ts) + to_minutes((minute(ts) // 15 * 15)::INTEGER) AS bucket, CASE WHEN epoch(TIMESTAMP '2024-01-30' - ts) / 60 <= 15 THEN 'live' WHEN epoch(TIMESTAMP '2024-01-30' - ts) / 60 <= 45 THEN 'delayed' ELSE 'stalled' END AS state FROM events WHERE ts < TIMESTAMP '2024-01-30' AND second(ts) < 59""")
 def pull_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where((F.col("ts") < F.lit("2024-01-30").cast("timestamp_ntz")) & (F.second("ts") < 59))
+    return _states(table(spark, sf_dir, "events").where((F.col("ts") < F.lit("2024-01-30").cast("timestamp_ntz")) & (F.second("ts") < 59)))
+
+
+def _states(rows: DataFrame) -> DataFrame:
     now = F.lit("2024-01-30").cast("timestamp_ntz")
     return rows.select("event_id", F.window("ts", "15 minutes")["start"].alias("bucket"), dates.pull_state(F.col("ts"), now).alias("state"))
+
+
+@query("""SELECT event_id, date_trunc('hour', ts) + to_minutes((minute(ts) // 15 * 15)::INTEGER) AS bucket, CASE WHEN ts >= TIMESTAMP '2024-01-30' - INTERVAL 15 MINUTE THEN 'live' WHEN ts >= TIMESTAMP '2024-01-30' - INTERVAL 45 MINUTE THEN 'delayed' WHEN ts IS NULL THEN 'unknown' ELSE 'stalled' END AS state FROM events""")
+def pull_states_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(table(spark, sf_dir, "events"))

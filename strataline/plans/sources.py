@@ -37,6 +37,13 @@ def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where(~title.rlike("[&<]")).select("page_id", text.html_to_text(title).alias("title"))
 
 
+@query()
+def read_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.functions import text
+
+    return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).alias("title"))
+
+
 @query("""SELECT p_brand AS company, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN DATE '2024-03-10' - (p_partkey % 9)::INTEGER ELSE DATE '2023-11-12' END AS listed_on, count(*) AS n FROM part WHERE p_partkey % 10 <> 3 GROUP BY ALL""")
 def read_markdown_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")

@@ -1,5 +1,6 @@
 """Queries over whole tables, where older ones of the same name keep a cut that their SQL repeats."""
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -36,3 +37,43 @@ def test_rows_beyond_the_old_cuts(spark, tmp_path):
 @pytest.mark.parametrize("name", ["message_conflicts", "cohort_polarity", "speed_median_p90", "cohort_maturity", "lag_histogram", "message_links", "inventory_same_key_diff"])
 def test_older_names_stay(name):
     assert {name, f"{name}_whole"} <= set(plans.ORACLE)
+
+
+def _plain_text(page):
+    page = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ", page or "")
+    page = re.sub(r"(?s)<[^>]*>", " ", page)
+    for _ in range(3):
+        for entity, sign in {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "ndash": "–", "mdash": "—", "amp": "&"}.items():
+            page = page.replace(f"&{entity};", sign)
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", page).strip(" ")
+
+
+def _most_years(text):
+    figure = r"(?i)(\d{1,2})\s*(?:\+|(?:-|–|to)\s*\d{1,2}\s*\+?)?\s*(?:years?|yrs?)\b(?![^.\n]{0,20}\bold\b)"
+    soft, found = False, {True: [], False: []}
+    for line in re.split(r"\n|(?<=[.;])\s+", text):
+        own = [int(x) for x in re.findall(figure, line)]
+        if not own and re.search(r"^\s*[A-Z][^.!?]{0,60}:?\s*$", line):
+            soft = bool(re.search("(?i)prefer|nice to have|bonus|plus", line))
+        found[soft or bool(re.search("(?i)prefer|nice to have|bonus|a plus", line))] += own
+    return max(found[False] or found[True], default=None)
+
+
+def test_rows_that_were_hard_for_sql(spark, tmp_path):
+    run = lambda name, **t: dict(x[:2] for x in _run(spark, tmp_path, name, **t))
+    tails = ["\nRequirements:\n{}-9 years of work.", "\nPreferred:\nAt least 5 years of Go.", "\nYou have 3+ years. 8 years is a plus.", ""]
+    texts = ["We ask for 7 years of work.", "Needs 4+ yrs of Go; 12 years preferred.", "Nice to have:\n6 years of C", "2 to 5 years of Rust.\nA company 30 years old.", "no figure", "10yrs", None, "3 years"]
+    docs = list(enumerate(texts))
+    assert run("experience_years_whole", documents=spark.createDataFrame(docs, "doc_id long, text string")) == {i: _most_years((t or "") + tails[i % 4].format(2 + i % 3)) for i, t in docs}
+
+    pages = ["<title>Research &amp; Development</title><p>a &amp;lt;b&amp;gt; c</p>", "<title>A <b>bold</b> one</title>x &apos;y&apos; &ndash; &mdash; z", "<title>t</title><!-- <script>var a; --> shown <!-- <style> --> too", "<script>if (a < b) {}</script>q<style>p {}</style>", "<title>plain</title> words \n here", None]
+    rows = [(i, f"https://x.com/{i}", p) for i, p in enumerate(pages)]
+    assert run("html_to_text_whole", pages=spark.createDataFrame(rows, "page_id long, url string, html string")) == {i: _plain_text(p) for i, _, p in rows}
+    title = lambda p: (re.search(r"(?is)<title>(.*?)</title>", p or "") or ["", ""])[1]
+    assert run("read_pages_whole") == {i: _plain_text(title(p)) for i, _, p in rows if p} | {5: ""}
+
+    at = [datetime(2024, 1, 29, 23, 14, 59), datetime(2024, 1, 29, 23, 44, 59, 999_999), datetime(2024, 1, 29, 23, 45), datetime(2024, 1, 29, 23, 15), datetime(2024, 1, 30, 0, 0, 59), datetime(2024, 1, 31, 7, 20)]
+    events = spark.createDataFrame([(i, t, 1, "view", 1.0, "{}") for i, t in enumerate(at)], EVENTS)
+    states = {r[0]: r[1:] for r in _run(spark, tmp_path, "pull_states_whole", events=events)}
+    assert {i: s for i, (_, s) in states.items()} == {0: "stalled", 1: "delayed", 2: "live", 3: "delayed", 4: "live", 5: "live"}
+    assert {i: b.replace(tzinfo=None) for i, (b, _) in states.items()} == {i: t.replace(minute=t.minute // 15 * 15, second=0, microsecond=0) for i, t in enumerate(at)}
