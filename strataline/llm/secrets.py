@@ -1,7 +1,7 @@
 """Secret scan with linking of credentials that come in several parts.
 
 Certain finds (the base) are spans of three kinds: assign, access, hex.  Weak
-candidates (long mixed tokens, logins, endpoints) mean nothing alone.  They are
+candidates (tokens, logins, endpoints) mean nothing alone.  They are
 reported only if their complement lies in the same scope, within `scope` code
 points: a token needs an access identifier or a login, a login needs a secret,
 an endpoint needs both.
@@ -37,9 +37,11 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex")
 
 #: Weak candidates: kind, role, pattern.
-TOKEN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,88}={0,2}(?![A-Za-z0-9+/=_-])"
-LOGIN = r"""(?:[Uu]ser(?:_?name)?|[Ll]ogin|[Aa]ccount|client_id|access_key(?:_id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
-ENDPOINT = r"""(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?:[Hh]ost|[Ee]ndpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,})"""
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/=_-])"
+LOGIN = r"(?:" + "|".join(_any_case(w) for w in ("user(?:_?name)?", "login", "account", "client_id", "access_key(?:_id)?")) + r""")["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
+ENDPOINT = "(?:" + _any_case("https?://") + r"[A-Za-z0-9.-]+(?::[0-9]+)?|(?:" + "|".join(map(_any_case, ("host", "endpoint"))) + r""")["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,})"""
+#: A token of so many characters may be of any letters; a shorter one has a digit or mixes cases, as a word does not, and is not itself a login or host.
+LONG = 32
 WEAK_KINDS = ("key", "login", "endpoint")
 ROLES = {"assign": "secret", "access": "ident", "hex": "secret", "key": "secret", "login": "ident", "endpoint": "endpoint"}
 NEEDS = {"key": ("ident",), "login": ("secret",), "endpoint": ("ident", "secret")}
@@ -59,7 +61,7 @@ def parts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     yes = lambda hit: F.lit(True)
     value = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 1)) >= 6
-    mixed = lambda hit: hit.rlike("[0-9]") & hit.rlike("[a-z]") & hit.rlike("[A-Z]")
+    likely = lambda hit: (F.length(hit) >= LONG) | hit.rlike("[0-9]|[a-z].*[A-Z]")
     base = need(docs, "doc_id", "text").select(
         "doc_id",
         "text",
@@ -67,10 +69,12 @@ def parts(docs: DataFrame) -> DataFrame:
         _of_kind(spans_of(text, ACCESS, yes), "access").alias("access"),
         _of_kind(spans_of(text, HEX, yes), "hex").alias("hex"),
     )
-    weak = F.concat(_of_kind(spans_of(text, TOKEN, mixed), "key"), _of_kind(spans_of(text, LOGIN, yes), "login"), _of_kind(spans_of(text, ENDPOINT, yes), "endpoint"))
+    named = base.select("*", _of_kind(spans_of(text, TOKEN, likely), "key").alias("keys"), F.concat(_of_kind(spans_of(text, LOGIN, yes), "login"), _of_kind(spans_of(text, ENDPOINT, yes), "endpoint")).alias("named"))
+    own = lambda w: F.exists("named", lambda s: (s["start"] <= w["start"]) & (w["end"] <= s["end"]))
+    weak = F.concat(F.filter("keys", lambda w: (w["end"] - w["start"] >= LONG) | ~own(w)), F.col("named"))
     strong = F.concat("assign", "access", "hex")
     apart = F.filter(weak, lambda w: ~F.exists(strong, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return base.select("doc_id", "assign", "access", "hex", apart.alias("weak"))
+    return named.select("doc_id", "assign", "access", "hex", apart.alias("weak"))
 
 
 def links(found: DataFrame, scope: int) -> DataFrame:

@@ -66,6 +66,25 @@ def test_secret_links(spark):
         assert set(brute.secrets(t)[1]) <= set(got[i].spans.split(",")) | {""} or not brute.secrets(t)[1]
 
 
+def test_secret_links_of_any_length_and_case(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(120))
+    rows = [
+        (1, f"user = someone {long} https://example.com"),
+        (2, f"USERNAME=someone\nHOST=db.example.com\nDB_KEY={long[:40]}"),
+        (3, "LOGIN: someone\nENDPOINT: db.example.com\nkey: " + long[:20]),
+        (4, "CLIENT_ID=my-client " + "qwxz" * 10),
+        (5, "AWS_ACCESS_KEY_ID=my-client\nAWS_SECRET_ACCESS_KEY=" + long[:40]),
+        (6, f"{long} alone, {long[:20]} alone"),
+        (7, "account: 1234567890123456 at host = internal-host-name-17"),
+        (8, "user = someone, internationalization"),
+    ]
+    got = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in secrets.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    kinds = {i: [k for k, _, _ in x] for i, x in got.items()}
+    assert kinds == {1: ["login", "key", "endpoint"], 2: ["login", "endpoint", "key"], 3: ["login", "endpoint", "key"], 4: ["login", "key"], 5: ["login", "login", "key"], 6: [], 7: [], 8: []}
+    assert [int(b) - int(a) for k, a, b in got[1] if k == "key"] == [120]
+
+
 def test_pii_matches_brute_force(spark, sf, docs):
     got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in queries()["op6_pii"](spark, sf).collect()}
     assert got == {i: brute.pii(t or "")[0] for i, t in docs}
