@@ -5,7 +5,8 @@ The file's pre-tokenizer never lets a token cross the start of a " x" pair
 following mark other than an apostrophe.  Texts are therefore cut at the
 former, Arrow numbers the distinct pieces of a batch, and only pieces that
 this worker has not met go through the library (a word and the marks after
-it separately).  The ids equal those of encoding the whole text at once.
+it separately).  Added tokens of the file, such as <|endoftext|>, are one id
+each wherever they stand.  The ids equal those of encoding the whole text at once.
 """
 
 from __future__ import annotations
@@ -38,7 +39,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = sorted({t.content for t in self.tok.get_added_tokens_decoder().values()}, key=len, reverse=True)
+        self.added = frozenset(added)
+        self.marks = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        self.odd = "|".join([_LONE, *map(re.escape, added)])
         self.letters = dict(enumerate(_byte_letters()))
         self.cap = cap
         self.forget()
@@ -77,7 +81,7 @@ class PieceEncoder:
             (composed.append((piece, m[1], m[2])) if m else whole.append(piece))
         known = self.slot
         whole = list({x for _, a, b in composed for x in (a, b) if x not in known}.union(whole))
-        words = [x for x in whole if (x[1:] if x[0] == " " else x).isalpha()]
+        words = [x for x in whole if (x[1:] if x[0] == " " else x).isalpha() and x not in self.added]
         others = list(set(whole).difference(words))
         bpe, letters = self.tok.model.tokenize, self.letters
         ids = [[t.id for t in bpe(x.encode().decode("latin-1").translate(letters))] for x in words]
@@ -94,6 +98,11 @@ class PieceEncoder:
             self._learn(list(dict.fromkeys(fresh)))
         return np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
 
+    def _cut(self, text: str) -> list[str]:
+        """Pieces of any text; the file's added tokens stay whole, and what is between them is encoded like a text of its own."""
+        parts = self.marks.split(text) if self.marks else [text]
+        return [x for p in parts for x in ([p] if p in self.added else _CUT.split(p)) if x]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow string array in one array, and the number of ids of each text; null counts as empty."""
         if self.n > self.cap or self.used > 5 * self.cap:
@@ -103,7 +112,7 @@ class PieceEncoder:
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.zeros(0, self.flat.dtype), np.zeros(0, np.int64)
-        odd = pc.match_substring_regex(texts, _LONE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         split = pc.split_pattern(plain, " ")
         parts = split.flatten().dictionary_encode()
@@ -117,7 +126,7 @@ class PieceEncoder:
             at = 0
             for i, n in enumerate(counts):
                 if odd[i]:
-                    mixed.append(self._slots([x for x in _CUT.split(texts[i].as_py()) if x]))
+                    mixed.append(self._slots(self._cut(texts[i].as_py())))
                 else:
                     mixed.append(slots[at : at + n][keep[at : at + n]])
                 at += n

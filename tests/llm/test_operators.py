@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,25 @@ def test_packed_sequences_hold_the_ids(spark):
     assert sum(r.length for r in got) == sum(map(len, want.values()))
 
 
+def test_added_tokens_are_one_id(spark):
+    from tokenizers import Tokenizer
+
+    from strataline.llm.tokens import PieceEncoder, default_tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", f"{end}start", f"end{end}", f" {end} ", f"x.{end}!? y", f"{end}{end}", f"two  spaces {end}  here", "plain words", None, "", f"a<|endof{end}text|>", f"word {end}word's"]
+    tok = Tokenizer.from_file(default_tokenizer())
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    ids, n = PieceEncoder(default_tokenizer()).encode(pa.array(texts, pa.string()))
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    rows = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in records.round_trip(df, end_id=0).collect()}
+    assert rows == {i: (len(w) + 1, brute.crc([*w, 0])) for i, w in enumerate(want)}
+    rows = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(df, capacity=1024, end_id=2).collect()}
+    assert rows == {i: (len(w) + 1, brute.crc([*w, 2])) for i, w in enumerate(want)}
+
+
 def test_records(spark, sf, docs):
     rows = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries()["op5_token_records"](spark, sf).collect()}
     ids = [i for i, _ in sorted(docs)]
