@@ -77,3 +77,10 @@ def test_rows_that_were_hard_for_sql(spark, tmp_path):
     states = {r[0]: r[1:] for r in _run(spark, tmp_path, "pull_states_whole", events=events)}
     assert {i: s for i, (_, s) in states.items()} == {0: "stalled", 1: "delayed", 2: "live", 3: "delayed", 4: "live", 5: "live"}
     assert {i: b.replace(tzinfo=None) for i, (b, _) in states.items()} == {i: t.replace(minute=t.minute // 15 * 15, second=0, microsecond=0) for i, t in enumerate(at)}
+
+
+def test_recall_of_any_part(spark, tmp_path):
+    items = [(1, "a b c d e f g h"), (2, "q w e r t y"), (3, "two words"), (4, "not held"), (5, "x b c d e f z"), (6, "")]
+    docs = [(1, "zz c d e f\n g  h zz"), (2, "some two words here"), (3, "q w e r t"), (4, None), (5, "")]
+    t = {"benchmark": spark.createDataFrame(items, "item_id long, text string"), "documents": spark.createDataFrame(docs, "doc_id long, text string")}
+    assert _run(spark, tmp_path, "recall_lists_whole", **t) == [(6, 2, 0.333333)]
