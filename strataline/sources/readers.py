@@ -169,11 +169,28 @@ def without_direct(feed: DataFrame, boards: DataFrame) -> DataFrame:
     return keyed.join(boards.select(urls.board_key(F.col("type"), F.col("account")).alias("__b")).distinct(), "__b", "left_anti").select(*feed.columns)
 
 
+def _json_nodes(blocks: DataFrame, depth: int = 3) -> DataFrame:
+    """page, node (JSON text): the objects of `blocks` (page, node), of their lists and of their @graph, down to `depth` lists or graphs within one another."""
+    listed = lambda n: F.when(n.startswith("["), F.from_json(n, "array<string>")).otherwise(F.array(n))
+    found, rows = None, blocks
+    for _ in range(depth):
+        rows = rows.select("page", F.explode(listed(F.trim("node"))).alias("node"))
+        objects = rows.where(F.col("node").startswith("{"))
+        found = objects if found is None else found.unionByName(objects)
+        graph = F.from_json("node", "`@graph` string")["@graph"]
+        rows = rows.select("page", F.when(F.col("node").startswith("["), F.col("node")).otherwise(graph).alias("node")).where("node is not null")
+    return found
+
+
 def read_job_posting_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Canonical rows of pages that carry a schema.org JobPosting as ld+json."""
-    block = F.regexp_extract(F.col(html), r"(?is)<script[^>]*application/ld\+json[^>]*>\s*(.*?)\s*</script>", 1)
+    """Canonical rows of every schema.org JobPosting that pages carry as ld+json, in any block, list or @graph."""
+    block = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>\s*(.*?)\s*</script>"), F.lit(1))
+    nodes = _json_nodes(pages.select(F.col(url).alias("page"), F.explode(block).alias("node")))
+    kind = F.from_json("node", "`@type` string")["@type"]
+    kinds = F.when(kind.startswith("["), F.from_json(kind, "array<string>")).otherwise(F.array(kind))
+    nodes = nodes.where(F.array_contains(kinds, "JobPosting"))
     schema = "title string, description string, datePosted string, employmentType string, url string, identifier struct<value:string>, hiringOrganization struct<name:string>, jobLocation struct<address:struct<addressLocality:string,addressRegion:string,addressCountry:string>>"
-    j = pages.select(F.col(url).alias("page"), F.from_json(block, schema).alias("j")).where("j.title is not null")
+    j = nodes.select("page", F.from_json("node", schema).alias("j")).where("j.title is not null")
     address = F.col("j.jobLocation.address")
     return canonical(j.select(F.lit("sitemap").alias("source"), F.col("j.hiringOrganization.name").alias("company"), F.coalesce("j.identifier.value", "page").alias("external_id"), F.col("j.title").alias("title"), F.concat_ws(", ", address["addressLocality"], address["addressRegion"], address["addressCountry"]).alias("location"), F.col("j.description").alias("description"), F.coalesce("j.url", "page").alias("official_url"), F.try_to_timestamp("j.datePosted").alias("posted_at"), F.col("j.employmentType").alias("employment_type"), F.array("j.hiringOrganization.name").alias("hiring_organizations")))
 

@@ -1,11 +1,13 @@
 """Queries over whole tables, where older ones of the same name keep a cut that their SQL repeats."""
 
+import json
 import re
 from datetime import datetime, timedelta
 
 import pytest
 
 from strataline import plans
+from strataline.sources import readers
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
@@ -79,6 +81,15 @@ def test_rows_that_were_hard_for_sql(spark, tmp_path):
     assert {i: b.replace(tzinfo=None) for i, (b, _) in states.items()} == {i: t.replace(minute=t.minute // 15 * 15, second=0, microsecond=0) for i, t in enumerate(at)}
 
 
+def test_job_postings_in_any_block(spark):
+    tag = lambda x: f'<script type="application/ld+json">{json.dumps(x)}</script>'
+    job = lambda n, kind="JobPosting": {"@type": kind, "title": n, "hiringOrganization": {"name": "Acme"}, "identifier": {"value": n}}
+    other = {"@type": "Organization", "title": "not a job", "name": "Acme"}
+    pages = [tag(other) + tag(job("second")), tag([other, job("list"), job("list2")]), tag({"@graph": [other, job("graph", ["Thing", "JobPosting"])]}), tag([{"@graph": [job("deep")]}]) + "<script type='application/ld+json'>{broken</script>", tag(other), tag([[job("nested")]]), tag({"@graph": job("single")})]
+    got = readers.read_job_posting_pages(spark.createDataFrame([(f"https://x.com/{i}", p) for i, p in enumerate(pages)], "url string, html string")).collect()
+    assert sorted((r.external_id, r.title) for r in got) == [(x, x) for x in ("deep", "graph", "list", "list2", "nested", "second", "single")]
+
+
 def test_recall_of_any_part(spark, tmp_path):
     items = [(1, "a b c d e f g h"), (2, "q w e r t y"), (3, "two words"), (4, "not held"), (5, "x b c d e f z"), (6, "")]
     docs = [(1, "zz c d e f\n g  h zz"), (2, "some two words here"), (3, "q w e r t"), (4, None), (5, "")]
