@@ -21,15 +21,32 @@ def fingerprint(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def spans_of(text: Column, pattern: str, keep, struct_of=None) -> Column:
-    """Where `pattern` matches, leftmost and without overlap: array of (start, end, hit), code points, end exclusive.
+def bound(value: Column, then) -> Column:
+    """then(value), with `value` computed once however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def chunked(items: Column) -> Column:
+    """The items of an array in runs of about the root of its size: array of arrays."""
+    wide = F.greatest(F.ceil(F.sqrt(F.size(items))), F.lit(1)).cast("int")
+    cut = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / n) - 1, F.lit(0)).cast("int")), lambda i: F.slice(items, i * n + 1, n))
+    return bound(wide, cut)
+
+
+def spans_of(text: Column, pattern: str, keep, context: int = 0) -> Column:
+    """Where `pattern` matches, leftmost and without overlap: array of (start, end, hit, before), code points, end exclusive.
+
+    `before` is the text of up to `context` code points ahead of the match.
 
     The text between matches comes from split(), the matches from
-    regexp_extract_all(); the running sum of their lengths places each match.
+    regexp_extract_all(); sums of their lengths place each match, first within
+    runs of about the root of their number and then over the runs, as an array
+    that grows by one is copied each time: n matches cost n ** 1.5 steps.
     keep(hit) drops matches afterwards; a dropped one still uses up its text.
     Native expressions only.
     """
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    fields = "start:int,end:int,hit:string"
+    empty = F.array().cast(f"array<struct<{fields}>>")
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
     def step(acc: Column, z: Column) -> Column:
@@ -41,5 +58,32 @@ def spans_of(text: Column, pattern: str, keep, struct_of=None) -> Column:
             F.when(z["hit"].isNotNull() & keep(z["hit"]), F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"),
         )
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    def moved(run: Column, by: Column) -> Column:
+        # a piece of the text that holds the run and its context: a place in it is found by reading it from its start
+        lead = F.least(by, F.lit(context))
+        piece = text.substr(by - lead + 1, run["pos"] + lead)
+        ahead = lambda p, s: p.substr(F.greatest(s["start"] + lead - context, F.lit(0)) + 1, F.least(s["start"] + lead, F.lit(context)))
+        said = lambda p, s: ahead(p, s) if context else F.lit("")
+        return bound(piece, lambda p: F.transform(run["out"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["hit"].alias("hit"), said(p, s).alias("before"))))
+
+    def placed(runs: Column) -> Column:
+        ahead = F.aggregate(runs, F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["pos"])))
+        return bound(ahead, lambda a: F.flatten(F.transform(runs, lambda r, i: moved(r, F.get(a, i)))))
+
+    within = lambda runs: F.transform(runs, lambda run: F.aggregate(run, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step))
+    found = bound(zipped, lambda z: bound(within(chunked(z)), placed))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<struct<{fields},before:string>>"))
+
+
+def without_overlap(spans: Column, others: Column, meets=None) -> Column:
+    """The spans (start, end, ...) that overlap none of `others`, or for which meets(span, other) holds for none that they overlap.
+
+    The others are put into runs in order of their starts, and a span is held
+    against a run's bounds before its members.
+    """
+    meets = meets or (lambda s, o: F.lit(True))
+    whole = lambda run: F.struct(F.array_min(F.transform(run, lambda s: s["start"])).alias("lo"), F.array_max(F.transform(run, lambda s: s["end"])).alias("hi"), run.alias("own"))
+    over = lambda s, lo, hi: (lo < s["end"]) & (s["start"] < hi)
+    met = lambda s, runs: F.exists(runs, lambda r: over(s, r["lo"], r["hi"]) & F.exists(r["own"], lambda o: over(s, o["start"], o["end"]) & meets(s, o)))
+    kept = lambda o: bound(F.transform(chunked(F.array_sort(o)), whole), lambda runs: F.filter(spans, lambda s: ~met(s, runs)))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), bound(others, kept)).otherwise(spans)

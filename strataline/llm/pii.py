@@ -29,13 +29,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import need, spans_of
+from strataline.llm.common import need, spans_of, without_overlap
 from strataline.session import Scratch
 
 #: No match starts inside a run that was tried already, so long runs cost their length; \G lets one start where the last match ended.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
-CARD = r"[0-9](?:[\x20-]?[0-9])+"
+#: Nothing follows the repeated groups, so they may be possessive, which Java runs through in a loop and not by recursion.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
@@ -47,7 +48,7 @@ CANDIDATES = {
     "spelt_email": (r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,10}", r"[A-Za-z0-9._%+-]+\x20?\[at\]\x20?[A-Za-z0-9-]+\x20?\[dot\]\x20?[A-Za-z]+|[A-Za-z0-9._%+-]+\x20?\(at\)\x20?[A-Za-z0-9-]+\x20?\(dot\)\x20?[A-Za-z]+", r".*(?:com|org|net|edu|de|fr|es|uk)", r"mail|contact|write|reach"),
 }
 BASE_RULES = {
-    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", r".*\.(?:com|org|net|edu|de|fr|es|uk)", r"mail|contact|write|reach"),
+    "email": (r"[^@]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r".*\.(?:com|org|net|edu|de|fr|es|uk)", r"mail|contact|write|reach"),
     "ip": (r"(?!0\.|127\.|255\.)[0-9.]+", r"(?:10|172|192)\..*", r"ip|host|server|address|client"),
     "card": (r"[0-9]{16}|[0-9]{4}(?:[\x20-][0-9]{4}){3}", r"[3-6].*", r"card|visa|master|payment|credit"),
     "phone": (r"\+[0-9]{1,3}[\x20(.-].*", r"\+(?:1|33|34|44|49)[^0-9].*", r"phone|tel|call|fax|mobile|cell|contact"),
@@ -87,13 +88,13 @@ def _rules(kind: str) -> tuple[str, str, str]:
     return BASE_RULES[kind] if kind in BASE_RULES else CANDIDATES[kind][1:]
 
 
-def _judged(text: Column, spans: Column, kind: str) -> Column:
+def _judged(spans: Column, kind: str) -> Column:
     """Adds the votes (1 for, 0 against, 2 none) and features of each span."""
     strict, known, cues = _rules(kind)
 
     def judge(s: Column) -> Column:
         hit = s["hit"]
-        before = F.lower(text.substr(F.greatest(s["start"] - CUE_WINDOW + 1, F.lit(1)), F.least(s["start"], F.lit(CUE_WINDOW))))
+        before = F.lower(s["before"])
         cue = F.when(before.rlike(cues), F.lit(1)).when(before.rlike(ADVERSE), F.lit(0)).otherwise(F.lit(2))
         return F.struct(
             s["start"].alias("start"),
@@ -118,12 +119,11 @@ def judged(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     yes = lambda hit: F.lit(True)
     rules = {"email": (EMAIL, yes), "ip": (IP, _small_parts), "card": (CARD, _card), "phone": (PHONE, lambda hit: F.length(_digits(hit)).between(8, 15))}
-    spans = need(docs, "doc_id", "text").select("doc_id", text.alias("text"), *[spans_of(text, p, keep).alias(k) for k, (p, keep) in rules.items()], *[spans_of(text, p[0], yes).alias(k) for k, p in CANDIDATES.items()])
+    spans = need(docs, "doc_id", "text").select("doc_id", text.alias("text"), *[spans_of(text, p, keep, CUE_WINDOW).alias(k) for k, (p, keep) in rules.items()], *[spans_of(text, p[0], yes, CUE_WINDOW).alias(k) for k, p in CANDIDATES.items()])
     base = F.concat(*KINDS)
-    apart = lambda c: F.filter(c, lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    apart = lambda c: without_overlap(c, F.col("base"))
     held = spans.select("*", base.alias("base"))
-    t = F.col("text")
-    return held.select("doc_id", F.concat(*[_judged(t, F.col(k), k) for k in KINDS]).alias("base"), F.concat(*[_judged(t, apart(F.col(k)), k) for k in CANDIDATES]).alias("loose"))
+    return held.select("doc_id", F.concat(*[_judged(F.col(k), k) for k in KINDS]).alias("base"), F.concat(*[_judged(apart(F.col(k)), k) for k in CANDIDATES]).alias("loose"))
 
 
 def estimate(cells: list[dict], rounds: int = 60) -> tuple[dict, list[float]]:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import need, spans_of
+from strataline.llm.common import need, spans_of, without_overlap
 from strataline.session import Scratch
 
 
@@ -70,11 +70,9 @@ def parts(docs: DataFrame) -> DataFrame:
         _of_kind(spans_of(text, HEX, yes), "hex").alias("hex"),
     )
     named = base.select("*", _of_kind(spans_of(text, TOKEN, likely), "key").alias("keys"), F.concat(_of_kind(spans_of(text, LOGIN, yes), "login"), _of_kind(spans_of(text, ENDPOINT, yes), "endpoint")).alias("named"))
-    own = lambda w: F.exists("named", lambda s: (s["start"] <= w["start"]) & (w["end"] <= s["end"]))
-    weak = F.concat(F.filter("keys", lambda w: (w["end"] - w["start"] >= LONG) | ~own(w)), F.col("named"))
-    strong = F.concat("assign", "access", "hex")
-    apart = F.filter(weak, lambda w: ~F.exists(strong, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return named.select("doc_id", "assign", "access", "hex", apart.alias("weak"))
+    inside = lambda w, s: (w["end"] - w["start"] < LONG) & (s["start"] <= w["start"]) & (w["end"] <= s["end"])
+    weak = F.concat(without_overlap(F.col("keys"), F.col("named"), inside), F.col("named"))
+    return named.select("*", F.concat("assign", "access", "hex").alias("strong"), weak.alias("loose")).select("doc_id", "assign", "access", "hex", without_overlap(F.col("loose"), F.col("strong")).alias("weak"))
 
 
 def links(found: DataFrame, scope: int) -> DataFrame:

@@ -1,12 +1,18 @@
 """Exact, memoised encoding with a byte-level BPE tokenizers file, for Spark tasks.
 
 The file's pre-tokenizer never lets a token cross the start of a " x" pair
-(one U+0020 before a non-space), nor the border between a letter and a
-following mark other than an apostrophe.  Texts are therefore cut at the
-former, Arrow numbers the distinct pieces of a batch, and only pieces that
-this worker has not met go through the library (a word and the marks after
-it separately).  Added tokens of the file, such as <|endoftext|>, are one id
-each wherever they stand.  The ids equal those of encoding the whole text at once.
+(one U+0020 before a character that is no blank of any kind), nor the border
+between a letter and a following mark other than an apostrophe.  Texts are
+therefore cut at the former, Arrow numbers the distinct pieces of a batch, and
+only pieces that this worker has not met go through the library (a word and
+the marks after it separately).  A text with a U+0020 before another blank, or
+at its end, is cut on its own, so that runs of blanks stay whole.  Added tokens
+of the file, such as <|endoftext|>, are one id each wherever they stand.  The
+ids equal those of encoding the whole text at once, with the library's
+settings as the file sets them.
+
+Defined cases: a null text counts as empty and has no ids; an empty array has
+none; texts may be of any length and hold any character.
 """
 
 from __future__ import annotations
@@ -19,7 +25,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_LONE = r" (\s|$)"
+#: A space before a blank (in Unicode's sense, and what Python takes for one) or at the end.
+_LONE = r" ([\t-\r\x{1c}-\x{20}\x{85}\x{180e}\p{Z}]|$)"
+#: Below this character Python and the library agree on what a letter is; later ones depend on their editions of Unicode.
+_SURE = "\u1c80"
 _CUT = re.compile(r"(?= \S)")
 _TAIL = re.compile(r"( ?[^\W\d_]+)([^\w\s']+)")
 
@@ -77,11 +86,11 @@ class PieceEncoder:
     def _learn(self, fresh: list[str]) -> None:
         whole, composed = [], []
         for piece in fresh:
-            m = _TAIL.fullmatch(piece)
+            m = _TAIL.fullmatch(piece) if piece and max(piece) < _SURE else None
             (composed.append((piece, m[1], m[2])) if m else whole.append(piece))
         known = self.slot
         whole = list({x for _, a, b in composed for x in (a, b) if x not in known}.union(whole))
-        words = [x for x in whole if (x[1:] if x[0] == " " else x).isalpha() and x not in self.added]
+        words = [x for x in whole if (x[1:] if x[0] == " " else x).isalpha() and max(x) < _SURE and x not in self.added]
         others = list(set(whole).difference(words))
         bpe, letters = self.tok.model.tokenize, self.letters
         ids = [[t.id for t in bpe(x.encode().decode("latin-1").translate(letters))] for x in words]

@@ -128,7 +128,6 @@ def encoded(texts: list[str], end: int) -> list[list[int]]:
     from strataline.llm.tokens import default_tokenizer
 
     tok = Tokenizer.from_file(default_tokenizer())
-    tok.encode_special_tokens = True
     return [tok.encode(t, add_special_tokens=False).ids + [end] for t in texts]
 
 

@@ -1,6 +1,7 @@
 """The operators against brute force on the smallest tables and on rows made to be awkward."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataline.llm import ann, decontam, line_dedup, minhash, packing, pii, quality, records, secrets, sharding
+from strataline.llm.common import spans_of, without_overlap
 from strataline.llm.queries import queries
 from strataline.sources.tables import table
 from tests.llm import brute
@@ -105,6 +107,38 @@ def test_tricky_spans(spark):
     assert got == {i: brute.secrets(t)[0] for i, t in enumerate(TRICKY)}
 
 
+VERY_LONG = {"digits": "1" * 20_000, "parts": "1 2-" * 5000, "dots": "1." * 10_000, "labels": "x@" + "a.b." * 5000 + "c", "mails": "a@b.cd " * 3000, "numbers": "4111 1111 1111 1111, +1 (555) 010-9999, 10.0.0.1 " * 1000, "secrets": "token = abcdef12 " * 3000, "parted": "user = someone wJalrXUtnFEMIK7MDENG https://x.com password: abcdefg1 " * 700, "hex": "deadbeef" * 20_000, "blanks": " " * 200_000}
+
+
+def test_very_long_texts(spark):
+    """No pattern recurses or goes over a run again for each of its places."""
+    rows = list(enumerate(VERY_LONG.values()))
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.scan(df).collect()}
+    assert got == {i: brute.pii(t)[0] for i, t in rows}
+    found = {r.doc_id: r for r in secrets.scan(df).collect()}
+    assert {i: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for i, r in found.items()} == {i: brute.secrets(t)[0] for i, t in rows}
+    assert found[list(VERY_LONG).index("parted")].n_linked == 3 * 700
+
+
+def test_spans_know_what_is_before_them(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice(["a1", "é", "😀 ", "22", "xyz" * 9, "333"]) for _ in range(rng.randint(0, 80)))) for i in range(60)]
+    spans = spans_of(F.col("text"), "[0-9]{2,}", lambda h: h != "333", 7)
+    for r in spark.createDataFrame(rows, DOCS).select("text", spans.alias("s")).collect():
+        want = [(m.start(), m.end(), m[0], r.text[max(m.start() - 7, 0) : m.start()]) for m in re.finditer("[0-9]{2,}", r.text) if m[0] != "333"]
+        assert [tuple(x) for x in r.s] == want
+
+
+def test_overlaps_are_taken_out(spark):
+    rng = random.Random(6)
+    some = lambda: [(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 300) for _ in range(rng.randint(0, 60)))]
+    rows = [(some(), some()) for _ in range(50)]
+    df = spark.createDataFrame(rows, "x array<struct<start:int,end:int>>, y array<struct<start:int,end:int>>")
+    for r in df.select("x", "y", without_overlap(F.col("x"), F.col("y")).alias("z")).collect():
+        assert r.z == [s for s in r.x if not any(o.start < s.end and s.start < o.end for o in r.y)]
+
+
 def test_pii_adds_spans_and_leaves_clean_texts(spark):
     rows = [(i, f"please call our phone (212) 555-{1000 + i} today") for i in range(30)] + [(100 + i, f"order ref 12 345 6{i:02d}0 of the invoice") for i in range(30)] + [(200, "plain words only"), (201, "write to bob [at] example [dot] com")]
     rows += [(300 + i, f"mail a{i}@example.com or phone +1 (555) 010-{1000 + i}") for i in range(20)]
@@ -201,6 +235,23 @@ def test_added_tokens_are_one_id(spark):
     assert rows == {i: (len(w) + 1, brute.crc([*w, 2])) for i, w in enumerate(want)}
 
 
+def test_ids_of_random_strings():
+    """All blanks of Unicode, marks, apostrophes, letters of new editions and the end token, in any order."""
+    from tokenizers import Tokenizer
+
+    from strataline.llm.tokens import PieceEncoder, default_tokenizer
+
+    tok, enc, rng = Tokenizer.from_file(default_tokenizer()), PieceEncoder(default_tokenizer(), cap=20_000), random.Random(11)
+    blanks = [chr(c) for c in range(0x3100) if chr(c).isspace()] + ["\u180e", "\u200b", "\ufeff"]
+    other = [*"abZé߀'.,!?-_09²½Ⅷ字あ\u0301\u1c89\ua7cb\U000105c0\U00031350😀", "<|endoftext|>", "'s", "'ll", "word", "don't", " ", " ", " "]
+    for _ in range(20):
+        texts = ["".join(rng.choice(blanks if rng.random() < 0.45 else other) for _ in range(rng.randint(0, 9))) for _ in range(5000)]
+        texts += ["a \xa0 \xa0", "a \xa0 \xa0 \xa0b", "a \xa0 \xa0\n"]
+        want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        ids, n = enc.encode(pa.array(texts))
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
 def test_records(spark, sf, docs):
     rows = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries()["op5_token_records"](spark, sf).collect()}
     ids = [i for i, _ in sorted(docs)]
