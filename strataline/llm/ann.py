@@ -2,16 +2,21 @@
 
 Each curve projects the unit vectors on a few random orthogonal directions,
 shifts the grid by an offset of its own and orders all vectors along a Hilbert
-curve through it.  Spark range-partitions and sorts the keys; ranks follow
-from a count for each partition.  A query is compared with the window of ranks
-around its own on every curve, exactly and in double precision; the curves'
-finds are merged and the best kept.
-
-A window is a stated share of the rows.  For vectors without structure (the
-nearest of 50,000 random directions in 64 dimensions has a cosine below 0.5)
-no order of the space brings most neighbours nearer than that, so a smaller
-window loses recall as the table grows; for clustered vectors a small share
-does.  Work is rows * share * curves for each query, in blocks of fixed size.
+curve through it.  Spark range-partitions and sorts the keys and packs runs of
+neighbours, with a byte for each component, into blocks; ranks follow from a
+count for each partition.
+
+A query is looked up on the `probes` curves on which its projection is longest:
+there its surroundings are emptiest and a window of ranks holds most of what
+is near.  Windows of all probes are scanned on the bytes, the `keep` best of
+their union go on, and each of those is scored once, exactly, in double
+precision and in the order of components.
+
+A window is a stated share of the rows, so a query meets probes * share of a
+table, repeats included, and fewer where windows overlap.  For vectors without
+structure (the nearest of 50,000 random directions in 64 dimensions has a
+cosine near 0.5) no order of the space does with much less; for clustered
+vectors a small share is enough.
 
 Equal vectors are one point of the index with its k + 1 least ids, so a group
 of copies, however large, is one row and its ties are still broken exactly.
@@ -72,7 +77,7 @@ def frames(dims: int, curves: int, axes: int, seed: int) -> list[tuple[np.ndarra
     return [(np.linalg.qr(rng.normal(size=(dims, min(axes, dims))))[0], rng.uniform(-0.06, 0.06, min(axes, dims))) for _ in range(curves)]
 
 
-def curve_keys(unit: np.ndarray, frame: tuple[np.ndarray, np.ndarray], bits: int = 12) -> np.ndarray:
+def curve_keys(unit: np.ndarray, frame: tuple[np.ndarray, np.ndarray], bits: int = 10) -> np.ndarray:
     turn, shift = frame
     place = np.clip(unit @ turn * np.sqrt(unit.shape[1]) / 8 + 0.5 + shift, 0, 1 - 1e-9)
     return hilbert((place * (1 << bits)).astype(np.int64), bits)
@@ -83,6 +88,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def cosine(x: Column, y: Column) -> Column:
+    """Cosine of two arrays of doubles, summed in the order of components."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda total, z: total + z)
+    return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+
+
 def points(rows: DataFrame, keep_ids: int) -> DataFrame:
     """vector, node (its least id), ids (its least keep_ids ids), asked (whether any of its ids is a query)."""
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
@@ -92,10 +103,47 @@ def points(rows: DataFrame, keep_ids: int) -> DataFrame:
     return ids.join(asked, "vector", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
 
 
-def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = 10, share: float = 0.16, axes: int = 4, block: int = 1024, seed: int = 11) -> DataFrame:
+def codes_of(unit: np.ndarray) -> np.ndarray:
+    """A signed byte for each component, in units of the vector's largest one."""
+    return np.rint(unit / np.abs(unit).max(axis=1, keepdims=True) * 127).astype(np.int8)
+
+
+def packed(batches: Iterator[pa.RecordBatch], block: int, dims: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (curve, node, asked, code) in runs of up to `block` rows of one curve: a row for each run."""
+    from pyspark import TaskContext
+
+    part, seen, held = TaskContext.get().partitionId(), {}, []
+
+    def run(rows: list[tuple]) -> pa.RecordBatch:
+        c = rows[0][0]
+        node, asked, code = (np.concatenate([r[j] for r in rows]) for j in (1, 2, 3))
+        first = seen.get(c, 0)
+        seen[c] = first + len(node)
+        return pa.RecordBatch.from_pydict({"curve": pa.array([c], pa.int32()), "part": pa.array([part], pa.int32()), "nth": [first], "n": [len(node)], "nodes": [node.astype("<i8").tobytes()], "asked": [asked.astype(np.uint8).tobytes()], "codes": [code.tobytes()]})
+
+    for batch in batches:
+        c = batch.column("curve").to_numpy()
+        cols = batch.column("node").to_numpy(), batch.column("asked").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(batch.column("code").to_pylist()), np.int8).reshape(-1, dims)
+        at = 0
+        while at < len(c):
+            if held and held[0][0] != c[at]:
+                yield run(held)
+                held = []
+            end = min(at + block - sum(len(r[1]) for r in held), int(np.searchsorted(c, c[at], side="right")))
+            held.append((int(c[at]), *(x[at:end] for x in cols)))
+            at = end
+            if sum(len(r[1]) for r in held) == block:
+                yield run(held)
+                held = []
+    if held:
+        yield run(held)
+
+
+def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = 24, probes: int = 12, share: float = 0.06, axes: int = 6, keep: int = 32, least: int = 256, block: int = 1024, seed: int = 11) -> DataFrame:
     """query_id, rank, <id_col>, score: the k nearest found by cosine for each row where is_query holds.
 
-    share is the part of all rows that a query's window spans on a curve.
+    share is the part of all rows that a query's window spans on a curve; it
+    reaches `least` ranks to each side at any size.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "ann")
@@ -107,78 +155,61 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     dims = common[0].dims
     good = good.where(F.size("vector") == dims)
     nodes = scratch.save(points(good, k + 1), "points")
-    total = nodes.count()
+    reach = max(int(np.ceil(share * nodes.count() / 2)), least)
     turns = frames(dims, curves, axes, seed)
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            v = v / np.abs(v).max(axis=1, keepdims=True)
             unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+            code = pa.array([x.tobytes() for x in codes_of(unit)], pa.binary())
+            length = np.stack([np.linalg.norm(unit @ turn, axis=1) for turn, _ in turns], axis=1)
+            chosen = np.argsort(np.argsort(-length, axis=1, kind="stable"), axis=1, kind="stable") < probes
+            asked = batch.column("asked").to_numpy(zero_copy_only=False)
             for c, frame in enumerate(turns):
                 key = curve_keys(unit, frame).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"curve": pa.array(np.full(len(v), c, np.int32)), "key": key, "node": batch.column("node"), "asked": batch.column("asked")})
+                yield pa.RecordBatch.from_pydict({"curve": pa.array(np.full(len(v), c, np.int32)), "key": key, "node": batch.column("node"), "asked": pa.array(asked & chosen[:, c]), "code": code})
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, seen = TaskContext.get().partitionId(), np.zeros(curves, np.int64)
-        for batch in batches:
-            c = batch.column("curve").to_numpy()
-            nth = np.zeros(len(c), np.int64)
-            for x in np.unique(c):
-                own = c == x
-                nth[own] = seen[x] + np.arange(own.sum())
-                seen[x] += own.sum()
-            yield pa.RecordBatch.from_pydict({"curve": batch.column("curve"), "node": batch.column("node"), "asked": batch.column("asked"), "part": pa.array(np.full(len(c), part, np.int32)), "nth": nth})
-
-    keyed = nodes.select("node", "vector", "asked").mapInArrow(order, "curve int, key long, node long, asked boolean")
-    lined = keyed.repartitionByRange("curve", "key", "node").sortWithinPartitions("curve", "key", "node")
-    lined = scratch.save(lined.mapInArrow(number, "curve int, node long, asked boolean, part int, nth long"), "lined")
+    keyed = nodes.select("node", "vector", "asked").mapInArrow(order, "curve int, key long, node long, asked boolean, code binary")
+    lined = keyed.repartitionByRange("curve", "key", "node").sortWithinPartitions("curve", "key", "node").select("curve", "node", "asked", "code")
+    runs = scratch.save(lined.mapInArrow(lambda batches: packed(batches, block, dims), "curve int, part int, nth long, n long, nodes binary, asked binary, codes binary"), "runs")
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    ahead = lined.groupBy("curve", "part").agg(F.count("*").alias("n")).select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    placed = lined.join(ahead, ["curve", "part"]).select("curve", "node", "asked", F.expr(f"(nth + ahead) div {block}").alias("block"))
-    full = placed.join(nodes.select("node", "vector"), "node")
-
-    def gather(pdf):
-        import pandas as pd
-
-        m = np.stack(pdf["vector"].to_numpy()).astype("<f8")
-        return pd.DataFrame({"curve": [pdf["curve"].iloc[0]], "block": [pdf["block"].iloc[0]], "nodes": [pdf["node"].to_numpy("<i8").tobytes()], "asked": [pdf["asked"].to_numpy(np.uint8).tobytes()], "matrix": [m.tobytes()]})
-
-    blocks = scratch.save(full.groupBy("curve", "block").applyInPandas(gather, "curve int, block long, nodes binary, asked binary, matrix binary"), "blocks")
-    reach = int(np.ceil(share * total / 2 / block))
-    last = (total - 1) // block
+    ahead = runs.groupBy("curve", "part").agg(F.sum("n").alias("n")).select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    placed = runs.join(ahead, ["curve", "part"]).withColumn("first", F.col("nth") + F.col("ahead"))
 
     def only_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                on = np.frombuffer(row["asked"], np.uint8).astype(bool)
-                if on.any():
-                    m = np.frombuffer(row["matrix"], "<f8").reshape(-1, dims)[on]
-                    yield pa.RecordBatch.from_pydict({"curve": pa.array([row["curve"]], pa.int32()), "at": [row["block"]], "q_nodes": [np.frombuffer(row["nodes"], "<i8")[on].tobytes()], "q_matrix": [m.tobytes()]})
+                on = np.flatnonzero(np.frombuffer(row["asked"], np.uint8))
+                if len(on):
+                    code, rank = np.frombuffer(row["codes"], np.int8).reshape(-1, dims)[on], row["first"] + on
+                    yield pa.RecordBatch.from_pydict({"curve": pa.array([row["curve"]], pa.int32()), "lo": [int(rank[0]) - reach], "hi": [int(rank[-1]) + reach], "q_nodes": [np.frombuffer(row["nodes"], "<i8")[on].tobytes()], "q_ranks": [rank.astype("<i8").tobytes()], "q_codes": [code.tobytes()]})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("q_nodes", "q_matrix", "nodes", "matrix")}
-                q, x = (np.frombuffer(row[c], "<f8").reshape(-1, dims) for c in ("q_matrix", "matrix"))
-                q_node, node = (np.frombuffer(row[c], "<i8") for c in ("q_nodes", "nodes"))
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                q, x = (np.frombuffer(row[c], np.int8).reshape(-1, dims).astype(np.float32) for c in ("q_codes", "codes"))
+                q_node, q_rank, node = (np.frombuffer(row[c], "<i8") for c in ("q_nodes", "q_ranks", "nodes"))
                 s = q @ x.T / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1))
-                order_ = np.lexsort((np.broadcast_to(node, s.shape), -s), axis=1)[:, : k + 1]
-                yield pa.RecordBatch.from_pydict({"q_node": np.repeat(q_node, order_.shape[1]), "node": node[order_].ravel(), "score": np.take_along_axis(s, order_, 1).ravel()})
-
-    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a block is half a megabyte at 64 axes
-    try:
-        asks = scratch.save(blocks.mapInArrow(only_asked, "curve int, at long, q_nodes binary, q_matrix binary"), "asks")
-        wide = asks.withColumn("block", F.explode(F.sequence(F.greatest(F.col("at") - reach, F.lit(0)), F.least(F.col("at") + reach, F.lit(last)))))
-        pairs = wide.join(blocks.drop("asked"), ["curve", "block"]).select("q_nodes", "q_matrix", "nodes", "matrix")
-        found = scratch.save(pairs.mapInArrow(compare, "q_node long, node long, score double"), "found")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
-    best = found.groupBy("q_node", "node").agg(F.max("score").alias("score"))
-    nth = F.row_number().over(Window.partitionBy("q_node").orderBy(F.desc("score"), "node"))
-    best = best.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth")
+                s[np.abs(q_rank[:, None] - (row["first"] + np.arange(len(node)))) > reach] = -2
+                best = np.lexsort((np.broadcast_to(node, s.shape), -s), axis=1)[:, :keep]
+                score = np.take_along_axis(s, best, 1).ravel()
+                met = score > -2
+                yield pa.RecordBatch.from_pydict({"q_node": np.repeat(q_node, best.shape[1])[met], "node": node[best].ravel()[met], "near": score[met]})
+
+    asks = placed.select("curve", "first", "nodes", "asked", "codes").mapInArrow(only_asked, "curve int, lo long, hi long, q_nodes binary, q_ranks binary, q_codes binary")
+    cells = lambda lo, hi: F.explode(F.sequence(F.expr(f"greatest({lo}, 0) div {block}"), F.expr(f"({hi}) div {block}")))
+    wide = asks.withColumn("cell", cells("lo", "hi"))
+    spread = placed.select("curve", "first", "n", "nodes", "codes").withColumn("cell", cells("first", "first + n - 1"))
+    once = F.expr(f"cell = greatest(first, lo, 0) div {block}")
+    pairs = wide.join(spread, ["curve", "cell"]).where(once).select("q_nodes", "q_ranks", "q_codes", "nodes", "codes", "first")
+    found = scratch.save(pairs.mapInArrow(compare, "q_node long, node long, near float"), "found")
+    nth = F.row_number().over(Window.partitionBy("q_node").orderBy(F.desc("near"), "node"))
+    near = found.groupBy("q_node", "node").agg(F.max("near").alias("near")).withColumn("nth", nth).where(F.col("nth") <= keep)
+    vectors = near.join(nodes.select("node", "vector"), "node").join(nodes.select(F.col("node").alias("q_node"), F.col("vector").alias("asked_vector")), "q_node")
+    best = vectors.select("q_node", "node", cosine(F.col("asked_vector"), F.col("vector")).alias("score"))
     ids = best.join(nodes.select("node", "ids"), "node").select("q_node", "score", F.explode("ids").alias("id"))
     least = F.row_number().over(Window.partitionBy("q_node").orderBy(F.desc("score"), "id"))
     ids = ids.withColumn("nth", least).where(F.col("nth") <= k + 1).drop("nth")
