@@ -6,8 +6,11 @@ is a window (an item with fewer words is one window).  All windows of whole
 documents are hashed in place and looked up in the set of the items' hashes;
 what the set lets through is compared word by word with the items' windows.
 
-The set goes into the plan only if it has at most `most` hashes; a larger
-benchmark is joined by shuffling hashes instead, with the same result.
+The set of hashes is broadcast while it takes at most MOST_BYTES; windows are
+rows only between being hashed and being looked up, and texts are not
+shuffled.  For a larger benchmark the hashes of all windows are shuffled
+instead, with the same result.  Which items a window belongs to is joined to
+the few windows that are left, and is never broadcast by hand.
 Native expressions only.
 
 Defined cases: a null or empty text has no words, is never hit and keeps its
@@ -26,19 +29,21 @@ from strataline.session import Scratch
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Largest number of window hashes that is put into the plan (8 bytes each there, about 100 in a hash set).
-MOST_HASHES = 100_000
+#: Largest set of window hashes that is broadcast, and what one takes there.
+MOST_BYTES, HASH_BYTES = 256 << 20, 64
+MOST_HASHES = MOST_BYTES // HASH_BYTES
+
+#: Largest number of documents to drop that is broadcast (an id and a fingerprint each, about 100 bytes).
+MOST_IDS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-_WORDS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), R'{WORD}', 0)"
-
-
 def _hash_at(hashes: str, i: str, n: int) -> str:
-    return f"xxhash64({', '.join(f'get({hashes}, {i} + {k})' for k in range(n))})"
+    """The hash of n words from word i on, which tells lengths apart."""
+    return f"xxhash64({n}, {', '.join(f'get({hashes}, {i} + {k})' for k in range(n))})"
 
 
 def item_windows(items: DataFrame, window: int = 10) -> DataFrame:
@@ -51,60 +56,45 @@ def item_windows(items: DataFrame, window: int = 10) -> DataFrame:
     return rows.select("item_id", "n", F.array_join("w", " ").alias("said"), hashed.alias("h")).select("item_id", "n", "said", by_length.alias("hash")).distinct()
 
 
-def _windows(scratch: Scratch, items: DataFrame, window: int, most: int) -> tuple[DataFrame, list[int], bool]:
-    """The saved windows, the lengths they have, and whether their hashes may go into the plan."""
+def scan(docs: DataFrame, items: DataFrame, window: int = 10, most: int = MOST_HASHES) -> DataFrame:
+    """doc_id, print, n_words, hit_words (array of word positions inside any occurrence), item_ids (sorted strings): a saved row for each hit (doc_id, print)."""
+    scratch = Scratch(docs.sparkSession, "decontam")
     bench = scratch.save(item_windows(items, window), "windows")
     lengths = sorted(r.n for r in bench.select("n").distinct().collect())  # at most `window` numbers
-    return bench, lengths, bench.select("n", "hash").distinct().count() <= most
-
-
-def _hashes(bench: DataFrame, n: int) -> str:
-    return ", ".join(f"{r.hash}L" if r.hash > -(1 << 63) else "(-9223372036854775807L - 1L)" for r in bench.where(F.col("n") == n).select("hash").distinct().collect())
-
-
-def scan(docs: DataFrame, items: DataFrame, window: int = 10, most: int = MOST_HASHES) -> tuple[DataFrame, DataFrame]:
-    """Saves two tables.
-
-    base: doc_id, print, n_words, a row for each document row.
-    hits: doc_id, print, hit_words (array of word positions inside any
-    occurrence), item_ids (sorted strings), a row for each hit (doc_id, print).
-    """
-    scratch = Scratch(docs.sparkSession, "decontam")
-    bench, lengths, small = _windows(scratch, items, window, most)
+    keys = bench.select("hash").distinct()
     rows = need(docs, "doc_id", "text").select("doc_id", fingerprint(F.col("text")).alias("print"), words_of(F.col("text")).alias("words"))
     hashed = rows.select("*", F.expr("transform(words, x -> xxhash64(x))").alias("h"))
-    said = "array_join(slice(words, i + 1, {n}), ' ')"
-    if small:
-        found = [f"if(size(words) >= {n}, transform(filter(sequence(0, size(words) - {n}), i -> {_hash_at('h', 'i', n)} in ({_hashes(bench, n)})), i -> struct(i as at, {n} as n, {said.format(n=n)} as said)), array())" for n in lengths]
-        spots = F.expr(f"concat({', '.join(found)})") if found else F.expr("array()").cast("array<struct<at:int,n:int,said:string>>")
-        base = scratch.save(hashed.select("doc_id", "print", F.size("words").cast("long").alias("n_words"), spots.alias("spots")), "base")
-        spotted = base.where("size(spots) > 0").select("doc_id", "print", F.explode("spots").alias("s")).select("doc_id", "print", "s.*")
+    every = [f"if(size(words) >= {n}, transform(sequence(0, size(words) - {n}), i -> struct(i as at, {n} as n, {_hash_at('h', 'i', n)} as hash)), array())" for n in lengths]
+    spots = F.expr(f"concat({', '.join(every)})") if every else F.expr("array()").cast("array<struct<at:int,n:int,hash:bigint>>")
+    said = F.expr("array_join(slice(words, at + 1, n), ' ')").alias("said")
+    # the array is a column before it is exploded, and exploded with its empty ones: so it is computed once a row, and the words are not copied for each window
+    one = hashed.select("doc_id", "print", "words", spots.alias("spots"))
+    if keys.count() <= most:
+        met = one.select("doc_id", "print", "words", F.explode_outer("spots").alias("s")).select("doc_id", "print", "words", "s.*").join(F.broadcast(keys), "hash", "left_semi")
     else:
-        base = scratch.save(rows.select("doc_id", "print", F.size("words").cast("long").alias("n_words")), "base")
-        every = [f"if(size(words) >= {n}, transform(sequence(0, size(words) - {n}), i -> struct(i as at, {n} as n, {_hash_at('h', 'i', n)} as hash)), array())" for n in lengths]
-        spots = hashed.select("doc_id", "print", F.expr(f"explode(concat({', '.join(every)}))").alias("s")).select("doc_id", "print", "s.*")
-        met = spots.join(bench.select("n", "hash").distinct(), ["n", "hash"], "left_semi").groupBy("doc_id", "print").agg(F.collect_set(F.struct("at", "n")).alias("s"))
-        again = rows.alias("r").join(met.alias("m"), F.expr("r.doc_id <=> m.doc_id and r.print = m.print")).select("r.doc_id", "r.print", "words", "s")
-        spotted = again.select("doc_id", "print", F.expr("explode(transform(s, t -> struct(t.at as at, t.n as n, array_join(slice(words, t.at + 1, t.n), ' ') as said)))").alias("s")).select("doc_id", "print", "s.*")
-    items_of = bench.groupBy("n", "said").agg(F.collect_set("item_id").alias("ids"))  # as many ids as the benchmark has for a window
-    exact = spotted.join(F.broadcast(items_of) if small else items_of, ["n", "said"])
-    hits = exact.groupBy("doc_id", "print").agg(
+        near = one.select("doc_id", "print", F.explode("spots").alias("s")).select("doc_id", "print", "s.*").join(keys.hint("merge"), "hash", "left_semi")
+        near = near.groupBy("doc_id", "print").agg(F.collect_set(F.struct("at", "n")).alias("s"))  # windows of one text
+        again = rows.alias("r").join(near.alias("m").hint("merge"), F.expr("r.doc_id <=> m.doc_id and r.print = m.print")).select("r.doc_id", "r.print", "words", "s")
+        met = again.select("doc_id", "print", "words", F.explode_outer("s").alias("s")).select("doc_id", "print", "words", "s.*")
+    spotted = met.select("doc_id", "print", F.size("words").cast("long").alias("n_words"), "at", "n", said)
+    exact = spotted.join(bench.select("n", "said", "item_id"), ["n", "said"])
+    hits = exact.groupBy("doc_id", "print", "n_words").agg(
         F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(at, at + n - 1)")))).alias("hit_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"),
+        F.array_sort(F.collect_set("item_id")).alias("item_ids"),
     )
-    return base, scratch.save(hits, "hits")
+    return scratch.save(hits, "hits")
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = 10, most: int = MOST_HASHES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document row."""
-    base, hits = scan(docs, items, window, most)
+    hits = scan(docs, items, window, most).drop("n_words")
+    base = need(docs, "doc_id", "text").select("doc_id", fingerprint(F.col("text")).alias("print"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     joined = base.alias("b").join(hits.alias("h"), F.expr("b.doc_id <=> h.doc_id and b.print = h.print"), "left")
-    n_hit = F.coalesce(F.size("h.hit_words"), F.lit(0)).cast("long")
     ids = F.coalesce(F.col("h.item_ids"), F.array().cast("array<string>"))
     return joined.select(
         F.col("b.doc_id").alias("doc_id"),
         "n_words",
-        F.when(F.col("h.print").isNull(), F.lit(0)).otherwise(n_hit).cast("long").alias("n_hit"),
+        F.when(F.col("h.print").isNull(), F.lit(0)).otherwise(F.size("h.hit_words")).cast("long").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         F.col("h.print").isNotNull().alias("contaminated"),
@@ -114,22 +104,13 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10, most: int = MOST
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, most: int = MOST_HASHES, least_share: float = 0.0) -> DataFrame:
     """`docs` without the documents of which more than least_share of the words are hit; all columns stay.
 
-    If any hit counts and the windows fit into the plan, documents are tested
-    in place and no text is shuffled; else they are joined with the hits.
+    Who goes is broadcast if that is at most MOST_IDS documents, and joined by
+    a shuffle of texts beyond.
     """
-    scratch = Scratch(docs.sparkSession, "decontam")
-    bench, lengths, small = _windows(scratch, items, window, most)
-    if not least_share and small:
-        if not lengths:
-            return docs
-        said = {n: ", ".join(f"'{r.said}'" for r in bench.where(F.col("n") == n).select("said").distinct().collect()) for n in lengths}  # words hold no quotes
-        tests = [f"(size(w) >= {n} and exists(sequence(0, size(w) - {n}), i -> {_hash_at('h', 'i', n)} in ({_hashes(bench, n)}) and array_join(slice(w, i + 1, {n}), ' ') in ({said[n]})))" for n in lengths]
-        # w and h are bound once a row; as columns they would be computed anew for each i when the filter is pushed down
-        return docs.where(f"not exists(array({_WORDS_SQL}), w -> exists(array(transform(w, x -> xxhash64(x))), h -> {' or '.join(tests)}))")
-    base, hits = scan(docs, items, window, most)
-    bad = base.alias("b").join(hits.alias("h"), F.expr("b.doc_id <=> h.doc_id and b.print = h.print")).where(F.size("h.hit_words") > F.lit(least_share) * F.col("n_words"))
-    bad = bad.select(F.col("b.doc_id").alias("__id"), F.col("b.print").alias("__print")).distinct()
-    return docs.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (fingerprint(F.col("text")) == F.col("__print")), "left_anti")
+    hits = scan(docs, items, window, most)
+    bad = hits.where(F.size("hit_words") > F.lit(least_share) * F.col("n_words")).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"))
+    bad = F.broadcast(bad) if bad.count() <= MOST_IDS else bad.hint("merge")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (fingerprint(F.col("text")) == F.col("__print")), "left_anti")
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, window: int = 10, most: int = MOST_HASHES) -> DataFrame:
@@ -138,7 +119,7 @@ def cut_spans(docs: DataFrame, items: DataFrame, window: int = 10, most: int = M
     The hit words of a text are replaced by nothing; words that remain are
     unchanged, and so is everything between them.
     """
-    _, hits = scan(docs, items, window, most)
+    hits = scan(docs, items, window, most)
     h = hits.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("hit_words").alias("__hit"))
     joined = docs.join(h, F.col("doc_id").eqNullSafe(F.col("__id")) & (fingerprint(F.col("text")) == F.col("__print")), "left")
     low = lower_ascii(F.col("text"))
