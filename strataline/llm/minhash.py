@@ -199,15 +199,14 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """node, hashes (binary, the upper 48 bits of each, sorted) of the texts whose doc_id is in ids."""
+    """node, hashes (binary, 8 bytes each, sorted) of the texts whose doc_id is in ids."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole):
                 hashes, at = shingle_sets(batch.column("text"), shingle)
                 a, b = _identity(hashes, at)
-                six = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 2:]).ravel()
-                sets = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 6).astype(np.int32)), pa.py_buffer(six)])
+                sets = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(hashes.astype("<u8"))]).cast(pa.binary())
                 yield pa.RecordBatch.from_pydict({"a": a, "b": b, "hashes": sets})
 
     small = ids.count() <= MOST_IDS
@@ -216,9 +215,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 
 
 def _decoded(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(data, "<u8")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -261,7 +258,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def rare_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v: pairs of nodes of open_ (node, comp, astray) in different components, one of them astray, that share a shingle of their rarest."""
+    """u, v: pairs of nodes of open_ (node, comp, astray) in different components, one of them astray, that share a shingle of their rarest.
+
+    Two sets of n >= m shingles that are to be linked share `both` of them at
+    least, t * n and 2 t / (1 + t) * m.  So one of the first n - t n + 1 of the
+    larger one is among the first m - 2 t / (1 + t) m + 1 of the smaller one,
+    in any common order.  Only the smaller side's few first shingles are keys,
+    by size class, and a shingle that no smaller set has among these meets
+    nothing, however many larger ones hold it.  What two texts of one template
+    have in common stands behind what each has of its own, if they differ in
+    more than the threshold allows.
+    """
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
@@ -286,7 +293,7 @@ def rare_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for i, x in enumerate(batch.column("hashes")):
                 h = _decoded(x.as_py())
                 n = len(h)
-                k = n - (percent * n + 99) // 100 + 1
+                k = n - -(-percent * n // 100) + 1
                 sh.append(h[np.lexsort((h, rare[(h % CELLS).astype(np.int64)]))[:k]].view(np.int64))
                 row.append(np.full(len(sh[-1]), i))
                 size.append(np.full(len(sh[-1]), n))
@@ -296,11 +303,14 @@ def rare_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     node = "struct<a:long,b:long>"
     rows = held.mapInArrow(first, f"shingle long, n long, place long, node {node}, comp {node}, astray boolean")
-    x, y = rows.where("astray").alias("x"), rows.alias("y")
-    # with sizes n and m they share `both` shingles at least, so one among the first n - both + 1 of one and m - both + 1 of the other
-    both = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent) - 1e-9)
-    first_ones = (F.col("x.place") <= F.col("x.n") - both) & (F.col("y.place") <= F.col("y.n") - both)
-    met = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where((F.col("x.comp") != F.col("y.comp")) & first_ones)
+    rows = rows.withColumn("class", F.floor(F.log(100 / min(percent, 99), F.col("n").cast("double")) + 1e-9))
+    both = lambda n, m: f"(({n} + {m}) * {percent} + {99 + percent}) div {100 + percent}"
+    small = rows.where(f"place <= n - ({both('n', 'n')})").alias("y")
+    # a larger set is of the smaller one's class or the next
+    large = rows.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1))).alias("x")
+    met = large.join(small.hint("merge"), F.expr("x.shingle = y.shingle and x.class = y.class"))
+    least = both("x.n", "y.n")
+    met = met.where(f"x.comp <> y.comp and (x.astray or y.astray) and x.n >= y.n and y.n * 100 >= x.n * {percent} and x.place <= x.n - ({least}) and y.place <= y.n - ({least})")
     return met.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
 
 
