@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -160,3 +161,40 @@ def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
                 left.sort(reverse=True)
         bins.append(own)
     return bins
+
+
+def slots(shards: list[str], size: int) -> list[int]:
+    """Owner of each slot: shards choose in turn, each from its whole order of preference."""
+    number = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+    orders = []
+    for name in shards:
+        start, stride = number(f"{name}|start") % size, number(f"{name}|stride") % (size - 1) + 1
+        orders.append(iter([(start + k * stride) % size for k in range(size)]))
+    owner: dict[int, int] = {}
+    turn = 0
+    while len(owner) < size:
+        mine = turn % len(shards)
+        owner[next(s for s in orders[mine] if s not in owner)] = mine
+        turn += 1
+    return [owner[s] for s in range(size)]
+
+
+def slot_of(*keys, size: int) -> int:
+    text = "\x1f".join("-" if k is None else f"={k}" for k in keys)
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16) % size
+
+
+def nearest(rows: list[tuple], asked, k: int) -> dict:
+    """Of each asked id the k (id, cosine) of largest cosine, ties to the smaller id; components are summed in order."""
+    def dot(x, y):
+        total = 0.0  # sum() would compensate for rounding
+        for a, b in zip(x, y, strict=True):
+            total += a * b
+        return total
+
+    out = {}
+    for q, x in rows:
+        if asked(q):
+            near = [(-(dot(x, y) / (math.sqrt(dot(x, x)) * math.sqrt(dot(y, y)))), i) for i, y in rows if i != q]
+            out[q] = [(i, -s) for s, i in sorted(near)[:k]]
+    return out

@@ -325,6 +325,57 @@ def test_few_neighbours(spark):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_recall_on_the_table(spark, sf):
+    """Of the nearest five by brute force at least nine in ten are found, with the measure exact and ties in order."""
+    big = sf.replace("sf0.001", "sf0.01")
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in table(spark, big, "embeddings").collect() if r.embedding and any(r.embedding)]
+    want = brute.nearest(rows, lambda i: i % 50 == 0, 5)
+    got: dict = {}
+    for r in queries()["op3_hilbert_neighbours"](spark, big).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got.keys() == want.keys()
+    told = {q: dict(x) for q, x in brute.nearest(rows, lambda i: i % 50 == 0, len(rows)).items()}
+    assert all(abs(told[q][i] - s) < 1e-12 for q, x in got.items() for i, s in x)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    assert all(x == sorted(x, key=lambda y: (-y[1], y[0])) for x in got.values())
+
+
+def test_scaled_copies_tie_by_id(spark):
+    """Vectors that differ by a power of two have the same cosine to the last bit."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(40, 8))
+    rows = [(i, [float(x) for x in v[i % 20] * 2.0 ** (i // 20)]) for i in range(40)] + [(100 + i, [float(x) for x in v[0] * 2.0**-i]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.search(df, F.col("vec_id") < 20, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute.nearest(rows, lambda i: i < 20, 5)
+
+
+def test_awkward_vectors(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)] + [(1, [1.0, 1.0]), (1, [5.0, -1.0]), (None, [1.0, 2.0]), (7, []), (8, None)], "vec_id long, embedding array<double>")
+    for c in ("node", "score", "rank", "key", "curve", "first", "ids"):
+        df = df.withColumn(c, F.lit("x"))
+    got = ann.search(df, F.col("vec_id") == 1, k=9).collect()
+    # (5, -1) is nearer to (1, 0) than (1, 1) is to (1, 2)
+    assert min((r["rank"], r.vec_id) for r in got) == (1, 0) and {r.vec_id for r in got} == {0, 2, 3, 4}
+
+
+def test_slots_and_places_match_brute_force(spark, sf, docs):
+    names = [f"shard-{i:04d}" for i in range(256)]
+    owner = brute.slots(names, 65_537)
+    got = {r.doc_id: (r.slot, r.shard, r.shard_name) for r in queries()["op4_sharding"](spark, sf).collect()}
+    assert got == {i: (k, owner[k], names[owner[k]]) for i, _ in docs for k in [brute.slot_of(i, size=65_537)]}
+    odd = [(None, ""), (None, None), (5, None), (5, "é"), (5, "x" * 100_000), (5, "x" * 100_000)]
+    few = brute.slots(["a", "b", "c"], 11)
+    df = spark.createDataFrame(odd, DOCS).withColumn("owner", F.lit(1)).withColumn("name", F.lit(2))
+    out = sharding.place(df, ["doc_id", "text"], ["a", "b", "c"], 11)
+    assert out.columns == ["doc_id", "text", "owner", "name", "slot", "shard", "shard_name"]
+    want = [(i, t, k, few[k]) for i, t in odd for k in [brute.slot_of(i, t, size=11)]]
+    assert sorted(((r.doc_id, r.text, r.slot, r.shard) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert sharding.place(df.limit(0), ["doc_id"], ["a"], 11).count() == 0
+
+
 def test_sharding(spark):
     shards = [f"s{i}" for i in range(7)]
     owner = sharding.fill(shards, 251)
@@ -438,6 +489,37 @@ def test_minhash_chains_and_hubs(spark):
     assert got == brute.near_groups(rows, 2)
 
 
+def test_template_costs_no_pairs(spark):
+    """Texts of one template that differ too much to be linked share all buckets and hot shingles, and leave few pairs to compare."""
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(160)]
+
+    def page(i):
+        own = list(base)
+        for k in rng.sample(range(0, 160, 2), 12):  # 24 of 159 shingles change: two pages have 0.74 in common
+            own[k] = f"p{i}_{k}"
+        return " ".join(own)
+
+    rows = [(i, page(i)) for i in range(1500)]
+    rows += [(5000 + i, rows[i][1] + f" tail{i}") for i in range(0, 1500, 50)]
+    df = spark.createDataFrame(rows, DOCS)
+    counted: list = []
+    rare, minhash.rare_pairs = minhash.rare_pairs, lambda *a: counted.append(rare(*a)) or counted[-1]
+    try:
+        got = {r.doc_id: r.component_id for r in minhash.groups(df, shingle=2).collect()}
+        assert counted[0].count() < 10 * len(rows)
+    finally:
+        minhash.rare_pairs = rare
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+
+
+def test_many_windows_are_still_broadcast(spark):
+    items = spark.range(300_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * 7 + k).cast("string")) for k in range(10)]).alias("text"))
+    read = spark.createDataFrame([(1, "x " + " ".join(f"w{7 * 250_000 + k}" for k in range(10)) + " y"), (2, " ".join(f"w{7 * 3 + k}" for k in range(9)))], DOCS)
+    a, b = ([tuple(r) for r in decontam.report(read, items, most=m).orderBy("doc_id").collect()] for m in (decontam.MOST_HASHES, 1000))
+    assert a == b and [(r[0], r[1], r[2], r[3], r[5]) for r in a] == [(1, 12, 10, 1, True), (2, 9, 0, 0, False)]
+
+
 # -- awkward rows and empty tables
 
 
