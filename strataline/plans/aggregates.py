@@ -133,17 +133,12 @@ def schedule_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.percentiles(table(spark, sf_dir, "events"), ["event_type"], F.col("value"), {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
-@query("""SELECT user_id, count(value) AS n, CASE WHEN count(value) >= 20 THEN round(median(value), 6) END AS median, CASE WHEN count(value) >= 20 THEN round(quantile_cont(value, 0.9), 6) END AS p90 FROM events WHERE event_type = 'purchase' OR user_id % 3 = 0 GROUP BY 1""")
-def speed_median_p90(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _speed(table(spark, sf_dir, "events").where("event_type = 'purchase' or user_id % 3 = 0"))
-
-
 def _speed(events: DataFrame) -> DataFrame:
     return reports.percentiles(events, ["user_id"], F.col("value"), {"median": 0.5, "p90": 0.9}, least=20)
 
 
 @query("""SELECT user_id, count(value) AS n, CASE WHEN count(value) >= 20 THEN round(median(value), 6) END AS median, CASE WHEN count(value) >= 20 THEN round(quantile_cont(value, 0.9), 6) END AS p90 FROM events GROUP BY 1""")
-def speed_median_p90_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def speed_median_p90(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _speed(table(spark, sf_dir, "events"))
 
 
@@ -154,14 +149,11 @@ def cohort_first_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.first_latest(rows, "user_id", "event_type", "t", "event_id").select("user_id", "event_type", "first_at", "last_id", "n")
 
 
-_POLARITY = """SELECT user_id, arg_max(CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'positive' END, (ts, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)) AS polarity FROM events WHERE event_type IN ('error', 'purchase') AND user_id % 4 <> 0 GROUP BY 1"""
+_POLARITY = """SELECT user_id, arg_max(CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'positive' END, (ts, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)) AS polarity FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1"""
 
 
-_POLARITY_WHOLE = """SELECT user_id, arg_max(CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'positive' END, (ts, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)) AS polarity FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1"""
-
-
-def _polarity(spark: SparkSession, sf_dir: str, part: str = "user_id % 4 <> 0") -> DataFrame:
-    return reports.polarity(table(spark, sf_dir, "events").where(part), "user_id", F.col("event_type") == "purchase", F.col("event_type") == "error", "ts")
+def _polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.polarity(table(spark, sf_dir, "events"), "user_id", F.col("event_type") == "purchase", F.col("event_type") == "error", "ts")
 
 
 @query(_POLARITY)
@@ -169,21 +161,13 @@ def cohort_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _polarity(spark, sf_dir)
 
 
-@query(_POLARITY_WHOLE)
-def cohort_polarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _polarity(spark, sf_dir, "true")
-
-
-_APPS = "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 17 <> 0 THEN TIMESTAMP '2024-02-01' - to_days((c_custkey % 60)::INTEGER) END AS applied_at, c_custkey % 3 = 0 AS withdrawn FROM customer WHERE c_custkey < 150"
+_APPS = "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 17 <> 0 THEN TIMESTAMP '2024-02-01' - to_days((c_custkey % 60)::INTEGER) END AS applied_at, c_custkey % 3 = 0 AS withdrawn FROM customer"
 
 
-_APPS_WHOLE = "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 17 <> 0 THEN TIMESTAMP '2024-02-01' - to_days((c_custkey % 60)::INTEGER) END AS applied_at, c_custkey % 3 = 0 AS withdrawn FROM customer"
-
-
-def _applications(spark: SparkSession, sf_dir: str, part: str = "c_custkey < 150") -> DataFrame:
+def _applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     at = F.date_add(F.lit(date(2024, 2, 1)), -(k % 60).cast("int")).cast("timestamp_ntz")
-    return table(spark, sf_dir, "customer").where(part).select(k.alias("user_id"), F.when(k % 17 != 0, at).alias("applied_at"), (k % 3 == 0).alias("withdrawn"))
+    return table(spark, sf_dir, "customer").select(k.alias("user_id"), F.when(k % 17 != 0, at).alias("applied_at"), (k % 3 == 0).alias("withdrawn"))
 
 
 @query(f"""WITH a AS ({_APPS}), p AS ({_POLARITY}), j AS (SELECT a.*, polarity, coalesce(applied_at <= TIMESTAMP '2024-02-01' - INTERVAL 30 DAY, false) AS mature FROM a LEFT JOIN p USING (user_id))
@@ -193,20 +177,6 @@ def cohort_maturity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.cohort(_applications(spark, sf_dir), _polarity(spark, sf_dir), "user_id", "applied_at", F.lit(datetime(2024, 2, 1)))
 
 
-@query(f"""WITH a AS ({_APPS_WHOLE}), p AS ({_POLARITY_WHOLE}), j AS (SELECT a.*, polarity, coalesce(applied_at <= TIMESTAMP '2024-02-01' - INTERVAL 30 DAY, false) AS mature FROM a LEFT JOIN p USING (user_id))
-SELECT count(*) AS total, count(*) FILTER (applied_at IS NULL) AS undated, count(*) FILTER (mature) AS eligible, count(*) FILTER (mature AND polarity = 'positive') AS positive, count(*) FILTER (mature AND polarity = 'rejected') AS rejected,
-count(*) FILTER (mature AND polarity IS NULL AND NOT withdrawn) AS pending, count(*) FILTER (mature AND polarity IS NULL AND withdrawn) AS "unknown" FROM j""")
-def cohort_maturity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.cohort(_applications(spark, sf_dir, "true"), _polarity(spark, sf_dir, "true"), "user_id", "applied_at", F.lit(datetime(2024, 2, 1)))
-
-
-@query(f"""WITH a AS ({_APPS}), f AS (SELECT user_id, min(ts) AS first_at FROM events WHERE event_type = 'purchase' GROUP BY 1),
-l AS (SELECT floor(epoch(first_at - applied_at) / 86400)::BIGINT AS lag FROM a JOIN f USING (user_id) WHERE first_at >= applied_at)
-SELECT CASE WHEN lag <= 7 THEN '0-7' WHEN lag <= 14 THEN '8-14' WHEN lag <= 30 THEN '15-30' ELSE '30+' END AS bucket, count(*) AS n, median(lag) AS median_lag FROM l GROUP BY 1""")
-def lag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lags(spark, sf_dir, _applications(spark, sf_dir))
-
-
 def _lags(spark: SparkSession, sf_dir: str, applications: DataFrame) -> DataFrame:
     first = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("first_at"))
     rows = applications.join(first, "user_id").where("first_at >= applied_at")
@@ -214,11 +184,11 @@ def _lags(spark: SparkSession, sf_dir: str, applications: DataFrame) -> DataFram
     return rows.groupBy(reports.histogram(lag, [(7, "0-7"), (14, "8-14"), (30, "15-30")], "30+").alias("bucket")).agg(F.count("*").alias("n"), F.median(lag).alias("median_lag"))
 
 
-@query(f"""WITH a AS ({_APPS_WHOLE}), f AS (SELECT user_id, min(ts) AS first_at FROM events WHERE event_type = 'purchase' GROUP BY 1),
+@query(f"""WITH a AS ({_APPS}), f AS (SELECT user_id, min(ts) AS first_at FROM events WHERE event_type = 'purchase' GROUP BY 1),
 l AS (SELECT floor(epoch(first_at - applied_at) / 86400)::BIGINT AS lag FROM a JOIN f USING (user_id) WHERE first_at >= applied_at)
 SELECT CASE WHEN lag <= 7 THEN '0-7' WHEN lag <= 14 THEN '8-14' WHEN lag <= 30 THEN '15-30' ELSE '30+' END AS bucket, count(*) AS n, median(lag) AS median_lag FROM l GROUP BY 1""")
-def lag_histogram_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lags(spark, sf_dir, _applications(spark, sf_dir, "true"))
+def lag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lags(spark, sf_dir, _applications(spark, sf_dir))
 
 
 _REASON = """CASE WHEN EXISTS (SELECT 1 FROM events u WHERE u.event_type = 'error' AND u.event_id - 1 = e.event_id) THEN 'undone' WHEN event_type NOT IN ('purchase', 'signup', 'click') THEN 'not_an_outcome' WHEN user_id % 10 = 0 THEN 'unconfirmed_actor' WHEN ts >= TIMESTAMP '2024-01-28' THEN 'future' WHEN ts < TIMESTAMP '2024-01-03' - INTERVAL 24 HOUR THEN 'before_window' ELSE 'counted' END"""
@@ -233,14 +203,8 @@ def cohort_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_id FROM events WHERE props IN (SELECT props FROM (SELECT props, user_id % 25 AS t FROM events WHERE event_id < 60) GROUP BY 1 HAVING count(DISTINCT t) = 1) AND event_id < 60""")
-def message_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id < 60").withColumn("t", F.col("user_id") % 25)
-    return reports.single_target(rows, "props", "t").select("event_id")
-
-
 @query("""SELECT event_id FROM events WHERE props IN (SELECT props FROM events GROUP BY 1 HAVING count(DISTINCT user_id % 25) = 1)""")
-def message_conflicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def message_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("t", F.col("user_id") % 25)
     return reports.single_target(rows, "props", "t").select("event_id")
 

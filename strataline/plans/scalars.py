@@ -59,8 +59,9 @@ def url_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PARTS = "SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^www\\.', '') AS h, regexp_extract(url, '://[^/?#]+([^?#]*)', 1) AS p, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages"
 
 
-@query(f"""SELECT page_id, h || lower(regexp_replace(p, '/+$', '')) || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END AS key FROM (
-SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: contains(x, '=') AND NOT ends_with(x, '=') AND lower(split_part(x, '=', 1)) NOT IN ({_list(urls.TRACKING)}))) AS k FROM ({_PARTS}))""")
+@query(f"""WITH k AS (SELECT *, list_transform(list_filter(string_split(q, '&'), lambda x: contains(x, '=') AND NOT ends_with(x, '=')), lambda x: {{'name': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'value': url_decode(replace(regexp_replace(x, '^[^=]*=', ''), '+', ' '))}}) AS a FROM ({_PARTS})),
+s AS (SELECT *, list_sort(list_filter(a, lambda x: lower(x.name) NOT IN ({_list(urls.TRACKING)}))) AS c FROM k)
+SELECT page_id, h || lower(regexp_replace(p, '/+$', '')) || CASE WHEN len(c) > 0 THEN '?' || array_to_string(list_transform(c, lambda x: lower(x.name) || '=' || x.value), '&') ELSE '' END AS key FROM s""")
 def url_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.normalized(F.col("url")).alias("key"))
 
@@ -125,16 +126,6 @@ def reason_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("""WITH b AS (SELECT item_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:6] AS w FROM benchmark), d AS (SELECT DISTINCT array_to_string(x[i:i + 5], ' ') AS g FROM (SELECT string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS x FROM documents) , unnest(range(1, len(x) - 4)) t(i))
-SELECT count(*) AS listed, count(*) FILTER (array_to_string(w, ' ') IN (SELECT g FROM d)) AS reached, round(count(*) FILTER (array_to_string(w, ' ') IN (SELECT g FROM d))::DOUBLE / count(*), 6) AS recall FROM b""")
-def recall_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    listed = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(tokens, 1, 6), " ").alias("g"))
-    held = table(spark, sf_dir, "documents").select(tokens.alias("x")).where("size(x) >= 6").select(F.expr("explode(transform(sequence(1, size(x) - 5), i -> array_join(slice(x, i, 6), ' ')))").alias("g"))
-    reached = listed.join(held, "g", "left_semi").withColumn("hit", F.lit(1)).select("item_id", "hit")
-    return listed.join(reached, "item_id", "left").agg(F.count("*").alias("listed"), F.count("hit").alias("reached"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
-
-
 _RUNS = "string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')"
 
 
@@ -142,7 +133,7 @@ _RUNS = "string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')"
 d AS (SELECT {_RUNS} AS x FROM documents), dw AS (SELECT DISTINCT n, array_to_string(x[i:i + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM bw) s, unnest(range(1, len(x) - n + 2)) t(i) WHERE len(x) >= n),
 r AS (SELECT DISTINCT item_id FROM bw JOIN dw USING (n, g) WHERE g <> '')
 SELECT count(*) AS listed, count(r.item_id) AS reached, round(count(r.item_id)::DOUBLE / count(*), 6) AS recall FROM b LEFT JOIN r USING (item_id)""")
-def recall_lists_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recall_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     each = F.expr("explode(transform(sequence(1, size(x) - n + 1), i -> array_join(slice(x, i, n), ' ')))").alias("g")
     items = table(spark, sf_dir, "benchmark").select("item_id", tokens.alias("x"))
@@ -168,14 +159,8 @@ def confusion_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.confusion(rows, "e", "p", ["0", "1"])
 
 
-@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<script\\b.*?</script\\s*>', ' ', 'gsi'), '<style\\b.*?</style\\s*>', ' ', 'gsi'), '<[^>]*>', ' ', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS body FROM pages WHERE NOT regexp_matches(html, '&amp;[a-z#0-9]+;|&(apos|ndash|mdash);|<!--[^>]*<(script|style)')""")
-def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").where(~F.col("html").rlike("&amp;[a-z#0-9]+;|&(apos|ndash|mdash);|<!--[^>]*<(script|style)"))
-    return pages.select("page_id", text.html_to_text(F.col("html")).alias("body"))
-
-
 @query()
-def html_to_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("body"))
 
 
@@ -187,11 +172,6 @@ def email_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", scoring.message_intent(body).alias("intent"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 2 + doc_id % 3 WHEN 1 THEN 5 WHEN 2 THEN 3 END::INTEGER AS years FROM documents WHERE NOT regexp_matches(text, '[0-9] *(years?|yrs?)')""")
-def experience_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _years(table(spark, sf_dir, "documents").where(~F.col("text").rlike("[0-9] *(years?|yrs?)")))
-
-
 def _years(docs: DataFrame) -> DataFrame:
     k = F.col("doc_id")
     tail = F.when(k % 4 == 0, F.concat(F.lit("\nRequirements:\n"), (2 + k % 3).cast("string"), F.lit("-9 years of work."))).when(k % 4 == 1, F.lit("\nPreferred:\nAt least 5 years of Go.")).when(k % 4 == 2, F.lit("\nYou have 3+ years. 8 years is a plus.")).otherwise("")
@@ -199,7 +179,7 @@ def _years(docs: DataFrame) -> DataFrame:
 
 
 @query()
-def experience_years_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def experience_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _years(table(spark, sf_dir, "documents"))
 
 
@@ -235,16 +215,11 @@ def company_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.tier(F.col("c_mktsegment"), tiers).alias("tier"))
 
 
-@query("""SELECT event_id, date_trunc('hour', ts) + to_minutes((minute(ts) // 15 * 15)::INTEGER) AS bucket, CASE WHEN epoch(TIMESTAMP '2024-01-30' - ts) / 60 <= 15 THEN 'live' WHEN epoch(TIMESTAMP '2024-01-30' - ts) / 60 <= 45 THEN 'delayed' ELSE 'stalled' END AS state FROM events WHERE ts < TIMESTAMP '2024-01-30' AND second(ts) < 59""")
-def pull_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _states(table(spark, sf_dir, "events").where((F.col("ts") < F.lit("2024-01-30").cast("timestamp_ntz")) & (F.second("ts") < 59)))
-
-
 def _states(rows: DataFrame) -> DataFrame:
     now = F.lit("2024-01-30").cast("timestamp_ntz")
     return rows.select("event_id", F.window("ts", "15 minutes")["start"].alias("bucket"), dates.pull_state(F.col("ts"), now).alias("state"))
 
 
 @query("""SELECT event_id, date_trunc('hour', ts) + to_minutes((minute(ts) // 15 * 15)::INTEGER) AS bucket, CASE WHEN ts >= TIMESTAMP '2024-01-30' - INTERVAL 15 MINUTE THEN 'live' WHEN ts >= TIMESTAMP '2024-01-30' - INTERVAL 45 MINUTE THEN 'delayed' WHEN ts IS NULL THEN 'unknown' ELSE 'stalled' END AS state FROM events""")
-def pull_states_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pull_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _states(table(spark, sf_dir, "events"))

@@ -11,9 +11,9 @@ from strataline.sources.tables import table
 from strataline.streaming import pulls
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
+    return spark.readStream.options(**options).schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
 
 
 def _drained(stream: DataFrame, name: str, scratch: Scratch) -> DataFrame:
@@ -30,7 +30,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(rows, "windows", Scratch(spark, "stream")).withColumn("started", F.col("started").cast("timestamp_ntz"))
 
 
-@query()
+@query("""SELECT 'NEW' AS change, count(DISTINCT user_id) AS n FROM events""")
 def stream_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "stream")
     stream = _stream(spark, sf_dir).select("user_id", F.col("event_id").alias("position"), F.md5(F.concat_ws("|", "event_type", "value")).alias("digest"))
@@ -41,11 +41,12 @@ def stream_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _stream(spark, sf_dir).withColumn("lane", F.col("user_id") % 5).withColumn("refused", F.col("event_type") == "error")
+    events = _stream(spark, sf_dir, maxFilesPerTrigger="8").withColumn("lane", F.col("user_id")).withColumn("refused", F.col("event_type") == "error")
     return _drained(pulls.refusal_breaker(events, "lane", "ts", "refused", most=2, within_s=3600), "breaker", Scratch(spark, "stream"))
 
 
-@query()
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, count(DISTINCT user_id) AS boards, count(*) AS attempts, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1
+HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pulls.activity(_stream(spark, sf_dir), "ts", "10 minutes", "user_id", F.col("event_type") == "error")
-    return _drained(rows, "activity", Scratch(spark, "stream"))
+    return _drained(rows, "activity", Scratch(spark, "stream")).withColumn("started", F.col("started").cast("timestamp_ntz"))

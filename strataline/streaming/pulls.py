@@ -30,9 +30,9 @@ def sliding(events: DataFrame, at: str, lateness: str, width: str, slide: str, c
 
 
 def activity(events: DataFrame, at: str, lateness: str, board: str, failed: Column) -> DataFrame:
-    """started, boards (approximately distinct), attempts, failures for each closed hour."""
+    """started, boards (distinct ones; an hour's are its state), attempts, failures for each closed hour."""
     timed = events.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", lateness)
-    rows = timed.groupBy(F.window("__at", "1 hour").alias("w")).agg(F.approx_count_distinct(board).alias("boards"), F.count("*").alias("attempts"), F.count_if(failed).alias("failures"))
+    rows = timed.groupBy(F.window("__at", "1 hour").alias("w")).agg(F.size(F.collect_set(board)).cast("long").alias("boards"), F.count("*").alias("attempts"), F.count_if(failed).alias("failures"))
     return rows.select(F.col("w.start").alias("started"), "boards", "attempts", "failures")
 
 
@@ -72,15 +72,20 @@ def refusal_breaker(events: DataFrame, lane: str, at: str, refused: str, most: i
 
     Each further trip doubles the pause up to the longest; an answer clears
     the run of refusals and the doubling.  State is one small row for a lane.
+    A task holds two numbers for each event of a lane in one batch, so bound a
+    batch by the source (maxFilesPerTrigger).
     """
+    import numpy as np
     import pandas as pd
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         recent, trips, until = state.get if state.exists else ("", 0, 0.0)
         times = [float(x) for x in recent.split(",") if x]
-        rows = pd.concat(batches).sort_values("at_s", kind="stable")
+        told = [(b["at_s"].to_numpy(np.float64), b["refused"].to_numpy(bool)) for b in batches]
+        at_s, no_s = (np.concatenate(x) for x in zip(*told, strict=True))
+        order = np.argsort(at_s, kind="stable")
         out = []
-        for t, no in zip(rows["at_s"], rows["refused"], strict=True):
+        for t, no in zip(at_s[order].tolist(), no_s[order].tolist(), strict=True):
             if not no:
                 times, trips = [], 0
                 continue
@@ -94,6 +99,6 @@ def refusal_breaker(events: DataFrame, lane: str, at: str, refused: str, most: i
         state.update((",".join(map(str, times)), trips, until))
         yield pd.DataFrame(out, columns=["lane", "paused_at", "pause_s", "trips"])
 
-    told = events.select(F.col(lane).cast("string").alias("lane"), F.unix_micros(F.col(at).cast("timestamp")).cast("double").alias("us"), F.col(refused).cast("boolean").alias("refused"))
+    told = events.select(F.col(lane).cast("string").alias("lane"), F.unix_micros(F.col(at).cast("timestamp")).cast("double").alias("us"), F.coalesce(F.col(refused).cast("boolean"), F.lit(False)).alias("refused"))
     told = told.select("lane", (F.col("us") / 1e6).alias("at_s"), "refused")
     return told.groupBy("lane").applyInPandasWithState(step, "lane string, paused_at double, pause_s long, trips long", "recent string, trips long, until double", "append", "NoTimeout")

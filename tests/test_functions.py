@@ -1,4 +1,7 @@
+import html
+import random
 from datetime import date, datetime
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ def test_link_key(spark, url, key):
     ("  ", None),
     ("https://example.com/a?ref=&src=z", "example.com/a"),
     ("ht tp://bad", None),
+    ("https://WWW.Example.com/jobs/12/?UTM_Source=x&Job_Id=A%20b&empty=", "example.com/jobs/12?job_id=A b"),
+    ("example.com/x?b=2&B=1&a+c=d%3De", "example.com/x?b=1&a c=d=e&b=2"),
 ])
 def test_normalized(spark, url, key):
     assert one(spark, urls.normalized(F.col("u")), u=url) == key
@@ -49,6 +54,7 @@ def test_company_keys(spark):
     assert one(spark, text.company_keys(F.col("c")), c="Anvil Industries Global, Inc.") == ["anvil industries global", "anvil industries", "anvil"]
     assert one(spark, text.company_keys(F.col("c")), c="Global") == ["global"]
     assert one(spark, text.company_keys(F.col("c")), c="") == []
+    assert len(one(spark, text.company_keys(F.col("c")), c="Acme Global Digital Software Systems Solutions Services")) == 7
 
 
 def test_titles(spark):
@@ -63,6 +69,24 @@ def test_html(spark):
     assert one(spark, text.unescape(F.col("h")), h="&amp;amp;lt;") == "<"
 
 
+def test_entities_as_the_library_reads_them(spark):
+    """All names, numbers in both notations, old names without their closing mark, and what is no entity at all."""
+    rng = random.Random(8)
+    some = [f"&{n}" for n in rng.sample(sorted(html5), 300)] + [f"&#{n};" for n in (0, 9, 11, 13, 31, 39, 65, 127, 128, 129, 146, 159, 160, 233, 8217, 55296, 64976, 65535, 128512, 1114111, 1114112, 99999999999)]
+    some += [f"&#x{n:X};" for n in (0x27, 0x2019, 0x1F600)] + ["&#X41", "&#65", "&#", "&#x;", "&", "&;", "&nosuch;", "&notit;", "&ampamp;", "&LT", "&copycat", "plain", " ", "&amp;eacute;"]
+    rows = [(i, "".join(rng.choice(some) + rng.choice(["", " ", "x"]) for _ in range(rng.randint(1, 6)))) for i in range(400)] + [(1000 + i, x) for i, x in enumerate(some)] + [(5000, None), (5001, "")]
+    df = spark.createDataFrame(rows, "i long, t string")
+
+    def whole(t):
+        for _ in range(5):
+            t = html.unescape(t)
+        return t
+
+    got = {r.i: r.u for r in df.select("i", text.unescape(F.col("t")).alias("u")).collect()}
+    wrong = {t: (got[i], whole(t)) for i, t in rows if t is not None and got[i] != whole(t)}
+    assert not wrong and got[5000] is None
+
+
 @pytest.mark.parametrize(("written", "day"), [
     ("2024-03-05", date(2024, 3, 5)), ("3/5/2024", date(2024, 3, 5)), ("13/2/2024", date(2024, 2, 13)), ("Mar 5, 2024", date(2024, 3, 5)),
     ("Mar 5", date(2024, 3, 5)), ("Nov 12", date(2023, 11, 12)), ("soon", None), (None, None), ("", None),

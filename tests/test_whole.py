@@ -1,11 +1,10 @@
-"""Queries over whole tables, where older ones of the same name keep a cut that their SQL repeats."""
+"""Queries over whole tables, on rows that id prefixes or filters would lose."""
 
 import json
+import random
 import re
 from datetime import datetime, timedelta
 
-import pytest
-
 from strataline import plans
 from strataline.sources import readers
 
@@ -26,19 +25,14 @@ def test_rows_beyond_the_old_cuts(spark, tmp_path):
     customers = spark.createDataFrame([(4000,), (4001,), (4003,)], "c_custkey long")
     ev = spark.createDataFrame(events, EVENTS)
     run = lambda name, **t: sorted(_run(spark, tmp_path, name, **t))
-    assert run("message_conflicts_whole", events=ev) == [(i,) for i in (*range(100, 121), 202)]
-    assert run("cohort_polarity_whole") == [(4000, "positive"), (4001, "rejected")]
-    assert run("speed_median_p90_whole") == [(4000, 21, 10.0, 18.0), (4001, 1, None, None), (4002, 1, None, None), (4003, 1, None, None)]
+    assert run("message_conflicts", events=ev) == [(i,) for i in (*range(100, 121), 202)]
+    assert run("cohort_polarity") == [(4000, "positive"), (4001, "rejected")]
+    assert run("speed_median_p90") == [(4000, 21, 10.0, 18.0), (4001, 1, None, None), (4002, 1, None, None), (4003, 1, None, None)]
     # applied 40, 41 and 43 days before the first of February
-    assert run("cohort_maturity_whole", customer=customers) == [(3, 0, 3, 1, 1, 1, 0)]
-    assert run("lag_histogram_whole") == [("15-30", 1, 28.0)]
-    assert run("message_links_whole", orders=spark.createDataFrame(orders, ORDERS)) == [(5000, 5000, "title"), (5001, 5001, "link"), (5002, 5002, "title"), (5003, None, "several"), (5200, 5200, "title")]
-    assert run("inventory_same_key_diff_whole") == [(5200,)]
-
-
-@pytest.mark.parametrize("name", ["message_conflicts", "cohort_polarity", "speed_median_p90", "cohort_maturity", "lag_histogram", "message_links", "inventory_same_key_diff"])
-def test_older_names_stay(name):
-    assert {name, f"{name}_whole"} <= set(plans.ORACLE)
+    assert run("cohort_maturity", customer=customers) == [(3, 0, 3, 1, 1, 1, 0)]
+    assert run("lag_histogram") == [("15-30", 1, 28.0)]
+    assert run("message_links", orders=spark.createDataFrame(orders, ORDERS)) == [(5000, 5000, "title"), (5001, 5001, "link"), (5002, 5002, "title"), (5003, None, "several"), (5200, 5200, "title")]
+    assert run("inventory_same_key_diff") == [(5200,)]
 
 
 def _plain_text(page):
@@ -66,17 +60,17 @@ def test_rows_that_were_hard_for_sql(spark, tmp_path):
     tails = ["\nRequirements:\n{}-9 years of work.", "\nPreferred:\nAt least 5 years of Go.", "\nYou have 3+ years. 8 years is a plus.", ""]
     texts = ["We ask for 7 years of work.", "Needs 4+ yrs of Go; 12 years preferred.", "Nice to have:\n6 years of C", "2 to 5 years of Rust.\nA company 30 years old.", "no figure", "10yrs", None, "3 years"]
     docs = list(enumerate(texts))
-    assert run("experience_years_whole", documents=spark.createDataFrame(docs, "doc_id long, text string")) == {i: _most_years((t or "") + tails[i % 4].format(2 + i % 3)) for i, t in docs}
+    assert run("experience_years", documents=spark.createDataFrame(docs, "doc_id long, text string")) == {i: _most_years((t or "") + tails[i % 4].format(2 + i % 3)) for i, t in docs}
 
     pages = ["<title>Research &amp; Development</title><p>a &amp;lt;b&amp;gt; c</p>", "<title>A <b>bold</b> one</title>x &apos;y&apos; &ndash; &mdash; z", "<title>t</title><!-- <script>var a; --> shown <!-- <style> --> too", "<script>if (a < b) {}</script>q<style>p {}</style>", "<title>plain</title> words \n here", None]
     rows = [(i, f"https://x.com/{i}", p) for i, p in enumerate(pages)]
-    assert run("html_to_text_whole", pages=spark.createDataFrame(rows, "page_id long, url string, html string")) == {i: _plain_text(p) for i, _, p in rows}
+    assert run("html_to_text", pages=spark.createDataFrame(rows, "page_id long, url string, html string")) == {i: _plain_text(p) for i, _, p in rows}
     title = lambda p: (re.search(r"(?is)<title>(.*?)</title>", p or "") or ["", ""])[1]
-    assert run("read_pages_whole") == {i: _plain_text(title(p)) for i, _, p in rows if p} | {5: ""}
+    assert run("read_pages") == {i: _plain_text(title(p)) for i, _, p in rows if p} | {5: ""}
 
     at = [datetime(2024, 1, 29, 23, 14, 59), datetime(2024, 1, 29, 23, 44, 59, 999_999), datetime(2024, 1, 29, 23, 45), datetime(2024, 1, 29, 23, 15), datetime(2024, 1, 30, 0, 0, 59), datetime(2024, 1, 31, 7, 20)]
     events = spark.createDataFrame([(i, t, 1, "view", 1.0, "{}") for i, t in enumerate(at)], EVENTS)
-    states = {r[0]: r[1:] for r in _run(spark, tmp_path, "pull_states_whole", events=events)}
+    states = {r[0]: r[1:] for r in _run(spark, tmp_path, "pull_states", events=events)}
     assert {i: s for i, (_, s) in states.items()} == {0: "stalled", 1: "delayed", 2: "live", 3: "delayed", 4: "live", 5: "live"}
     assert {i: b.replace(tzinfo=None) for i, (b, _) in states.items()} == {i: t.replace(minute=t.minute // 15 * 15, second=0, microsecond=0) for i, t in enumerate(at)}
 
@@ -94,4 +88,34 @@ def test_recall_of_any_part(spark, tmp_path):
     items = [(1, "a b c d e f g h"), (2, "q w e r t y"), (3, "two words"), (4, "not held"), (5, "x b c d e f z"), (6, "")]
     docs = [(1, "zz c d e f\n g  h zz"), (2, "some two words here"), (3, "q w e r t"), (4, None), (5, "")]
     t = {"benchmark": spark.createDataFrame(items, "item_id long, text string"), "documents": spark.createDataFrame(docs, "doc_id long, text string")}
-    assert _run(spark, tmp_path, "recall_lists_whole", **t) == [(6, 2, 0.333333)]
+    assert _run(spark, tmp_path, "recall_lists", **t) == [(6, 2, 0.333333)]
+
+
+def _trips(rows, most, within, first=600, longest=7200):
+    """One lane's pauses, event after event."""
+    recent, trips, until, out = [], 0, 0.0, []
+    for t, refused in sorted(rows, key=lambda r: r[0]):
+        if not refused:
+            recent, trips = [], 0
+        elif t >= until:
+            recent = [x for x in recent if t - x <= within] + [t]
+            if len(recent) >= most:
+                pause = min(first * 2**trips, longest)
+                trips, until, recent = trips + 1, t + pause, []
+                out.append((t, pause, trips))
+    return out
+
+
+def test_breaker_matches_event_by_event(spark, tmp_path):
+    rng, day = random.Random(4), datetime(2024, 1, 1)
+    seen, rows = set(), []
+    for i in range(600):
+        user, at = rng.randint(1, 3), rng.randint(0, 200_000)
+        if (user, at) not in seen:
+            seen.add((user, at))
+            rows.append((i, day + timedelta(seconds=at), user, rng.choice(["error"] * 5 + ["view"]), 1.0, "{}"))
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.lane, r.paused_at, r.pause_s, r.trips) for r in plans.QUERIES["stream_breaker"](spark, str(tmp_path)).collect())
+    micros = lambda t: (t - datetime(1970, 1, 1)).total_seconds()
+    want = sorted((str(u), *x) for u in (1, 2, 3) for x in _trips([(micros(t), k == "error") for _, t, v, k, _, _ in rows if v == u], 2, 3600))
+    assert got == want and len(want) > 20
