@@ -202,7 +202,7 @@ def _number_of(kind: str) -> Column:
 
 
 def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans for every row."""
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.save(judged(docs), "judged")
     votes = found.select(F.explode(F.concat("base", "loose")).alias("s")).select("s.*")
@@ -216,4 +216,5 @@ def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         F.sha2(_said(F.col("base")), 256).alias("base_sha256"),
         _said(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
