@@ -423,6 +423,46 @@ def test_risk_is_never_worse_than_unclamped():
     assert np.isfinite(w).all()
 
 
+def _risk(w, prior, p, u):
+    """The non-negative risk from the examples themselves."""
+    loss = lambda x, y: np.mean((x @ w - y) ** 2) / 4
+    return prior * loss(p, 1) + max(0.0, loss(u, -1) - prior * loss(p, -1))
+
+
+def test_risk_matches_brute_force():
+    """No weights of a wide search have a smaller risk, whether the bracket is clamped or not."""
+    clamped = 0
+    for seed, prior in ((1, 0.3), (2, 0.6), (3, 0.95), (4, 0.99)):
+        rng = np.random.default_rng(seed)
+        p = np.c_[np.ones(50), rng.normal(size=(50, 2)) + 0.8]
+        u = np.c_[np.ones(80), np.concatenate([rng.normal(size=(40, 2)) + 0.8, rng.normal(size=(40, 2)) - 0.8])]
+        m = [(x.mean(0), x.T @ x / len(x)) for x in (p, u)]
+        free = np.linalg.solve(m[1][1] + 4e-4 * np.eye(3), 2 * prior * m[0][0] - m[1][0])
+        clamped += np.mean((u @ free + 1) ** 2) < prior * np.mean((p @ free + 1) ** 2)
+        w = quality.minimise(prior, *m[0], *m[1])
+        own = _risk(w, prior, p, u)
+        tried = [w + rng.normal(size=3) * s for s in (0.01, 0.1, 1.0) for _ in range(4000)]
+        assert own <= min(_risk(x, prior, p, u) for x in tried) + 5e-3
+    assert clamped
+
+
+def test_scores_match_brute_force(spark, sf, docs):
+    """The operator's scores are those of weights fitted in one process on all training rows."""
+    import zlib
+
+    labels = table(spark, sf, "labels").collect()
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    basis = {i: quality.basis(quality.shapes(pa.array([t or ""])))[0] for i, t in docs}
+    u = np.array([x for i, x in basis.items() if not fold(i)])
+    p = np.array([basis[r.doc_id] for r in labels if r.quality == 1 and not fold(r.doc_id)])
+    m = [(x.mean(0), x.T @ x / len(x)) for x in (p, u)]
+    w = quality.minimise(quality.estimated_prior(m[0][0], m[1][0]), *m[0], *m[1])
+    got = {r.doc_id: (r.held_out, r.score, r.predicted) for r in queries()["op7_quality_classifier"](spark, sf).collect()}
+    for i, x in basis.items():
+        want = min(max((1 + x @ w) / 2, 0.0), 1.0)
+        assert got[i][0] == fold(i) and abs(got[i][1] - want) < 1e-6 and got[i][2] == int(got[i][1] >= 0.5)
+
+
 # -- duplicates and benchmarks
 
 

@@ -1,5 +1,7 @@
 """The pipeline's stages one after another against brute force."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from strataline.llm import packing
 from strataline.llm.queries import queries
@@ -37,3 +39,23 @@ def test_stages(spark, sf):
     assert set(after) == {i for i, t in before.items() if not brute.contamination(t, held)[-1]}
     assert {r.doc_id for r in kept["best_fit_packing"][1].collect()} == set(after)
     assert corpus_pipeline.run(spark, sf).count() == packing.pack(kept["best_fit_packing"][0]).count()
+
+
+def test_stages_on_awkward_and_empty_rows(spark, sf):
+    """Null ids and texts, empty and long texts, repeated rows, an id with two texts, clashing columns; then no rows at all."""
+    good = "The river runs past the old mill and the quiet village.\nPeople walk there in the evening and talk about the day.\nThe road behind the hill leads to the sea."
+    rows = [(None, None), (None, good), (1, None), (2, ""), (3, good), (3, good), (4, good + "\nOne more line at the end of it."), (4, "An other text under the same number."), (5, "word " * 40_000), (6, " \n\n ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("web"), "n_chars": F.length("text").cast("long")})
+    for c in ("print", "node", "words", "gone", "x", "score", "part", "length"):
+        docs = docs.withColumn(c, F.lit(1))
+    scratch = Scratch(spark, "test-awkward")
+    for given in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = scratch.save(stage(spark, given, sf), name)
+            if name != "best_fit_packing":
+                assert out.columns == given.columns
+            if given is docs and name == "best_fit_packing":
+                assert out.where("piece = 0").count() == len(rows)
+            assert given is docs or out.count() == 0
+        kept = scratch.save(corpus_pipeline.without_near_duplicates(spark, given, sf), "kept")
+        assert given is not docs or sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect() if r.text == good) == [(False, 3), (False, 3), (True, 0)]
