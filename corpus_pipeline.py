@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of `documents`.  run() writes each stage's rows as
 Parquet into the shared folder and reads them again as the next one's docs, so
 a lost executor costs at most the stage at hand.
+
+Defined cases: a null or empty text is scored like any other, keeps no line and
+no shingle, is linked with nothing, and packs as its end id; null ids stay and
+are one document each; rows equal in id and text are treated alike by every
+stage; an empty table gives an empty result of the same columns; columns beside
+doc_id and text pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -55,9 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over all of `documents`."""
+    """The rows of the last stage over all of `documents`.
+
+    What a stage made on its way is deleted when its rows are written.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with scratch.within(f"{name}-work"):
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
     return docs

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.functions import dates, text, urls
+from strataline.functions import dates, places, text, urls
 from strataline.operators import matching, reports, scoring
 from strataline.plans.registry import query
 from strataline.sources.tables import table
@@ -183,6 +183,15 @@ def experience_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _years(table(spark, sf_dir, "documents"))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'NON_US' WHEN 2 THEN 'ANYWHERE' ELSE 'UNKNOWN' END AS kind FROM part""")
+def place_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places that stand for each kind: a town with a state's letters, one of a country elsewhere, remote work, and a bare word."""
+    k = F.col("p_partkey")
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    place = F.when(k % 4 == 0, F.concat(F.lit("Springfield, "), pick(places.STATE_LETTERS))).when(k % 4 == 1, F.concat(F.lit("Springfield, "), pick(places.ELSEWHERE))).when(k % 4 == 2, pick(("Remote", "Anywhere", "worldwide "))).otherwise("Springfield")
+    return table(spark, sf_dir, "part").select("p_partkey", places.kind_of_place(place).alias("kind"))
+
+
 @query()
 def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = F.array(*[F.lit(t) for t in ("Software Engineer", "Senior Software Engineer", "Software Engineer Intern", "Nurse", "New Grad Machine Learning Engineer", "SWE, PhD")])
