@@ -187,24 +187,38 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
                     yield pa.RecordBatch.from_pydict({"curve": pa.array([row["curve"]], pa.int32()), "lo": [int(rank[0]) - reach], "hi": [int(rank[-1]) + reach], "q_nodes": [np.frombuffer(row["nodes"], "<i8")[on].tobytes()], "q_ranks": [rank.astype("<i8").tobytes()], "q_codes": [code.tobytes()]})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # runs of one group of queries come one after another; its best so far are kept, and given when it ends
+        held, q_node, best, score = None, None, None, None
+
+        def given() -> pa.RecordBatch:
+            met = score.ravel() > -2
+            return pa.RecordBatch.from_pydict({"q_node": np.repeat(q_node, best.shape[1])[met], "node": best.ravel()[met], "near": score.ravel()[met]})
+
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if held != (row["curve"], row["q_ranks"]):
+                    if held:
+                        yield given()
+                    held, q_node = (row["curve"], row["q_ranks"]), np.frombuffer(row["q_nodes"], "<i8")
+                    best, score = np.zeros((len(q_node), 0), np.int64), np.zeros((len(q_node), 0), np.float32)
                 q, x = (np.frombuffer(row[c], np.int8).reshape(-1, dims).astype(np.float32) for c in ("q_codes", "codes"))
-                q_node, q_rank, node = (np.frombuffer(row[c], "<i8") for c in ("q_nodes", "q_ranks", "nodes"))
+                q_rank, node = (np.frombuffer(row[c], "<i8") for c in ("q_ranks", "nodes"))
                 s = q @ x.T / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1))
                 s[np.abs(q_rank[:, None] - (row["first"] + np.arange(len(node)))) > reach] = -2
-                best = np.lexsort((np.broadcast_to(node, s.shape), -s), axis=1)[:, :keep]
-                score = np.take_along_axis(s, best, 1).ravel()
-                met = score > -2
-                yield pa.RecordBatch.from_pydict({"q_node": np.repeat(q_node, best.shape[1])[met], "node": node[best].ravel()[met], "near": score[met]})
+                score, best = np.concatenate([score, s], axis=1), np.concatenate([best, np.broadcast_to(node, s.shape)], axis=1)
+                top = np.lexsort((best, -score), axis=1)[:, :keep]
+                score, best = np.take_along_axis(score, top, 1), np.take_along_axis(best, top, 1)
+        if held:
+            yield given()
 
     asks = placed.select("curve", "first", "nodes", "asked", "codes").mapInArrow(only_asked, "curve int, lo long, hi long, q_nodes binary, q_ranks binary, q_codes binary")
-    cells = lambda lo, hi: F.explode(F.sequence(F.expr(f"greatest({lo}, 0) div {block}"), F.expr(f"({hi}) div {block}")))
+    wide_cell = max(4 * reach, block)  # a window lies in one or two of these, so a query's finds are given once or twice a curve
+    cells = lambda lo, hi: F.explode(F.sequence(F.expr(f"greatest({lo}, 0) div {wide_cell}"), F.expr(f"({hi}) div {wide_cell}")))
     wide = asks.withColumn("cell", cells("lo", "hi"))
     spread = placed.select("curve", "first", "n", "nodes", "codes").withColumn("cell", cells("first", "first + n - 1"))
-    once = F.expr(f"cell = greatest(first, lo, 0) div {block}")
-    pairs = wide.join(spread, ["curve", "cell"]).where(once).select("q_nodes", "q_ranks", "q_codes", "nodes", "codes", "first")
+    once = F.expr(f"first <= hi and first + n > lo and cell = greatest(first, lo, 0) div {wide_cell}")
+    pairs = wide.join(spread, ["curve", "cell"]).where(once).select("curve", "q_nodes", "q_ranks", "q_codes", "nodes", "codes", "first")
     found = scratch.save(pairs.mapInArrow(compare, "q_node long, node long, near float"), "found")
     nth = F.row_number().over(Window.partitionBy("q_node").orderBy(F.desc("near"), "node"))
     near = found.groupBy("q_node", "node").agg(F.max("near").alias("near")).withColumn("nth", nth).where(F.col("nth") <= keep)
