@@ -74,6 +74,24 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"), shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.llm import fim
+
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.llm import phrases
+
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, depth=5, top=2000)
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.llm import simhash
+
+    return simhash.groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
 

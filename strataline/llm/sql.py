@@ -37,4 +37,28 @@ c AS (SELECT x, min(y) AS y FROM r GROUP BY 1)
 SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(y, t.doc_id)) AS component_id, t.doc_id = least(t.doc_id, coalesce(y, t.doc_id)) AS kept
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = t.doc_id"""
 
-ORACLE: dict[str, str] = {"op8_line_dedup": LINE_DEDUP, "op9_decontamination": DECONTAMINATION, "op10_minhash_near_dedup": NEAR_DEDUP}
+FILL_IN_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, list_transform([0, 1, 2, 3], lambda i: ('0x' || substr(x, 8 * i + 1, 8))::BIGINT) AS h FROM d),
+c AS (SELECT doc_id, t, w, len(w) AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS b,
+CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, t, n, form, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+sha256(CASE form WHEN 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256 FROM p"""
+
+#: Every phrase of up to five words is counted where it stands.
+COLLOCATIONS = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW.format('text')}, '[.,;:!?\n-\r]')) AS said FROM documents),
+w AS (SELECT lang, regexp_extract_all(said, '[^ \t]+') AS x FROM d),
+f AS (SELECT lang, x[i + 1:i + k] AS p, count(*) AS f FROM w, unnest([1, 2, 3, 4, 5]) s(k), unnest(range(0, len(x) - k + 1)) t(i) WHERE len(x) >= k GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(x))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, p, f AS a FROM f WHERE len(p) >= 2),
+k AS (SELECT c.lang, c.p, c.a, n.n, k, l.f AS l, r.f AS r, (1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f) AS score
+FROM c, unnest(range(1, len(p))) u(k), f l, f r, n WHERE l.lang = c.lang AND r.lang = c.lang AND n.lang = c.lang AND l.p = c.p[1:k] AND r.p = c.p[k + 1:len(c.p)]),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+i AS (SELECT lang, p[s + 1:s + m] AS p, max(a) AS longer FROM c, unnest([2, 3, 4]) q(m), unnest(range(0, len(p) - m + 1)) v(s) WHERE len(p) > m GROUP BY ALL),
+o AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, n, score::BIGINT AS score FROM b LEFT JOIN i ON i.lang = b.lang AND i.p = b.p WHERE longer IS NULL OR longer < a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o QUALIFY rank <= 2000"""
+
+ORACLE: dict[str, str] = {"op8_line_dedup": LINE_DEDUP, "op9_decontamination": DECONTAMINATION, "op10_minhash_near_dedup": NEAR_DEDUP, "op11_fill_in_middle": FILL_IN_MIDDLE, "op12_collocations": COLLOCATIONS}
