@@ -1,4 +1,4 @@
-"""Skills, match scores and the eligibility gate.  Native columns; rules are parameters."""
+"""Skills, match scores, message intents and résumés.  Native columns; rules are parameters.  The gate is in `eligibility`."""
 
 from __future__ import annotations
 
@@ -64,79 +64,6 @@ def first_rule(text: Column, rules: list[tuple[str, str]], other: str) -> Column
     return F.coalesce(*[F.when(F.coalesce(text, F.lit("")).rlike(p), F.lit(name)) for name, p in rules], F.lit(other))
 
 
-#: Rules for role families, in order of precedence.
-FAMILIES = [
-    ("COMPILER", r"(?i)\bcompilers?\b"),
-    ("RUNTIME", r"(?i)\bruntime\b"),
-    ("QA", r"(?i)\b(?:qa|sdet|test|quality assurance)\b"),
-    ("FORWARD_DEPLOYED", r"(?i)\bforward[\s-]+deployed\b"),
-    ("SITE_RELIABILITY", r"(?i)\b(?:site reliability|sre)\b"),
-    ("AI_ML", r"(?i)\b(?:machine learning|ml|ai|deep learning)\b"),
-    ("MOBILE", r"(?i)\b(?:ios|android|mobile)\b"),
-    ("INFRASTRUCTURE", r"(?i)\b(?:infrastructure|platform|devops|cloud)\b"),
-    ("SOFTWARE_ENGINEERING", r"(?i)\b(?:software|developer|full[\s-]?stack|back[\s-]?end|front[\s-]?end|swe|sde)\b"),
-    ("DATA_ENGINEERING", r"(?i)\bdata engineer\b"),
-    ("DATA_SCIENCE", r"(?i)\bdata scien(?:ce|tist)\b"),
-]
-PRIMARY = ("SOFTWARE_ENGINEERING", "AI_ML", "INFRASTRUCTURE", "MOBILE", "COMPILER", "RUNTIME")
-
-
-def role_family(title: Column) -> Column:
-    singular = F.regexp_replace(F.coalesce(title, F.lit("")), r"(?i)\b(engineer|developer|scientist|analyst)s\b", "$1")
-    cut = F.regexp_replace(singular, r"(?i)\s+-\s+(?:department|institute|school) of.*$", "")
-    return first_rule(cut, FAMILIES, "OTHER")
-
-
-def role_priority(family: Column) -> Column:
-    return F.when(family.isin(*PRIMARY), "PRIMARY").when(family == "OTHER", "NONE").otherwise("SECONDARY")
-
-
-def required_years(description: Column) -> Column:
-    """Years of experience asked for: the most of all required figures, else of all optional ones, else null.
-
-    A range counts by its low end.  A figure is optional if its sentence or
-    line, or the nearest heading before it, says preferred.
-    """
-    lines = F.split(F.coalesce(description, F.lit("")), r"\n|(?<=[.;])\s+")
-    figure = r"(?i)(\d{1,2})\s*(?:\+|(?:-|–|to)\s*\d{1,2}\s*\+?)?\s*(?:years?|yrs?)\b(?![^.\n]{0,20}\bold\b)"
-
-    def step(acc: Column, line: Column) -> Column:
-        heading = line.rlike(r"^\s*[A-Z][^.!?]{0,60}:?\s*$") & ~line.rlike(figure)
-        soft = F.when(heading, line.rlike("(?i)prefer|nice to have|bonus|plus")).otherwise(acc["soft"])
-        n = F.array_max(F.transform(F.regexp_extract_all(line, F.lit(figure), F.lit(1)), lambda x: x.cast("int")))
-        optional = soft | line.rlike(r"(?i)prefer|nice to have|bonus|a plus")
-        return F.struct(soft.alias("soft"), F.greatest(acc["must"], F.when(~optional, n)).alias("must"), F.greatest(acc["may"], F.when(optional, n)).alias("may"))
-
-    start = F.struct(F.lit(False).alias("soft"), F.lit(None).cast("int").alias("must"), F.lit(None).cast("int").alias("may"))
-    return F.aggregate(lines, start, step, lambda a: F.coalesce(a["must"], a["may"]))
-
-
-#: Gate checks on title and description, in order: code, where, pattern.
-CHECKS = [
-    ("SENIOR_TITLE", "title", r"(?i)\b(?:senior|sr\.?|staff|principal|lead|manager|director|architect|head of|vp)\b"),
-    ("PHD_TARGETED_ROLE", "title", r"(?i)\bph\.?\s?d\b"),
-    ("INTERNSHIP_ROLE", "title", r"(?i)\b(?:intern|internship|co-?op)\b"),
-    ("CONTRACT_ROLE", "title", r"(?i)\b(?:contract|contractor|temporary)\b"),
-    ("PART_TIME_ROLE", "title", r"(?i)\bpart[\s-]time\b"),
-    ("SECURITY_ROLE", "title", r"(?i)\b(?:security|soc) (?:analyst|engineer)\b"),
-    ("CITIZENSHIP_BLOCKER", "description", r"(?i)\b(?:u\.?s\.?|united states) citizen(?:s|ship)?\b.{0,40}\b(?:required|only|must)\b|\bmust be (?:a )?u\.?s\.? citizen"),
-    ("CLEARANCE_BLOCKER", "description", r"(?i)\b(?:active|current|obtain)\b.{0,40}\b(?:security )?clearance\b"),
-    ("SPONSORSHIP_BLOCKER", "description", r"(?i)\b(?:no|not|unable to|cannot)\b.{0,40}\b(?:sponsor|sponsorship)\b"),
-]
-
-
-def gate(title: Column, description: Column, in_country: Column, most_years: int = 4) -> Column:
-    """struct(status, codes): every failing check's code in order and REJECT, or PASS with notes."""
-    where = {"title": F.coalesce(title, F.lit("")), "description": F.coalesce(description, F.lit(""))}
-    family, years = role_family(title), required_years(description)
-    code = lambda cond, name: F.when(F.coalesce(cond, F.lit(False)), F.lit(name))
-    codes = F.array_compact(F.array(code(family == "OTHER", "NON_TARGET_ROLE"), code(~in_country, "OUTSIDE_US"), code(years >= most_years, "EXPERIENCE_TOO_HIGH"), *[code(where[w].rlike(p), name) for name, w, p in CHECKS]))
-    notes = F.array_compact(F.array(F.lit("NO_HARD_BLOCKER"), code(F.length(F.trim(where["description"])) < 400, "REQUIREMENTS_NOT_VERIFIED"), code(where["title"].rlike(r"(?i)\b(?:new grad|graduate|university)\b"), "NEW_GRAD_TITLE"), code(where["title"].rlike(r"(?i)\b(?:early career|entry[\s-]level|junior|associate)\b"), "EARLY_CAREER_SIGNAL")))
-    # bound once, so that the rules run once a row
-    told = F.transform(F.array(F.struct(codes.alias("no"), notes.alias("yes"))), lambda s: F.struct(F.when(F.size(s["no"]) > 0, "REJECT").otherwise("PASS").alias("status"), F.when(F.size(s["no"]) > 0, s["no"]).otherwise(s["yes"]).alias("codes")))
-    return F.get(told, 0)
-
-
 #: Message intents, in order of precedence.
 INTENTS = [
     ("digest", r"(?i)\b(?:job alert|recommended jobs|newsletter|unsubscribe)\b"),

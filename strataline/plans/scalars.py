@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.functions import dates, places, text, urls
-from strataline.operators import matching, reports, scoring
+from strataline.operators import eligibility, matching, reports, scoring
 from strataline.plans.registry import query
 from strataline.sources.tables import table
 
@@ -174,8 +174,8 @@ def email_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _years(docs: DataFrame) -> DataFrame:
     k = F.col("doc_id")
-    tail = F.when(k % 4 == 0, F.concat(F.lit("\nRequirements:\n"), (2 + k % 3).cast("string"), F.lit("-9 years of work."))).when(k % 4 == 1, F.lit("\nPreferred:\nAt least 5 years of Go.")).when(k % 4 == 2, F.lit("\nYou have 3+ years. 8 years is a plus.")).otherwise("")
-    return docs.select("doc_id", scoring.required_years(F.concat(F.coalesce("text", F.lit("")), tail)).alias("years"))
+    tail = F.when(k % 4 == 0, F.concat(F.lit("\nRequirements:\n"), (2 + k % 3).cast("string"), F.lit("-9 years of work experience."))).when(k % 4 == 1, F.lit("\nPreferred qualifications:\nAt least five years of Go programming.")).when(k % 4 == 2, F.lit("\nYou have 3+ years of experience, 8 years of experience preferred.")).otherwise("")
+    return docs.select("doc_id", eligibility.required_years(F.concat(F.coalesce("text", F.lit("")), tail)).alias("years"))
 
 
 @query()
@@ -192,14 +192,6 @@ def place_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", places.kind_of_place(place).alias("kind"))
 
 
-@query()
-def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = F.array(*[F.lit(t) for t in ("Software Engineer", "Senior Software Engineer", "Software Engineer Intern", "Nurse", "New Grad Machine Learning Engineer", "SWE, PhD")])
-    title = F.element_at(titles, (F.col("doc_id") % 6 + 1).cast("int"))
-    g = scoring.gate(title, F.col("text"), F.col("lang") == "en")
-    return table(spark, sf_dir, "documents").select("doc_id", g["status"].alias("status"), F.array_join(g["codes"], ",").alias("codes"))
-
-
 @query()
 def resume_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

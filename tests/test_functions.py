@@ -121,21 +121,6 @@ def test_match_score(spark):
     assert none.score is None and none.matched == []
 
 
-@pytest.mark.parametrize(("said", "years"), [
-    ("Requires 2-5 years of Go.", 2), ("5+ years of C.\nPreferred:\n8 years of Rust.", 5), ("Nice to have: 4 years.", 4), ("none", None), (None, None), ("A company 20 years old.", None),
-])
-def test_required_years(spark, said, years):
-    assert one(spark, scoring.required_years(F.col("d").cast("string")), d=said) == years
-
-
-def test_gate(spark):
-    g = lambda t, d="x" * 400, us=True: one(spark, scoring.gate(F.col("t"), F.col("d"), F.lit(us)), t=t, d=d)
-    assert tuple(g("Software Engineer")) == ("PASS", ["NO_HARD_BLOCKER"])
-    assert tuple(g("Senior Software Engineer", us=False)) == ("REJECT", ["OUTSIDE_US", "SENIOR_TITLE"])
-    assert g("Nurse").codes == ["NON_TARGET_ROLE"]
-    assert g("New Grad SWE", d="short").codes == ["NO_HARD_BLOCKER", "REQUIREMENTS_NOT_VERIFIED", "NEW_GRAD_TITLE"]
-
-
 def test_intent(spark):
     intent = lambda b: one(spark, scoring.message_intent(F.col("b")), b=b)
     assert intent("Thank you for applying. We regret to inform you.") == "rejection"

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from strataline import plans
 from strataline.sources import readers
+from tests.test_eligibility import plain_years
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
@@ -44,23 +45,12 @@ def _plain_text(page):
     return re.sub(r"[ \t\n\x0b\f\r]+", " ", page).strip(" ")
 
 
-def _most_years(text):
-    figure = r"(?i)(\d{1,2})\s*(?:\+|(?:-|–|to)\s*\d{1,2}\s*\+?)?\s*(?:years?|yrs?)\b(?![^.\n]{0,20}\bold\b)"
-    soft, found = False, {True: [], False: []}
-    for line in re.split(r"\n|(?<=[.;])\s+", text):
-        own = [int(x) for x in re.findall(figure, line)]
-        if not own and re.search(r"^\s*[A-Z][^.!?]{0,60}:?\s*$", line):
-            soft = bool(re.search("(?i)prefer|nice to have|bonus|plus", line))
-        found[soft or bool(re.search("(?i)prefer|nice to have|bonus|a plus", line))] += own
-    return max(found[False] or found[True], default=None)
-
-
 def test_rows_that_were_hard_for_sql(spark, tmp_path):
     run = lambda name, **t: dict(x[:2] for x in _run(spark, tmp_path, name, **t))
-    tails = ["\nRequirements:\n{}-9 years of work.", "\nPreferred:\nAt least 5 years of Go.", "\nYou have 3+ years. 8 years is a plus.", ""]
-    texts = ["We ask for 7 years of work.", "Needs 4+ yrs of Go; 12 years preferred.", "Nice to have:\n6 years of C", "2 to 5 years of Rust.\nA company 30 years old.", "no figure", "10yrs", None, "3 years"]
+    tails = ["\nRequirements:\n{}-9 years of work experience.", "\nPreferred qualifications:\nAt least five years of Go programming.", "\nYou have 3+ years of experience, 8 years of experience preferred.", ""]
+    texts = ["We ask for 7 years of work.", "Needs 4+ yrs of Go work; 12 years of work preferred.", "Nice to have:\n6 years of C experience", "2 to 5 years of Rust.\nA company 30 years old.", "no figure", "10yrs", None, "3 years"]
     docs = list(enumerate(texts))
-    assert run("experience_years", documents=spark.createDataFrame(docs, "doc_id long, text string")) == {i: _most_years((t or "") + tails[i % 4].format(2 + i % 3)) for i, t in docs}
+    assert run("experience_years", documents=spark.createDataFrame(docs, "doc_id long, text string")) == {i: plain_years((t or "") + tails[i % 4].format(2 + i % 3)) for i, t in docs}
 
     pages = ["<title>Research &amp; Development</title><p>a &amp;lt;b&amp;gt; c</p>", "<title>A <b>bold</b> one</title>x &apos;y&apos; &ndash; &mdash; z", "<title>t</title><!-- <script>var a; --> shown <!-- <style> --> too", "<script>if (a < b) {}</script>q<style>p {}</style>", "<title>plain</title> words \n here", None]
     rows = [(i, f"https://x.com/{i}", p) for i, p in enumerate(pages)]
