@@ -5,10 +5,12 @@ A suffix pointer is a word's place; what follows it in its piece, up to `depth`
 words, is its suffix, and phrases are beginnings of suffixes.
 
 1. Words are counted; a phrase is no more frequent than its rarest word.
-2. Pairs of frequent words are counted, summed up in each task before they are
-   shuffled.
-3. Suffixes end before the first word, or pair, that is not frequent.  Those of
-   three words or more are routed over the cluster by their two leading words.
+2. Pairs of frequent words are counted by PAIR_CELLS cells of a hash, summed up
+   in each task before they are shuffled.  Cells short of `least` hold no
+   frequent pair.
+3. Suffixes end before the first word, or pair, that is not frequent.  Their
+   pairs are counted exactly, and those of three words or more are routed over
+   the cluster by their two leading words.
    A lead with over MOST_ROWS different suffixes is routed by three, or four,
    so no group of unbounded size comes to one task; its own count is a plain
    sum with partial aggregation.
@@ -52,6 +54,10 @@ from strataline.session import Scratch
 CUTS = b".,;:!?\n\v\f\r"
 #: Bits of the tables of frequent words (1 MB) and pairs (8 MB).
 WORD_BITS, PAIR_BITS = 1 << 23, 1 << 26
+#: Cells that pairs are counted by: two pairs in one are taken for frequent too early, at the cost of rows.
+PAIR_CELLS = 1 << 40
+#: Rows that a task holds to sum up equal ones.
+HELD = 1 << 20
 #: Rows with the same leading words that are sorted in one task.
 MOST_ROWS = 1 << 17
 
@@ -66,28 +72,27 @@ def _key(lang: np.ndarray, *words: np.ndarray) -> np.ndarray:
     return key
 
 
-def bit_table(rows: DataFrame, words: int, bits: int) -> Broadcast:
-    """A table of `bits` bits with those set of the rows' (lang_id, w1, ..., w_words).
+def _cell(lang: np.ndarray, *words: np.ndarray) -> np.ndarray:
+    """The cell that a pair is counted by."""
+    return _key(lang, *words) % np.uint64(PAIR_CELLS)
+
+
+def bit_table(keys: DataFrame, bits: int) -> Broadcast:
+    """A table of `bits` bits with those set of the rows' keys.
 
     Each partition hands over its distinct places, and one partition at a time
     is with the driver; all are at most `bits` numbers of four bytes.
     """
-    names = ["lang_id", *[f"w{i + 1}" for i in range(words)]]
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = _key(*[batch.column(n).to_numpy().view(np.uint64) for n in names])
-            yield pa.RecordBatch.from_pydict({"place": np.unique((key % np.uint64(bits)).astype(np.int64))})
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"places": pa.array([batch.column("place").to_numpy().astype("<u4").tobytes()], pa.binary())})
 
     table = np.zeros(bits, bool)
-    told = rows.select(*names).mapInArrow(places, "place long").distinct()
+    told = keys.select(F.pmod("key", F.lit(bits)).alias("place")).distinct()
     for r in told.mapInArrow(packed, "places binary").toLocalIterator():
         table[np.frombuffer(r.places, "<u4")] = True
-    return rows.sparkSession.sparkContext.broadcast(np.packbits(table, bitorder="little"))
+    return keys.sparkSession.sparkContext.broadcast(np.packbits(table, bitorder="little"))
 
 
 def _has(table: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -116,23 +121,22 @@ def pointers(batch: pa.RecordBatch, words: np.ndarray) -> tuple[np.ndarray, np.n
     return ids, lang, pair
 
 
-def summed(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows of the columns, and how often each occurs.
+def summed(columns: list[np.ndarray], weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of the columns, and the sum of their weights.
 
     Rows are brought together by 64 bits of each; rows that share these by
     chance may stay in several lines, but are never taken for one.
     """
-    if not len(columns[0]):
-        return columns, np.zeros(0, np.int64)
-    key = _key(*columns)
-    order = np.argsort(key, kind="stable")
+    if not len(weight):
+        return columns, weight
+    order = np.argsort(_key(*columns), kind="stable")
     columns = [c[order] for c in columns]
     first = np.zeros(len(order), bool)
     first[0] = True
     for c in columns:
         first[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(first)
-    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
+    return [c[at] for c in columns], np.add.reduceat(weight[order], at)
 
 
 def _told(columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
@@ -140,36 +144,56 @@ def _told(columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: c.view(np.int64) for k, c in zip(names, columns, strict=True)} | {"f": n.astype(np.int64)})
 
 
-def pairs(texts: DataFrame, words: Broadcast) -> DataFrame:
-    """lang_id, w1, w2, f: pairs of words that may be frequent, with counts of parts of the rows."""
+def _held(parts: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows of all parts with their counts, equal ones summed up as far as HELD rows allow."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for own in parts:
+        held.append([*own, np.ones(len(own[0]), np.int64)])
+        rows += len(own[0])
+        if rows >= HELD:
+            *columns, weight = [np.concatenate(c) for c in zip(*held, strict=True)]
+            columns, weight = summed(columns, weight)
+            held, rows = [[*columns, weight]], len(weight)
+            if rows >= HELD // 2:
+                yield _told(columns, weight)
+                held, rows = [], 0
+    if held:
+        *columns, weight = [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield _told(*summed(columns, weight))
+
+
+def pair_cells(texts: DataFrame, words: Broadcast) -> DataFrame:
+    """key, f: cells of pairs of words that may be frequent, with counts of parts of the rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(text_slices(b, 4 << 20) for b in batches):
             ids, lang, pair = pointers(batch, words.value)
             i = np.flatnonzero(pair)
-            yield _told(*summed([lang[i], ids[i], ids[i + 1]]))
+            cell, n = np.unique(_cell(lang[i], ids[i], ids[i + 1]), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"key": cell.view(np.int64), "f": n.astype(np.int64)})
 
-    return texts.mapInArrow(count, "lang_id long, w1 long, w2 long, f long")
+    return texts.mapInArrow(count, "key long, f long")
 
 
 def suffixes(texts: DataFrame, words: Broadcast, frequent: Broadcast, depth: int) -> DataFrame:
-    """lang_id, w1, ..., f: suffixes of three words or more, up to the first pair that is not frequent; 0 where one has ended."""
+    """lang_id, w1, ..., f: suffixes up to the first pair that is not frequent, 0 where one has ended, and each one's first two words by themselves."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for batch in chain.from_iterable(text_slices(b, 4 << 20) for b in batches):
             ids, lang, pair = pointers(batch, words.value)
             i = np.flatnonzero(pair)
-            pair[i] = _has(frequent.value, _key(lang[i], ids[i], ids[i + 1]))
+            pair[i] = _has(frequent.value, _cell(lang[i], ids[i], ids[i + 1]))
             reach, on = np.ones(len(ids), np.int64), np.ones(len(ids), bool)
             for k in range(depth - 1):
                 on[: len(on) - k] &= pair[k:]
                 on[len(on) - k :] = False
                 reach += on
-            i = np.flatnonzero(reach >= 3)
-            own = [np.where(reach[i] > k, ids[np.minimum(i + k, len(ids) - 1)], np.uint64(0)) for k in range(depth)]
-            yield _told(*summed([lang[i], *own]))
+            for least, most in ((2, 2), (3, depth)):
+                i = np.flatnonzero(reach >= least)
+                yield [lang[i], *[np.where(np.minimum(reach[i], most) > k, ids[np.minimum(i + k, len(ids) - 1)], np.uint64(0)) for k in range(depth)]]
 
-    return texts.mapInArrow(cut, "lang_id long, " + ", ".join(f"w{k + 1} long" for k in range(depth)) + ", f long")
+    return texts.mapInArrow(lambda batches: _held(cut(batches)), "lang_id long, " + ", ".join(f"w{k + 1} long" for k in range(depth)) + ", f long")
 
 
 def quicksorted(columns: list[np.ndarray], weight: np.ndarray, beyond: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,14 +265,17 @@ def frequent_phrases(docs: DataFrame, least: int, depth: int, scratch: Scratch)
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_bytes(batch.column("word"))
-            yield pa.RecordBatch.from_pydict({"lang_id": batch.column("lang_id"), "w1": word_ids(data, at[:-1], at[1:]).view(np.int64), "word": batch.column("word"), "f": batch.column("f")})
+            ids = word_ids(data, at[:-1], at[1:])
+            key = _key(batch.column("lang_id").to_numpy().view(np.uint64), ids)
+            yield pa.RecordBatch.from_pydict({"lang_id": batch.column("lang_id"), "w1": ids.view(np.int64), "word": batch.column("word"), "f": batch.column("f"), "key": (key % np.uint64(WORD_BITS)).astype(np.int64)})
 
-    words = scratch.save(counted.where(F.col("f") >= least).select("lang_id", "word", "f").mapInArrow(named, "lang_id long, w1 long, word string, f long"), "frequent-words")
-    told_words = bit_table(words, 1, WORD_BITS)
+    words = scratch.save(counted.where(F.col("f") >= least).select("lang_id", "word", "f").mapInArrow(named, "lang_id long, w1 long, word string, f long, key long"), "frequent-words")
+    told_words = bit_table(words, WORD_BITS)
     plain = texts.select("lang_id", "text")
-    two = ["lang_id", "w1", "w2"]
-    frequent_pairs = scratch.save(pairs(plain, told_words).groupBy(*two).agg(F.sum("f").alias("f")).where(F.col("f") >= least), "pairs")
-    rest = scratch.save(suffixes(plain, told_words, bit_table(frequent_pairs, 2, PAIR_BITS), depth), "suffixes")
+    cells = pair_cells(plain, told_words).groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    every = scratch.save(suffixes(plain, told_words, bit_table(cells, PAIR_BITS), depth), "suffixes")
+    rest = every.where("w3 <> 0")
+    frequent_pairs = every.where("w3 = 0").groupBy("lang_id", "w1", "w2").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     names = [f"w{k + 1}" for k in range(depth)]
     filled = lambda df, n: df.select("lang_id", *names[:n], *[F.lit(0).cast("long").alias(c) for c in names[n:]], "f")
     found = [filled(words, 1), filled(frequent_pairs, 2)]
@@ -264,8 +291,8 @@ def frequent_phrases(docs: DataFrame, least: int, depth: int, scratch: Scratch)
         rest = rest.join(hot, keys, "left_semi").where(F.col(names[lead]) != 0)
         deeper = rest.groupBy(*keys, names[lead]).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
         found.append(filled(deeper, lead + 1))
-    every = reduce(DataFrame.unionByName, found)
-    return every.select("lang_id", F.filter(F.array(*names), lambda x: x != 0).alias("p"), "f"), words.select("lang_id", F.col("w1").alias("id"), "word", "f"), langs
+    told = reduce(DataFrame.unionByName, found)
+    return told.select("lang_id", F.filter(F.array(*names), lambda x: x != 0).alias("p"), "f"), words.select("lang_id", F.col("w1").alias("id"), "word", "f"), langs
 
 
 def collocations(docs: DataFrame, least: int = 100, depth: int = 5, top: int = 2000, percent: int = 100) -> DataFrame:
