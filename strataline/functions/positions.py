@@ -36,8 +36,8 @@ def any_of(patterns: Iterable[str]) -> str:
 
 
 def folded(text: Column) -> Column:
-    """The text in lower case, with the two letters that match s and i without regard to case as these."""
-    return F.translate(F.lower(text), "ſı", "si")
+    """The text in lower case, with the letters that match i and s without regard to case as these."""
+    return F.lower(F.translate(text, "İıſ", "iis"))
 
 
 @dataclass(frozen=True)

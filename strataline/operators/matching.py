@@ -144,3 +144,24 @@ def inventory(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     a, b = left.select(*key).distinct().withColumn("__l", F.lit(1)), right.select(*key).distinct().withColumn("__r", F.lit(1))
     both = a.join(b, key, "full_outer")
     return both.agg(F.count_if(F.col("__l").isNotNull() & F.col("__r").isNotNull()).alias("shared"), F.count_if(F.col("__r").isNull()).alias("left_only"), F.count_if(F.col("__l").isNull()).alias("right_only"))
+
+
+#: Largest set of different windows that is broadcast (some 100 bytes each).
+MOST_WINDOWS = 1_000_000
+
+
+def window_recall(items: DataFrame, docs: DataFrame, key: str, words: str, size: int = 6) -> DataFrame:
+    """listed, reached, recall: how many items share a window of `size` words (fewer, if the item has) with any document.
+
+    The documents' windows stream past the different windows of the items,
+    which are broadcast while they are few; what is met is made distinct in
+    each task before it moves.  Items without words are never reached.
+    """
+    each = F.expr(f"explode(transform(sequence(1, size(`{words}`) - n + 1), i -> array_join(slice(`{words}`, i, n), ' ')))").alias("g")
+    listed = items.withColumn("n", F.least(F.size(words), F.lit(size))).where("n > 0").select(key, "n", each).where("g <> ''")
+    told = listed.select("n", "g").distinct()
+    lengths = F.array(*[F.lit(r.n) for r in told.select("n").distinct().collect()]).cast("array<int>")  # at most `size` numbers
+    held = docs.select(words, F.explode(lengths).alias("n")).where(F.size(words) >= F.col("n")).select("n", each)
+    met = held.join(F.broadcast(told) if told.count() <= MOST_WINDOWS else told, ["n", "g"], "left_semi").distinct()
+    reached = listed.join(met, ["n", "g"], "left_semi").select(key).distinct().withColumn("hit", F.lit(1))
+    return items.select(key).join(reached, key, "left").agg(F.count("*").alias("listed"), F.count("hit").alias("reached"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))

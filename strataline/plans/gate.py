@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.functions.positions import Text
-from strataline.operators import eligibility
+from strataline.operators import eligibility, vocabulary
 from strataline.plans.registry import query
 from strataline.sources.tables import table
 
@@ -108,3 +108,36 @@ def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = eligibility.gate(F.col("title"), F.col("description"), F.col("location"), F.col("kind"))
     rows = _postings(spark, sf_dir).select("doc_id", g.alias("g"))
     return rows.select("doc_id", "g.status", "g.family", "g.years", F.array_join("g.codes", ",").alias("codes"))
+
+
+#: A sentence with one spelling of a skill for each document in turn, and with what is none.
+_SPELLINGS = tuple(t + ("xyz" if more == "+" else "") for _, aliases in vocabulary.SKILLS.items() for a in aliases for t, more in vocabulary.spellings(a)) + ("goland", "rustic", "sqlite", "c", "scalabl", "resilien", "data-model")
+_SAID = f"concat_ws(chr(10), text, 'We use (' || {_list(_SPELLINGS)}[doc_id % {len(_SPELLINGS)} + 1] || ').')"
+_PATTERNS = ", ".join(
+    "('" + name + "', '" + ("\\b" if t[0].isalnum() else "") + "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in t) + ("\\w" if more == "+" else "\\b" if not more and t[-1].isalnum() else "") + "')"
+    for name, aliases in vocabulary.SKILLS.items() for a in aliases for t, more in vocabulary.spellings(a)
+)
+_SKILLS = f"d AS (SELECT doc_id, lower({_SAID}) AS said FROM documents), v(name, pattern) AS (VALUES {_PATTERNS}), m AS (SELECT DISTINCT doc_id, name FROM d JOIN v ON regexp_matches(said, pattern))"
+
+
+def _skilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat_ws("\n", "text", F.concat(F.lit("We use ("), _pick(_SPELLINGS, F.col("doc_id")), F.lit(").")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", said.alias("said"))
+    return vocabulary.names_by_key(docs, "doc_id", "said", vocabulary.dictionary(spark, vocabulary.SKILLS))
+
+
+@query(f"WITH {_SKILLS} SELECT d.doc_id, coalesce(string_agg(name, ',' ORDER BY name), '') AS skills FROM d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id")
+def skills_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The skills of the whole vocabulary in each document."""
+    return _skilled(spark, sf_dir).select(F.col("key").alias("doc_id"), F.array_join("names", ",").alias("skills"))
+
+
+@query(f"WITH {_SKILLS} SELECT name AS skill, count(*) AS n, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM documents), 1) AS share FROM m WHERE name NOT IN ('python', 'sql') GROUP BY 1")
+def vocabulary_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents ask for each skill that a résumé of two lacks."""
+    every = _skilled(spark, sf_dir).select("names")
+    lacking = F.array_except("names", F.array(F.lit("python"), F.lit("sql")))
+    told = every.select(F.explode(F.array_append(lacking, F.lit(None).cast("string"))).alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
+    # the row without a skill counts the documents
+    total = told.where("skill is null").select(F.col("n").alias("total"))
+    return told.where("skill is not null").crossJoin(total).select("skill", "n", F.bround(100.0 * F.col("n") / F.col("total"), 1).alias("share"))

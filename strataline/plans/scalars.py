@@ -135,13 +135,8 @@ r AS (SELECT DISTINCT item_id FROM bw JOIN dw USING (n, g) WHERE g <> '')
 SELECT count(*) AS listed, count(r.item_id) AS reached, round(count(r.item_id)::DOUBLE / count(*), 6) AS recall FROM b LEFT JOIN r USING (item_id)""")
 def recall_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    each = F.expr("explode(transform(sequence(1, size(x) - n + 1), i -> array_join(slice(x, i, n), ' ')))").alias("g")
     items = table(spark, sf_dir, "benchmark").select("item_id", tokens.alias("x"))
-    windows = items.withColumn("n", F.least(F.size("x"), F.lit(6))).where("n > 0").select("item_id", "n", each).where("g <> ''")
-    docs = table(spark, sf_dir, "documents").select(tokens.alias("x"))
-    held = docs.crossJoin(windows.select("n").distinct()).where("size(x) >= n").select("n", each)  # six lengths at most
-    reached = windows.join(held, ["n", "g"], "left_semi").select("item_id").distinct().withColumn("hit", F.lit(1))
-    return items.join(reached, "item_id", "left").agg(F.count("*").alias("listed"), F.count("hit").alias("reached"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+    return matching.window_recall(items, table(spark, sf_dir, "documents").select(tokens.alias("x")), "item_id", "x")
 
 
 _PRED = "CASE WHEN regexp_matches(text, '!!|###|\\*\\*\\*') THEN 0 ELSE 1 END"
