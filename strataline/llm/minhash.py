@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.llm.common import fingerprint, need
+from strataline.llm.words import ODD, blanks, text_bytes, word_bounds, word_hashes
 from strataline.session import Scratch
 
 BANDS, ROWS = 36, 5
@@ -48,10 +49,8 @@ CELLS = 1 << 20
 #: Largest number of ids that is broadcast to pick texts (16 bytes each in the hash table).
 MOST_IDS = 1_000_000
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
-_BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+_ODD = ODD
+_SPACE = blanks(b" \t\n\v\f\r")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,35 +60,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of the texts that lie in `data` between offsets, and where it starts."""
-    space = _SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    word = ~space
-    start = np.flatnonzero(word & (np.concatenate([[True], space[:-1]]) | edge[:-1]))
-    end = np.flatnonzero(word & (np.concatenate([space[1:], [True]]) | edge[1:])) + 1
-    size = end - start
-    order = np.argsort(-size, kind="stable")
-    start_, alive = start[order], -np.sort(-size)
-    h = np.full(len(start), _ODD, np.uint64)
-    n, j = len(start), 0
-    while n:
-        h[:n] = (h[:n] ^ _BYTE[_LOWER[data[start_[:n] + j]]]) * np.uint64(0xD6E8FEB86659FD93)
-        h[:n] ^= h[:n] >> np.uint64(32)
-        j += 1
-        n = int(np.searchsorted(-alive, -j, side="left"))
-    out = np.empty_like(h)
-    out[order] = h
-    return out, start
-
-
-def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of all texts, and where each begins (one more than texts); null counts as empty."""
-    if texts.null_count:
-        texts = texts.fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
-    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+    start, end = word_bounds(data, offsets, _SPACE)
+    return word_hashes(data, start, end), start
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +71,7 @@ def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
     data, offsets = text_bytes(texts)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    words, start = word_hashes(data, offsets)
+    words, start = hashed_words(data, offsets)
     upto = np.searchsorted(start, offsets)
     count = np.diff(upto)
     g = np.full(max(len(words) - shingle + 1, 0), np.uint64(shingle))

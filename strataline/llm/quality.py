@@ -37,7 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataline.llm.common import fingerprint, need
-from strataline.llm.minhash import text_bytes, text_slices, word_hashes
+from strataline.llm.minhash import hashed_words, text_slices
+from strataline.llm.words import text_bytes
 from strataline.session import Scratch
 
 #: Knots of each number's hat functions.
@@ -86,7 +87,7 @@ def shapes(texts: pa.Array) -> np.ndarray:
         return (upto[ends] - upto[starts]).astype(np.float64)
 
     size = (ends - starts).astype(np.float64)
-    words, at = word_hashes(data, offsets)
+    words, at = hashed_words(data, offsets)
     line_of = np.searchsorted(starts, at, side="right") - 1
     n_words = np.bincount(line_of, minlength=len(starts)).astype(np.float64)
     same = np.zeros(len(words), bool)

@@ -294,3 +294,18 @@ def test_one_block_more_for_more_fingerprints():
 def test_queries_equal_their_sql(spark, sf, name):
     big = sf.replace("sf0.001", "sf0.01") if name == "op12_collocations" else sf
     assert compare(queries()[name](spark, big), duck(big), oracle_sql()[name]) == ""
+
+
+def test_a_word_of_five_million_letters(spark):
+    """One long word costs what its bytes cost, in sets, shapes, phrases and fingerprints alike."""
+    import time
+
+    from strataline.llm import minhash, quality
+
+    texts = pa.array(["x" * 5_000_000, "base64" * 800_000 + " and words", None, "a b c"])
+    began = time.perf_counter()
+    sets, at = minhash.shingle_sets(texts, 5)
+    assert np.diff(at).tolist() == [1, 1, 0, 1] and len(sets) == 3
+    assert quality.shapes(texts).shape == (4, len(quality.KNOTS))
+    simhash.majority(*simhash.shingle_hashes(texts, 4))
+    assert time.perf_counter() - began < 10
