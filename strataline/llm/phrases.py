@@ -11,9 +11,9 @@ words, is its suffix, and phrases are beginnings of suffixes.
 3. Suffixes end before the first word, or pair, that is not frequent.  Their
    pairs are counted exactly, and those of three words or more are routed over
    the cluster by their two leading words.
-   A lead with over MOST_ROWS different suffixes is routed by three, or four,
-   so no group of unbounded size comes to one task; its own count is a plain
-   sum with partial aggregation.
+   A lead with over MOST_ROWS suffixes is routed by three words, or four, so no
+   group of unbounded size comes to one task; its own count is a plain count
+   with partial aggregation.
 4. A task sorts what it gets by multikey three-way quicksort: pointers are
    parted at a pivot word into less, equal and greater; the equal part goes one
    word deeper.  The size of an equal part is its phrase's count, and a part
@@ -56,8 +56,6 @@ CUTS = b".,;:!?\n\v\f\r"
 WORD_BITS, PAIR_BITS = 1 << 23, 1 << 26
 #: Cells that pairs are counted by: two pairs in one are taken for frequent too early, at the cost of rows.
 PAIR_CELLS = 1 << 40
-#: Rows that a task holds to sum up equal ones.
-HELD = 1 << 20
 #: Rows with the same leading words that are sorted in one task.
 MOST_ROWS = 1 << 17
 
@@ -121,46 +119,9 @@ def pointers(batch: pa.RecordBatch, words: np.ndarray) -> tuple[np.ndarray, np.n
     return ids, lang, pair
 
 
-def summed(columns: list[np.ndarray], weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows of the columns, and the sum of their weights.
-
-    Rows are brought together by 64 bits of each; rows that share these by
-    chance may stay in several lines, but are never taken for one.
-    """
-    if not len(weight):
-        return columns, weight
-    order = np.argsort(_key(*columns), kind="stable")
-    columns = [c[order] for c in columns]
-    first = np.zeros(len(order), bool)
-    first[0] = True
-    for c in columns:
-        first[1:] |= c[1:] != c[:-1]
-    at = np.flatnonzero(first)
-    return [c[at] for c in columns], np.add.reduceat(weight[order], at)
-
-
-def _told(columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+def _told(columns: list[np.ndarray], **more: np.ndarray) -> pa.RecordBatch:
     names = ["lang_id", *[f"w{i + 1}" for i in range(len(columns) - 1)]]
-    return pa.RecordBatch.from_pydict({k: c.view(np.int64) for k, c in zip(names, columns, strict=True)} | {"f": n.astype(np.int64)})
-
-
-def _held(parts: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Rows of all parts with their counts, equal ones summed up as far as HELD rows allow."""
-    held: list[list[np.ndarray]] = []
-    rows = 0
-    for own in parts:
-        held.append([*own, np.ones(len(own[0]), np.int64)])
-        rows += len(own[0])
-        if rows >= HELD:
-            *columns, weight = [np.concatenate(c) for c in zip(*held, strict=True)]
-            columns, weight = summed(columns, weight)
-            held, rows = [[*columns, weight]], len(weight)
-            if rows >= HELD // 2:
-                yield _told(columns, weight)
-                held, rows = [], 0
-    if held:
-        *columns, weight = [np.concatenate(c) for c in zip(*held, strict=True)]
-        yield _told(*summed(columns, weight))
+    return pa.RecordBatch.from_pydict({k: c.view(np.int64) for k, c in zip(names, columns, strict=True)} | more)
 
 
 def pair_cells(texts: DataFrame, words: Broadcast) -> DataFrame:
@@ -177,9 +138,9 @@ def pair_cells(texts: DataFrame, words: Broadcast) -> DataFrame:
 
 
 def suffixes(texts: DataFrame, words: Broadcast, frequent: Broadcast, depth: int) -> DataFrame:
-    """lang_id, w1, ..., f: suffixes up to the first pair that is not frequent, 0 where one has ended, and each one's first two words by themselves."""
+    """lang_id, w1, ...: a row for each suffix of two words or more, up to the first pair that is not frequent; 0 where it has ended."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(text_slices(b, 4 << 20) for b in batches):
             ids, lang, pair = pointers(batch, words.value)
             i = np.flatnonzero(pair)
@@ -189,35 +150,33 @@ def suffixes(texts: DataFrame, words: Broadcast, frequent: Broadcast, depth: int
                 on[: len(on) - k] &= pair[k:]
                 on[len(on) - k :] = False
                 reach += on
-            for least, most in ((2, 2), (3, depth)):
-                i = np.flatnonzero(reach >= least)
-                yield [lang[i], *[np.where(np.minimum(reach[i], most) > k, ids[np.minimum(i + k, len(ids) - 1)], np.uint64(0)) for k in range(depth)]]
+            i = np.flatnonzero(reach >= 2)
+            yield _told([lang[i], *[np.where(reach[i] > k, ids[np.minimum(i + k, len(ids) - 1)], np.uint64(0)) for k in range(depth)]])
 
-    return texts.mapInArrow(lambda batches: _held(cut(batches)), "lang_id long, " + ", ".join(f"w{k + 1} long" for k in range(depth)) + ", f long")
+    return texts.mapInArrow(cut, "lang_id long, " + ", ".join(f"w{k + 1} long" for k in range(depth)))
 
 
-def quicksorted(columns: list[np.ndarray], weight: np.ndarray, beyond: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def quicksorted(columns: list[np.ndarray], beyond: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Frequent beginnings with more than `beyond` words: a row that has it, its number of words, its count.
 
     The first column is the language, the others are words, 0 where a suffix
     has ended.
     """
     found: list[tuple[int, int, int]] = []
-    todo = [(np.arange(len(weight)), 0)]
+    todo = [(np.arange(len(columns[0])), 0)]
     while todo:
         p, at = todo.pop()
         key = columns[at][p]
         ends = np.sort(key[[0, len(key) // 2, -1]])
         pivot = ends[1]
         equal = p[key == pivot]
-        size = int(weight[equal].sum())
-        if size >= least and (at == 0 or pivot):
+        if len(equal) >= least and (at == 0 or pivot):
             if at > beyond:
-                found.append((int(equal[0]), at, size))
+                found.append((int(equal[0]), at, len(equal)))
             if at + 1 < len(columns):
                 todo.append((equal, at + 1))
         for part in (p[key < pivot], p[key > pivot]):
-            if len(part) and weight[part].sum() >= least:
+            if len(part) >= least:
                 todo.append((part, at))
     row, words, f = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
     return row, words, f
@@ -229,9 +188,8 @@ def sorted_counts(lead: int, depth: int, least: int) -> Callable[[Iterator[pa.Re
 
     def counted(table: pa.Table) -> pa.RecordBatch:
         columns = [table.column(n).to_numpy().view(np.uint64) for n in names]
-        row, words, f = quicksorted(columns, table.column("f").to_numpy(), lead, least)
-        out = [columns[0][row], *[np.where(words > k, c[row], np.uint64(0)) for k, c in enumerate(columns[1:])]]
-        return _told(out, f)
+        row, words, f = quicksorted(columns, lead, least)
+        return _told([columns[0][row], *[np.where(words > k, c[row], np.uint64(0)) for k, c in enumerate(columns[1:])]], f=f)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -275,7 +233,7 @@ def frequent_phrases(docs: DataFrame, least: int, depth: int, scratch: Scratch)
     cells = pair_cells(plain, told_words).groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     every = scratch.save(suffixes(plain, told_words, bit_table(cells, PAIR_BITS), depth), "suffixes")
     rest = every.where("w3 <> 0")
-    frequent_pairs = every.where("w3 = 0").groupBy("lang_id", "w1", "w2").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    frequent_pairs = every.groupBy("lang_id", "w1", "w2").agg(F.count("*").alias("f")).where(F.col("f") >= least)
     names = [f"w{k + 1}" for k in range(depth)]
     filled = lambda df, n: df.select("lang_id", *names[:n], *[F.lit(0).cast("long").alias(c) for c in names[n:]], "f")
     found = [filled(words, 1), filled(frequent_pairs, 2)]
@@ -289,7 +247,7 @@ def frequent_phrases(docs: DataFrame, least: int, depth: int, scratch: Scratch)
         if last:
             break
         rest = rest.join(hot, keys, "left_semi").where(F.col(names[lead]) != 0)
-        deeper = rest.groupBy(*keys, names[lead]).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        deeper = rest.groupBy(*keys, names[lead]).agg(F.count("*").alias("f")).where(F.col("f") >= least)
         found.append(filled(deeper, lead + 1))
     told = reduce(DataFrame.unionByName, found)
     return told.select("lang_id", F.filter(F.array(*names), lambda x: x != 0).alias("p"), "f"), words.select("lang_id", F.col("w1").alias("id"), "word", "f"), langs
