@@ -116,27 +116,75 @@ def resolve(imported: DataFrame, stored: DataFrame, threshold: float = 0.75, mos
     return done.unionByName(unmatched).unionByName(unusable.select("row_number", F.lit("unusable").alias("status"), F.lit(None).cast("string").alias("method"), none, empty))
 
 
+#: Titles of internships, words that one title may have more than the other, and letters of a link token that names a posting by itself.
+INTERN_TITLE = r"(?i)\b(?:intern|interns|internship|co-?op)\b"
+MOST_EXTRA, LONE_TOKEN = 3, 8
+
+
+def _rarest(cores: DataFrame, counts: DataFrame) -> DataFrame:
+    """`cores` (ck, core, ...) with the word of each core that the fewest cores of its company hold."""
+    own = [c for c in cores.columns]
+    words = cores.select(*own, F.explode("core").alias("word")).join(counts, ["ck", "word"], "left")
+    return words.groupBy(*own).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).select(*own, F.col("r.word").alias("word"))
+
+
+def core_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of cores of one company of which the smaller may lie in the larger: all that do are among them.
+
+    left: ck, core and others; right: ck, r_core and others; cores are sets of
+    two words or more.  If the smaller core lies in the larger, its rarest word
+    does, so only that is its key, and the larger one's words are looked up.
+    """
+    counts = right.select("ck", F.explode("r_core").alias("word")).groupBy("ck", "word").agg(F.count("*").alias("n"))
+    turned = right.withColumnRenamed("r_core", "core")
+    short_left = _rarest(left, counts).join(right.select("*", F.explode("r_core").alias("word")), ["ck", "word"]).where(F.size("core") <= F.size("r_core"))
+    short_right = left.select("*", F.explode("core").alias("word")).join(_rarest(turned, counts).withColumnRenamed("core", "r_core"), ["ck", "word"]).where(F.size("core") > F.size("r_core"))
+    return short_left.unionByName(short_right).drop("word")
+
+
 def recall(listed: DataFrame, jobs: DataFrame, feeds: tuple[str, ...]) -> DataFrame:
     """role_id, outcome: board, feed or missed for each listed role.
 
     listed: role_id, company, title, link; jobs: id, source, company, title,
-    official_url.  A role is met by an equal place key or link token of its
-    company, by an equal title form within the company, or, for early-career
-    titles, by containment of the smaller core with at most three more words.
+    official_url.  A role is met by its link (an equal place, an equal token
+    within its company, or one of LONE_TOKEN letters anywhere); else by an
+    equal title form within its company; else by early-career postings whose
+    core lies in its own, or the other way round, with at most MOST_EXTRA
+    words more, those of the company's name aside.  No internship meets a role
+    that is none.
+
+    Postings are summed up by each key before they are joined, so an employer
+    of any number of postings gives a row or two for each key.
     """
-    exploded = lambda df, i: df.select(F.col(i).alias("rid"), F.explode(text.company_keys(F.col("company"))).alias("ck"), "*")
-    left, right = exploded(listed, "role_id").drop("rid"), exploded(jobs, "id").drop("rid")
-    intern = lambda c: F.coalesce(F.col(c).rlike(r"(?i)\b(?:intern|interns|internship|co-?op)\b"), F.lit(False))
-    l = left.select("role_id", "ck", intern("title").alias("intern"), text.title_forms(F.col("title")).alias("forms"), text.title_core(F.col("title")).alias("core"), text.is_early_title(F.col("title")).alias("early"), urls.place_key(F.col("link")).alias("uk"), urls.tokens(F.col("link")).alias("tok"))  # noqa: E741
-    r = right.select("id", "source", "ck", intern("title").alias("r_intern"), text.title_forms(F.col("title")).alias("r_forms"), text.title_core(F.col("title")).alias("r_core"), urls.place_key(F.col("official_url")).alias("r_uk"), urls.tokens(F.col("official_url")).alias("r_tok"))
-    small, large = F.least(F.size("core"), F.size("r_core")), F.greatest(F.size("core"), F.size("r_core"))
-    contained = F.col("early") & (small >= 2) & (F.size(F.array_intersect("core", "r_core")) == small) & (large - small <= 3)
-    within = F.arrays_overlap("forms", "r_forms") | ((F.col("uk") != "") & (F.col("uk") == F.col("r_uk"))) | F.arrays_overlap("tok", "r_tok") | contained
-    by_company = l.join(r, "ck").where(within & (F.col("intern") | ~F.col("r_intern"))).select("role_id", "source")
-    lk = listed.select("role_id", urls.place_key(F.col("link")).alias("uk")).where("uk <> ''")
-    by_url = lk.join(jobs.select("source", urls.place_key(F.col("official_url")).alias("uk")).where("uk <> ''"), "uk").select("role_id", "source")
-    met = by_company.union(by_url).groupBy("role_id").agg(F.max(~F.col("source").isin(*feeds)).alias("board"))
-    return listed.select("role_id").join(met, "role_id", "left").select("role_id", F.when(F.col("board"), "board").when(F.col("board").isNotNull(), "feed").otherwise("missed").alias("outcome"))
+    listed = listed.select("role_id", "company", "title", "link")
+    intern = lambda c: F.coalesce(F.col(c).rlike(INTERN_TITLE), F.lit(False))
+    core = lambda c: F.array_sort(F.array_distinct(text.title_core(F.col(c))))
+    keys = text.company_keys(F.col("company"))
+    l = listed.select("role_id", keys.alias("cks"), intern("title").alias("intern"), text.title_forms(F.col("title")).alias("forms"), core("title").alias("core"), urls.place_key(F.col("link")).alias("uk"), urls.tokens(F.col("link")).alias("tok"))  # noqa: E741
+    r = jobs.select(F.col("source").isin(*feeds).alias("feed"), keys.alias("cks"), intern("title").alias("r_intern"), text.title_forms(F.col("title")).alias("forms"), core("title").alias("r_core"), text.is_early_title(F.col("title")).alias("early"), urls.place_key(F.col("official_url")).alias("uk"), urls.tokens(F.col("official_url")).alias("tok"))
+    best = lambda df, *by: df.groupBy(*by).agg(F.min("feed").alias("feed"))
+    fits = F.col("intern") | ~F.col("r_intern")
+    near, far = l.select("*", F.explode("cks").alias("ck")), r.select("*", F.explode("cks").alias("ck"))
+
+    def tier(n: int, met: DataFrame) -> DataFrame:
+        return met.select("role_id", F.lit(n).alias("tier"), "feed")
+
+    by_place = l.where("uk <> ''").join(best(r.where("uk <> ''"), "uk"), "uk")
+    tokens = best(far.select("ck", "r_intern", "feed", F.explode("tok").alias("t")), "ck", "t", "r_intern")
+    by_token = near.select("role_id", "ck", "intern", F.explode("tok").alias("t")).join(tokens, ["ck", "t"]).where(fits)
+    lone = best(r.select("feed", F.explode("tok").alias("t")).where(F.length("t") >= LONE_TOKEN), "t")
+    by_lone = l.select("role_id", F.explode("tok").alias("t")).join(lone, "t")
+    forms = best(far.select("ck", "r_intern", "feed", F.explode("forms").alias("form")), "ck", "form", "r_intern")
+    by_form = near.select("role_id", "ck", "intern", F.explode("forms").alias("form")).join(forms, ["ck", "form"]).where(fits)
+    named = F.array_distinct(F.flatten(F.transform("cks", lambda k: F.split(k, " "))))
+    mine = near.where(F.size("core") >= 2).select("role_id", "ck", "intern", "core", named.alias("named"))
+    theirs = best(far.where(F.col("early") & (F.size("r_core") >= 2)), "ck", "r_core", "r_intern")
+    small, large = F.when(F.size("core") <= F.size("r_core"), F.col("core")).otherwise(F.col("r_core")), F.when(F.size("core") <= F.size("r_core"), F.col("r_core")).otherwise(F.col("core"))
+    more = F.array_except(F.array_except(large, small), F.col("named"))
+    by_core = core_candidates(mine, theirs).where(fits & (F.size(F.array_except(small, large)) == 0) & (F.size(more) <= MOST_EXTRA))
+    met = reduce(DataFrame.union, [tier(1, by_place), tier(1, by_token), tier(1, by_lone), tier(2, by_form), tier(3, by_core)])
+    told = met.groupBy("role_id").agg(F.min(F.struct("tier", "feed")).alias("m"))
+    return listed.select("role_id").join(told, "role_id", "left").select("role_id", F.when(F.col("m").isNull(), "missed").when(F.col("m.feed"), "feed").otherwise("board").alias("outcome"))
 
 
 def inventory(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

@@ -49,7 +49,7 @@ def test_resolve(spark):
 
 def test_recall(spark):
     listed = spark.createDataFrame([(1, "Acme, Inc.", "Software Engineer", "https://acme.com/jobs/77001"), (2, "Beta Industries", "New Grad Software Engineer 2026", None), (3, "Gamma", "Analyst", None), (4, "Acme", "Engineer Intern", None)], "role_id int, company string, title string, link string")
-    jobs = spark.createDataFrame([(1, "simplify", "Acme", "Backend", "https://acme.com/jobs/77001"), (2, "greenhouse", "Beta", "Software Engineer Search", "u"), (3, "board", "Gamma", "Painter", "v"), (4, "simplify", "Acme", "Engineer Intern", "w")], "id int, source string, company string, title string, official_url string")
+    jobs = spark.createDataFrame([(1, "simplify", "Acme", "Backend", "https://acme.com/jobs/77001"), (2, "greenhouse", "Beta", "Software Engineer Search Graduate", "u"), (3, "board", "Gamma", "Painter", "v"), (4, "simplify", "Acme", "Engineer Intern", "w"), (5, "board", "Gamma", "Senior Analyst Lead", "y")], "id int, source string, company string, title string, official_url string")
     assert {r.role_id: r.outcome for r in matching.recall(listed, jobs, ("simplify",)).collect()} == {1: "feed", 2: "board", 3: "missed", 4: "feed"}
 
 
