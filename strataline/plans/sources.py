@@ -9,24 +9,33 @@ from pyspark.sql import functions as F
 
 from strataline.plans.registry import query
 from strataline.session import Scratch
-from strataline.sources import readers, sinks
+from strataline.plans.gate import PLACES, TITLES, _list, _pick
+from strataline.sources import boards, readers, sinks
 from strataline.sources.tables import table
 
 
+#: Postings of a page, about.
+PAGE = 100
+
+
 @query("""SELECT 'greenhouse' AS source, c_name AS company, o_orderkey::VARCHAR AS external_id, o_orderpriority AS title, n_name AS location, o_orderstatus || ' &' AS description, o_orderdate AS posted_at FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
 def read_greenhouse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     job = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.struct(F.col("n_name").alias("name")).alias("location"), F.concat(F.lit("&lt;p&gt;"), "o_orderstatus", F.lit(" &amp;amp; &amp;lt;b&amp;gt;&lt;/p&gt;")).alias("content"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("first_published"))
-    boards = rows.groupBy(F.col("c_name").alias("company")).agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("payload"))  # one company's board
-    out = readers.read_json(boards, "greenhouse")
+    # a company's board comes in pages, as boards page their lists, so a page is of one size whatever the company's
+    sizes = rows.groupBy("c_name").agg(F.ceil(F.count("*") / PAGE).alias("pages"))
+    page = F.pmod(F.xxhash64("o_orderkey"), "pages")
+    paged = rows.join(sizes, "c_name").select(F.col("c_name").alias("company"), page.alias("page"), job.alias("job"))
+    payloads = paged.groupBy("company", "page").agg(F.to_json(F.struct(F.collect_list("job").alias("jobs"))).alias("payload"))
+    out = readers.read_json(payloads, "greenhouse")
     return out.select("source", "company", "external_id", "title", "location", "description", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"))
 
 
 @query("""SELECT 'lever' AS source, s_name AS company, s_suppkey::VARCHAR AS external_id, 'Engineer ' || s_suppkey AS title, 'A; B' AS location, 'x' || chr(10) || 'h' || chr(10) || 'c' || chr(10) || 'y' AS description FROM supplier""")
 def read_lever(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.struct(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("Engineer "), "s_suppkey").alias("text"), F.struct(F.array(F.lit("A"), F.lit("B")).alias("allLocations")).alias("categories"), F.lit("x").alias("descriptionPlain"), F.lit("y").alias("additionalPlain"), F.array(F.struct(F.lit("h").alias("text"), F.lit("c").alias("content"))).alias("lists"))
-    boards = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("company"), F.to_json(F.array(listed)).alias("payload"))
-    return readers.read_json(boards, "lever").select("source", "company", "external_id", "title", "location", "description")
+    payloads = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("company"), F.to_json(F.array(listed)).alias("payload"))
+    return readers.read_json(payloads, "lever").select("source", "company", "external_id", "title", "location", "description")
 
 
 @query()
@@ -73,3 +82,19 @@ def export_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "inventory").folder("out")
     sinks.export_inventory(table(spark, sf_dir, "orders"), "o_orderkey", F.col("o_custkey").cast("string"), path)
     return spark.read.text(path).agg(F.count("*").alias("n"), F.count_distinct(F.split_part("value", F.lit("|"), F.lit(2))).alias("keys"))
+
+
+_TITLE, _PLACE = f"{_list(TITLES)}[page_id % {len(TITLES)} + 1]", f"{_list(PLACES)}[page_id % {len(PLACES)} + 1]"
+
+
+@query(f"""SELECT 'board ' || (page_id % 7) AS board, page_id::VARCHAR AS external_id, {_TITLE} AS title, url AS description FROM pages
+WHERE NOT contains({_TITLE}, 'Senior') AND NOT contains({_TITLE}, 'Intern') AND {_PLACE} IN ('Seattle, WA', 'New York') AND page_id % 7 <> 3""")
+def boards_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed boards whose titles and places are filtered in the scan, before details are opened."""
+    k = F.col("page_id")
+    path = Scratch(spark, "boards").folder("landed")
+    postings = table(spark, sf_dir, "pages").select(F.concat(F.lit("board "), (k % 7).cast("string")).alias("board"), k.alias("external_id"), _pick(TITLES, k).alias("title"), _pick(PLACES, k).alias("location"), "url", F.col("url").alias("description"))
+    boards.land(postings, path)
+    title = F.col("title")
+    kept = boards.read_boards(spark, path).where(~title.contains("Senior") & ~title.contains("Intern") & F.col("location").isin("Seattle, WA", "New York") & (F.col("board") != "board 3"))
+    return kept.select("board", "external_id", "title", "description")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataline.plans.registry import query
 from strataline.session import Scratch
 from strataline.sources.tables import table
-from strataline.streaming import pulls
+from strataline.streaming import pulls, pulls_kept
 
 
 def _stream(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
@@ -50,3 +50,20 @@ HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FRO
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pulls.activity(_stream(spark, sf_dir), "ts", "10 minutes", "user_id", F.col("event_type") == "error")
     return _drained(rows, "activity", Scratch(spark, "stream")).withColumn("started", F.col("started").cast("timestamp_ntz"))
+
+
+@query("""WITH e AS (SELECT event_type AS source, time_bucket(INTERVAL 15 MINUTE, ts) AS started FROM events WHERE event_id % 7 < 2),
+f AS (SELECT source, min(started) AS first FROM e GROUP BY 1), last AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events WHERE event_id % 7 < 2),
+spine AS (SELECT source, first, unnest(generate_series(first, (SELECT mark FROM last), INTERVAL 15 MINUTE)) AS started FROM f)
+SELECT s.source, s.started, count(e.started) AS n, s.started = s.first AS baseline FROM spine s LEFT JOIN e ON e.source = s.source AND e.started = s.started
+WHERE s.started + INTERVAL 15 MINUTE <= (SELECT mark FROM last) GROUP BY s.source, s.started, s.first""")
+def stream_pulls_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every quarter of an hour of each kind of two sevenths of the events, so that many are empty."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, pulls_kept.STATE_STORE)
+    try:
+        rows = pulls_kept.pulls_without_gaps(_stream(spark, sf_dir).where("event_id % 7 < 2"), "event_type", "ts", "10 minutes")
+        return _drained(rows, "pulls", Scratch(spark, "stream")).withColumn("started", F.col("started").cast("timestamp_ntz"))
+    finally:
+        spark.conf.set(name, before)
