@@ -178,12 +178,18 @@ def experience_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _years(table(spark, sf_dir, "documents"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'NON_US' WHEN 2 THEN 'ANYWHERE' ELSE 'UNKNOWN' END AS kind FROM part""")
+#: Places of every kind, those that one rule takes from another among them.
+_PLACES = ("US/Canada", "Austin TX", "Ottawa, ON, CA", "Remote", "Springfield, IL", "London, England", "Springfield", "New Mexico", "Mexico City, Mexico", "Pune, IND", "worldwide ", "Remote - US", "Toronto ON CA", "Vaughan, Ontario, CA", "Ontario, CA", "San Jose, Costa Rica", "Belarus", "", "Latin America", "North America", "Remote, Canada; Remote, United States", "Menlo Park CA + 3 more", "US-CA-Menlo Park", "Distributed team", "Boise")
+_AT = "lower(trim(p))"
+
+
+@query(rf"""WITH t AS (SELECT p_partkey, [{', '.join(f"'{x}'" for x in _PLACES)}][p_partkey % {len(_PLACES)} + 1] AS p FROM part)
+SELECT p_partkey, CASE WHEN {_AT} = '' THEN 'UNKNOWN' WHEN regexp_matches({_AT}, '\bunited states\b|\busa\b|\bremote\s*[-,(/]?\s*us\b|(^|[^a-z-])us\s*/\s*canada\b') THEN 'US'
+WHEN regexp_matches(p, ',\s*(IND|CAN|GBR)$') OR regexp_matches({_AT}, '\b(canada|england|costa rica)\b') OR (regexp_matches({_AT}, '\bmexico\b') AND NOT regexp_matches({_AT}, 'new mexico')) OR regexp_matches({_AT}, ',\s*(on|ontario)\s*,\s*ca\b') THEN 'NON_US'
+WHEN regexp_matches({_AT}, '\bnorth america\b|(^|[^a-z])us([^a-z]|$)|\b(new mexico|illinois)\b|(^|[^a-z])(san jose|menlo park|austin|boise)([^a-z]|$)') OR regexp_matches(p, ',\s*(CA|IL|TX)\b') THEN 'US'
+WHEN regexp_matches({_AT}, '^(remote|worldwide|anywhere|distributed( team)?)$') THEN 'ANYWHERE' ELSE 'UNKNOWN' END AS kind FROM t""")
 def place_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places that stand for each kind: a town with a state's letters, one of a country elsewhere, remote work, and a bare word."""
-    k = F.col("p_partkey")
-    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
-    place = F.when(k % 4 == 0, F.concat(F.lit("Springfield, "), pick(places.STATE_LETTERS))).when(k % 4 == 1, F.concat(F.lit("Springfield, "), pick(places.ELSEWHERE))).when(k % 4 == 2, pick(("Remote", "Anywhere", "worldwide "))).otherwise("Springfield")
+    place = F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("p_partkey") % len(_PLACES) + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", places.kind_of_place(place).alias("kind"))
 
 
