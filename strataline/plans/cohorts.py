@@ -7,8 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.operators import cohorts
+from strataline.operators import audit, cohorts
 from strataline.plans.registry import query
+from strataline.session import Scratch
 from strataline.sources.tables import table
 
 _KINDS = cohorts.KINDS
@@ -55,3 +56,30 @@ def cohort_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(("screening", "interviewing", "rejected", "applied"), i).alias("new_status"), F.when(i % 8 != 0, F.col("ts")).alias("at"), F.when(i % 13 == 0, i - 5).alias("undo_of"),
     )
     return cohorts.report(applications, events, day((2024, 1, 28)), by=["family"])
+
+
+_FINDINGS = ", ".join(f"count(*) FILTER (finding = '{f}') AS {f}" for f in audit.FINDINGS)
+
+
+@query(f"""WITH a AS (SELECT c_custkey AS key, TIMESTAMP '2024-01-05' + to_days((c_custkey % 10)::INTEGER) AS applied_at FROM customer WHERE c_custkey % 10 <> 4),
+e AS (SELECT event_id AS id, user_id AS key, event_type, ts, event_id // 3 * 3 AS message_id, event_id % 9 <> 0 AS trusted, CASE WHEN event_id % 13 = 0 THEN event_id - 6 END AS undo_of FROM events),
+l AS (SELECT e.*, a.applied_at, CASE WHEN event_type NOT IN ('purchase', 'error') THEN 3 WHEN ts > TIMESTAMP '2024-01-28' THEN 4 WHEN epoch(applied_at) - epoch(ts) > 86400 THEN 5 WHEN applied_at > ts AND epoch(applied_at) > epoch(ts) THEN 6 ELSE 7 END AS n
+FROM e JOIN a USING (key) WHERE undo_of IS NULL AND id NOT IN (SELECT undo_of FROM e WHERE undo_of IS NOT NULL) AND trusted),
+b AS (SELECT message_id, key, min(n) AS n FROM l GROUP BY 1, 2), t AS (SELECT message_id, count(*) AS targets FROM b GROUP BY 1),
+m AS (SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN user_id ELSE user_id + 1 END AS selected FROM events WHERE event_id % 3 = 0 AND event_id % 5 <> 1),
+r AS (SELECT m.id, CASE WHEN a.key IS NULL THEN 0 WHEN t.targets > 1 THEN 1 ELSE coalesce(b.n, 2) END AS n FROM m LEFT JOIN t ON t.message_id = m.id LEFT JOIN b ON b.message_id = m.id AND b.key = m.selected LEFT JOIN a ON a.key = m.selected),
+f AS (SELECT {list(audit.FINDINGS)}[n + 1] AS finding FROM r)
+SELECT count(*) AS messages, {_FINDINGS} FROM f""")
+def inbox_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures that were observed while the report on every recorded message was written."""
+    k, i = F.col("c_custkey"), F.col("event_id")
+    day = lambda d: F.lit(datetime(*d)).cast("timestamp_ntz")
+    applications = table(spark, sf_dir, "customer").where(k % 10 != 4).select(k.alias("key"), (day((2024, 1, 5)) + F.make_dt_interval((k % 10).cast("int"))).alias("applied_at"))
+    rows = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "purchase", "offer").when(F.col("event_type") == "error", "rejection").otherwise("note")
+    events = rows.select(i.alias("id"), F.col("user_id").alias("key"), kind.alias("kind"), F.when(i % 9 != 0, "owner").otherwise("preview").alias("actor"), F.lit(None).cast("string").alias("new_status"), F.col("ts").alias("at"), F.when(i % 13 == 0, i - 6).alias("undo_of"), (F.floor(i / 3) * 3).alias("message_id"))
+    messages = rows.where((i % 3 == 0) & (i % 5 != 1)).select(i.alias("id"), F.when(i % 2 == 0, F.col("user_id")).otherwise(F.col("user_id") + 1).alias("selected_key"), F.lit("automatic").alias("decision"))
+    report, figures = audit.observed(audit.reconciled(messages, events, applications, day((2024, 1, 28))))
+    Scratch(spark, "audit").save(report)
+    told = figures.get
+    return spark.createDataFrame([tuple(told[c] for c in ("messages", *audit.FINDINGS))], ", ".join(f"{c} long" for c in ("messages", *audit.FINDINGS)))
