@@ -66,6 +66,28 @@ def applied_before(rows: DataFrame, key: list[Column], id_col: str, place: Colum
     return met.groupBy(F.col("a.__id").alias(id_col)).agg(F.count("*").alias("n_before"), F.max("b.__at").alias("last_applied"))
 
 
+def overlapping(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """c, t, o: word sets t of left and o of right, of one company c, that share at least `threshold` of the smaller one.
+
+    The smaller set has a shared word among its rarest ones: if it has s words,
+    ceil(threshold * s) have to be shared, so one of the s - that + 1 rarest is.
+    Only these are its keys, and all words of the larger one are looked up.
+    """
+    counts = right.select("c", F.explode("o").alias("word")).groupBy("c", "word").agg(F.count("*").alias("n"))
+
+    def keyed(rows: DataFrame, words: str) -> DataFrame:
+        each = rows.select("c", words, F.explode(words).alias("word")).join(counts, ["c", "word"], "left")
+        ranked = each.groupBy("c", words).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("by"))  # a title's words
+        few = F.size(words) - F.ceil(F.lit(threshold) * F.size(words) - 1e-9).cast("int") + 1
+        return ranked.select("c", words, F.explode(F.slice(F.col("by.word"), 1, few)).alias("word"))
+
+    all_ = lambda rows, words: rows.select("c", words, F.explode(words).alias("word"))
+    short_left = keyed(left, "t").join(all_(right, "o"), ["c", "word"]).where(F.size("t") <= F.size("o"))
+    short_right = all_(left, "t").join(keyed(right, "o"), ["c", "word"]).where(F.size("t") > F.size("o"))
+    met = short_left.select("c", "t", "o").unionByName(short_right.select("c", "t", "o")).distinct()
+    return met.where(text.overlap(F.col("t"), F.col("o")) >= threshold)
+
+
 def resolve(imported: DataFrame, stored: DataFrame, threshold: float = 0.75, most: int = 8) -> DataFrame:
     """row_number, status, method, job_id, candidates: each imported row's posting.
 
@@ -92,20 +114,25 @@ def resolve(imported: DataFrame, stored: DataFrame, threshold: float = 0.75, mos
     lone = jobs.where("u is not null").groupBy(strip(F.col("u")).alias("p")).agg(F.min("id").alias("job_id"), F.count("*").alias("n")).where("n = 1")
     by_path = decided(rest.withColumn("p", strip(F.col("u"))).join(lone, "p").select("row_number", "job_id"), "path")
     rest = rest.join(by_path, "row_number", "left_anti").where("c <> ''")
-    pool = rest.alias("r").join(jobs.alias("j"), F.col("r.c") == F.col("j.c")).select("r.row_number", F.col("r.location").alias("wanted"), F.col("j.id").alias("job_id"), "j.is_applied", F.col("j.location").alias("place"), (F.col("r.t") == F.col("j.t")).alias("same"), text.overlap(F.col("r.t"), F.col("j.t")).alias("share"))
-    w = Window.partitionBy("row_number")
-    pool = pool.withColumn("any_same", F.max("same").over(w)).where(F.when(F.col("any_same"), F.col("same")).otherwise(F.col("share") >= threshold))
-    pool = pool.withColumn("here", text.places_match(F.col("wanted"), F.col("place")))
+    titles = rest.select("row_number", "c", "t", F.col("location").alias("wanted"))
+    offers = jobs.where("c <> ''").select("c", F.col("t").alias("o"), F.col("id").alias("job_id"), "is_applied", F.col("location").alias("place"))
+    same = titles.join(offers, (titles["c"] == offers["c"]) & (titles["t"] == offers["o"])).select("row_number", "wanted", "job_id", "is_applied", "place", F.lit(True).alias("same"))
+    others = titles.join(same.select("row_number").distinct(), "row_number", "left_anti")
+    # titles of one employer are compared as sets of words, each set once
+    sets = overlapping(others.select("c", "t").distinct(), offers.select("c", "o").distinct(), threshold)
+    like = others.join(sets, ["c", "t"]).join(offers, ["c", "o"]).select("row_number", "wanted", "job_id", "is_applied", "place", F.lit(False).alias("same"))
+    pool = same.unionByName(like).withColumn("here", text.places_match(F.col("wanted"), F.col("place")))
     told = pool.groupBy("row_number").agg(
         F.count("*").alias("n"),
-        F.max("any_same").alias("same"),
+        F.max("same").alias("same"),
         F.min("job_id").alias("only"),
         F.count_if("is_applied").alias("n_applied"),
         F.min(F.when(F.col("is_applied"), F.col("job_id"))).alias("applied_id"),
         F.count_if("here").alias("n_here"),
         F.min(F.when(F.col("here"), F.col("job_id"))).alias("here_id"),
-        F.slice(F.array_sort(F.collect_list("job_id")), 1, most).alias("some"),  # one employer's postings with like titles
     )
+    first = pool.withColumn("place_", F.row_number().over(Window.partitionBy("row_number").orderBy("job_id"))).where(F.col("place_") <= most)
+    told = told.join(first.groupBy("row_number").agg(F.array_sort(F.collect_list("job_id")).alias("some")), "row_number")
     job = F.when(F.col("n") == 1, F.col("only")).when(F.col("n_applied") == 1, F.col("applied_id")).when(F.col("n_here") == 1, F.col("here_id"))
     by_title = told.select("row_number", F.when(job.isNotNull(), "matched").otherwise("ambiguous").alias("status"), F.when(F.col("same"), "title").otherwise("overlap").alias("method"), job.alias("job_id"), F.when(job.isNull(), F.col("some")).otherwise(F.array().cast("array<long>")).alias("candidates"))
     done = by_url.unionByName(by_path).unionByName(by_title)

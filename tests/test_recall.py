@@ -70,3 +70,21 @@ def test_no_roles_and_no_postings(spark):
     listed, jobs = spark.createDataFrame([(1, "Acme", "Engineer", None)], LISTED), spark.createDataFrame([], JOBS)
     assert [tuple(r) for r in matching.recall(listed, jobs, ()).collect()] == [(1, "missed")]
     assert matching.recall(listed.limit(0), jobs, ()).count() == 0
+
+
+def test_overlapping_titles(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(14)]
+    title = lambda: sorted(rng.sample(words, rng.randint(0, 6)))
+    left = spark.createDataFrame([(rng.choice("ab"), title()) for _ in range(150)], "c string, t array<string>").distinct()
+    right = spark.createDataFrame([(rng.choice("ab"), title()) for _ in range(150)], "c string, o array<string>").distinct()
+    got = sorted((r.c, r.t, r.o) for r in matching.overlapping(left, right, 0.75).collect())
+    want = sorted((a.c, a.t, b.o) for a in left.collect() for b in right.collect() if a.c == b.c and a.t and b.o and len(set(a.t) & set(b.o)) >= 0.75 * min(len(a.t), len(b.o)))
+    assert got == want and len(want) > 100
+
+
+def test_rows_of_one_employer_keep_eight_candidates(spark):
+    stored = spark.createDataFrame([(i, "Acme", f"Platform Engineer {'Payments' if i % 2 else ''}", None, "NYC", False) for i in range(40)], "id long, company string, title string, official_url string, location string, is_applied boolean")
+    rows = spark.createDataFrame([(1, "Acme", "Platform Engineer", None, ""), (2, "Acme", "Platform Engineer Payments Core", None, "")], "row_number long, company string, title string, url string, location string")
+    out = {r.row_number: (r.status, r.method, r.candidates) for r in matching.resolve(rows, stored).collect()}
+    assert out == {1: ("ambiguous", "title", list(range(0, 16, 2))), 2: ("ambiguous", "overlap", list(range(8)))}
