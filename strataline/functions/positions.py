@@ -14,7 +14,6 @@ further than the text.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -85,9 +84,14 @@ def needles(pattern: str) -> tuple[str, ...]:
     return tuple(sorted(_needles(re._parser.parse(pattern)) or ()))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def table(patterns: Iterable[str], capitals: bool = False) -> Column:
-    """The patterns as rows (n: needles, p: pattern) of a constant array, which a plan holds as one value."""
-    return F.from_json(F.lit(json.dumps([{"n": needles(p) or [""], "p": flags(p, capitals)} for p in patterns])), "array<struct<n:array<string>,p:string>>")
+    """The patterns as rows (n: needles, p: pattern) of a constant array, which the optimizer folds into one value."""
+    rows = [f"named_struct('n', array({', '.join(map(_quoted, needles(p) or ('',)))}), 'p', {_quoted(flags(p, capitals))})" for p in patterns]
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def held(low: Column, row: Column) -> Column:
@@ -148,8 +152,13 @@ def around(text: Column, start: Column, end: Column, most: int) -> Column:
     return F.substring(text, F.greatest(start - most, F.lit(0)) + 1, F.least(start, F.lit(most)) + end - start + most)
 
 
+def once(text: Column, then) -> Column:
+    """then(Text), with the text and its folded form computed once."""
+    return F.get(F.transform(F.array(F.struct(text.alias("text"), folded(text).alias("low"))), lambda t: then(Text(t["text"], t["low"]))), F.lit(0))
+
+
 def last_is(window: Column, patterns: Iterable[str], others: Iterable[str]) -> Column:
     """Whether the last header in the window is one of `patterns`; an other one within such a header doesn't count."""
-    one = any_of(patterns)
-    rest = F.regexp_extract(window, flags(rf"(?s)\A.*{one}(.*)\z"), 1)
-    return found(window, one) & ~found(rest, others)
+    told, rest = list(patterns), list(others)
+    after_last = lambda t: F.regexp_extract(t.text, flags(rf"(?s)\A.*{any_of(told)}(.*)\z"), 1)
+    return once(window, lambda t: found(t, told) & ~found(after_last(t), rest))

@@ -22,7 +22,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strataline.functions import places
-from strataline.functions.positions import Text, after, around, before, flags, folded, found, how_many, last_is, places_of_each
+from strataline.functions.positions import Text, after, around, before, flags, folded, found, how_many, last_is, once, places_of_each
 from strataline.functions.positions import places as places_of
 from strataline.operators import rules
 
@@ -142,7 +142,9 @@ def written_floors(text: Column) -> Column:
         return F.when(lead != "", F.concat_ws(" ", lead, number.cast("string"), unit)).otherwise(F.concat(number.cast("string"), F.lit("+ "), unit))
 
     parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.concat(gap, F.coalesce(said(hit), F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+    low = folded(text)
+    marked = low.contains("least") | low.contains("minimum") | low.contains("less") | low.contains("more")
+    return F.when(marked & text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
 
 
 def _optional(text: Column, at: Column) -> Column:
@@ -183,7 +185,7 @@ def figures(description: Column) -> Column:
             )
             each = F.concat(
                 F.transform(places_of_each(Text(text, low), (SINGLE, TRAILING)), lambda p: F.struct(p["start"].alias("start"), p["hit"].alias("hit"), F.lit(True).alias("read"))),
-                F.transform(places_of(text, BARE), lambda p: F.struct(p["start"].alias("start"), p["hit"].alias("hit"), found(before(text, p["start"], rules.SECTION_REACH), (*rules.REQUIRED_HEADERS, *rules.PREFERRED_HEADERS)).alias("read"))),
+                F.transform(places_of(text, BARE), lambda p: F.struct(p["start"].alias("start"), p["hit"].alias("hit"), once(before(text, p["start"], rules.SECTION_REACH), lambda t: found(t, (*rules.REQUIRED_HEADERS, *rules.PREFERRED_HEADERS))).alias("read"))),
             )
             free = F.filter(each, lambda p: ~F.exists(ranges, lambda r: (r["start"] <= p["start"]) & (p["start"] < r["end"])) & ~_instead_of_degree(text, p["start"]) & ~found(before(text, p["start"], 90), rules.COLLECTIVE))
 
@@ -199,7 +201,7 @@ def figures(description: Column) -> Column:
         return bound(places_of(text, RANGE), claimed)
 
     text = F.coalesce(description, F.lit(""))
-    return F.when(F.lower(text).rlike("y(?:ea)?r"), bound(written_floors(text), of)).otherwise(F.array().cast(f"array<{FIGURE}>"))
+    return F.when(folded(text).rlike("(?<![a-z])(?:year|yr)"), bound(written_floors(text), of)).otherwise(F.array().cast(f"array<{FIGURE}>"))
 
 
 def years_of(told: Column) -> Column:

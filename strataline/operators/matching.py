@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions import text, urls
+from strataline.session import Scratch
 
 
 def hide_copies(feed: DataFrame, direct: DataFrame, keys: list[tuple[Column, Column]]) -> DataFrame:
@@ -114,8 +115,10 @@ def resolve(imported: DataFrame, stored: DataFrame, threshold: float = 0.75, mos
     lone = jobs.where("u is not null").groupBy(strip(F.col("u")).alias("p")).agg(F.min("id").alias("job_id"), F.count("*").alias("n")).where("n = 1")
     by_path = decided(rest.withColumn("p", strip(F.col("u"))).join(lone, "p").select("row_number", "job_id"), "path")
     rest = rest.join(by_path, "row_number", "left_anti").where("c <> ''")
-    titles = rest.select("row_number", "c", "t", F.col("location").alias("wanted"))
-    offers = jobs.where("c <> ''").select("c", F.col("t").alias("o"), F.col("id").alias("job_id"), "is_applied", F.col("location").alias("place"))
+    # saved, as several joins read them
+    scratch = Scratch(imported.sparkSession, "resolve")
+    titles = scratch.save(rest.select("row_number", "c", "t", F.col("location").alias("wanted")), "titles")
+    offers = scratch.save(jobs.where("c <> ''").select("c", F.col("t").alias("o"), F.col("id").alias("job_id"), "is_applied", F.col("location").alias("place")), "offers")
     same = titles.join(offers, (titles["c"] == offers["c"]) & (titles["t"] == offers["o"])).select("row_number", "wanted", "job_id", "is_applied", "place", F.lit(True).alias("same"))
     others = titles.join(same.select("row_number").distinct(), "row_number", "left_anti")
     # titles of one employer are compared as sets of words, each set once
