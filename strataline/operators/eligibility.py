@@ -149,7 +149,7 @@ def written_floors(text: Column) -> Column:
 
 def _optional(text: Column, at: Column) -> Column:
     """Whether the last header before a figure, or its own clause, makes it optional."""
-    clause = F.concat(F.regexp_extract(F.substring(text, F.lit(1), at), r"([^.;,\n]*)\z", 1), F.regexp_extract(after(text, at, 2000), r"\A([^.;,\n]*)", 1))
+    clause = F.concat(F.element_at(F.split(F.substring(text, F.lit(1), at), r"[.;,\n]", -1), -1), F.regexp_extract(after(text, at, 2000), r"\A([^.;,\n]*)", 1))
     words = F.lit(False)
     for w in rules.OPTIONAL_WORDS:
         words = words | F.lower(clause).contains(w)
