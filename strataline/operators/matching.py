@@ -41,13 +41,18 @@ def suppress_feed_copies(postings: DataFrame, feeds: tuple[str, ...], blocked: D
     return direct.unionByName(feed)
 
 
-def either_join(left: DataFrame, right: DataFrame, pairs: list[list[tuple[str, str]]], ids: tuple[str, str]) -> DataFrame:
-    """Pairs of ids equal in any one of several key lists: a union of equi-joins, each pair once."""
+def first_of_either(left: DataFrame, right: DataFrame, keys: list[list[tuple[str, str]]], id_col: str, least: str) -> DataFrame:
+    """left_id, first: for rows of `left` that some row of `right` equals in any one of several key lists, the least value of `least` among these.
+
+    `right` is summed up by each key list before it is joined, so a key of any
+    number of rows on both sides gives no more rows than `left` has.
+    """
     parts = []
-    for keys in pairs:
-        on = reduce(Column.__and__, [F.col(f"l.`{a}`") == F.col(f"r.`{b}`") for a, b in keys])
-        parts.append(left.alias("l").join(right.alias("r"), on).select(F.col(f"l.`{ids[0]}`").alias("left_id"), F.col(f"r.`{ids[1]}`").alias("right_id")))
-    return reduce(DataFrame.union, parts).distinct()
+    for pairs in keys:
+        names = [f"__k{i}" for i in range(len(pairs))]
+        told = right.select(*[F.col(b).alias(n) for n, (_, b) in zip(names, pairs, strict=True)], F.col(least).alias("first")).groupBy(*names).agg(F.min("first").alias("first"))
+        parts.append(left.select(F.col(id_col).alias("left_id"), *[F.col(a).alias(n) for n, (a, _) in zip(names, pairs, strict=True)]).join(told, names).select("left_id", "first"))
+    return reduce(DataFrame.union, parts).groupBy("left_id").agg(F.min("first").alias("first"))
 
 
 def opened_within(postings: DataFrame, states: DataFrame, keys: list[str], cutoff: Column, feeds: tuple[str, ...], posted: str = "posted_at", seen: str = "first_seen_at", source: str = "source") -> DataFrame:
@@ -89,6 +94,37 @@ def overlapping(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     return met.where(text.overlap(F.col("t"), F.col("o")) >= threshold)
 
 
+#: Members of a block of one word set, and pairs of rows that a task makes, about.
+BLOCK, PAIRS = 4096, 8_000_000
+
+
+def overlapping_pairs(rows: DataFrame, threshold: float, block: int = BLOCK, pairs: int = PAIRS) -> DataFrame:
+    """id, other, share: pairs id < other of one company c whose word sets t share at least `threshold` of the smaller one.
+
+    Only different sets are compared, each once.  What two sets share then
+    holds for all their rows, so every row of the result costs no more than
+    itself: rows of a set come in blocks of about `block`, and two blocks meet
+    in a row of their own, dealt to as many tasks as there are pairs to make.
+    """
+    scratch = Scratch(rows.sparkSession, "pairs")
+    sets = scratch.save(rows.where("c is not null").groupBy("c", "t").agg(F.count("*").alias("n")).withColumn("k", F.monotonically_increasing_id()).withColumn("n_blocks", F.ceil(F.col("n") / block)), "sets")
+    own = rows.join(sets, ["c", "t"]).select("id", "k", F.pmod(F.xxhash64("id"), "n_blocks").alias("i"))
+    members = scratch.save(own.groupBy("k", "i").agg(F.collect_list("id").alias("ids")), "members")
+    met = overlapping(sets.select("c", "t"), sets.select("c", F.col("t").alias("o")), threshold)
+    # columns of each side as (k, n, n_blocks), then blocks against blocks, those of one set each once
+    side = lambda words, x: sets.select("c", F.col("t").alias(words), F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("n_blocks").alias(f"b{x}"))
+    linked = met.join(side("t", 1), ["c", "t"]).join(side("o", 2), ["c", "o"]).where("k1 <= k2")
+    links = scratch.save(linked.select("k1", "k2", "n1", "n2", "b1", "b2", text.overlap(F.col("t"), F.col("o")).alias("share")), "links")
+    many = links.agg(F.sum(F.col("n1") * F.col("n2"))).head()[0] or 0
+    units = links.select("k1", "k2", "share", F.explode(F.sequence(F.lit(0), F.col("b1") - 1)).alias("i1"), "b2").select("*", F.explode(F.sequence(F.lit(0), F.col("b2") - 1)).alias("i2")).where("k1 < k2 or i1 <= i2")
+    for x in (1, 2):
+        units = units.join(members.select(F.col("k").alias(f"k{x}"), F.col("i").alias(f"i{x}"), F.col("ids").alias(f"ids{x}")), [f"k{x}", f"i{x}"])
+    units = units.repartition(min(many // pairs + 1, 20_000), "k1", "i1", "k2", "i2")
+    alone = ((F.col("k1") == F.col("k2")) & (F.col("i1") == F.col("i2"))).alias("alone")
+    each = units.select(alone, "share", F.explode("ids1").alias("x"), "ids2").select("alone", "share", "x", F.explode("ids2").alias("y"))
+    return each.where("x < y or (x > y and not alone)").select(F.least("x", "y").alias("id"), F.greatest("x", "y").alias("other"), "share")
+
+
 def resolve(imported: DataFrame, stored: DataFrame, threshold: float = 0.75, most: int = 8) -> DataFrame:
     """row_number, status, method, job_id, candidates: each imported row's posting.
 

@@ -45,10 +45,10 @@ _TOKENS = f"(SELECT *, list_filter(string_split(p_name, ' '), lambda w: w NOT IN
 
 @query(f"""SELECT a.p_partkey, b.p_partkey AS other, round(len(list_intersect(a.t, b.t))::DOUBLE / least(len(a.t), len(b.t)), 6) AS share FROM {_TOKENS} a JOIN {_TOKENS} b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.t, b.t))::DOUBLE / least(len(a.t), len(b.t)) >= 0.5""")
 def title_tokens_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").withColumn("t", text.title_tokens(F.concat("p_name", F.lit(" of the New Grad II"))))
-    pairs = part.alias("a").join(part.alias("b"), F.expr("a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey < b.p_partkey"))
-    share = text.overlap(F.col("a.t"), F.col("b.t"))
-    return pairs.where(share >= 0.5).select("a.p_partkey", F.col("b.p_partkey").alias("other"), F.round(share, 6).alias("share"))
+    # a null brand or type equals nothing
+    group = F.when(F.col("p_brand").isNotNull() & F.col("p_type").isNotNull(), F.struct("p_brand", "p_type"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), group.alias("c"), text.title_tokens(F.concat("p_name", F.lit(" of the New Grad II"))).alias("t"))
+    return matching.overlapping_pairs(rows, 0.5).select(F.col("id").alias("p_partkey"), "other", F.round("share", 6).alias("share"))
 
 
 @query("""SELECT page_id, replace(replace(replace(lower(url), '://www.', '://'), 'http://', 'https://'), '/en-us/', '/') AS key FROM pages""")
