@@ -50,8 +50,7 @@ FROM m JOIN orders ON o_orderkey = id WHERE o_orderdate > first_feed + INTERVAL
 def or_join_split_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     feed, direct = orders.where("o_orderpriority = '5-LOW'"), orders.where("o_orderpriority = '1-URGENT'")
-    pairs = matching.either_join(direct, feed, [[("o_custkey", "o_custkey"), ("o_orderstatus", "o_orderstatus")], [("o_orderdate", "o_orderdate"), ("o_orderstatus", "o_orderstatus")]], ("o_orderkey", "o_orderkey"))
-    first = pairs.join(feed.select(F.col("o_orderkey").alias("right_id"), F.col("o_orderdate").alias("feed_date")), "right_id").groupBy("left_id").agg(F.min("feed_date").alias("first_feed"))
+    first = matching.first_of_either(direct, feed, [[("o_custkey", "o_custkey"), ("o_orderstatus", "o_orderstatus")], [("o_orderdate", "o_orderdate"), ("o_orderstatus", "o_orderstatus")]], "o_orderkey", "o_orderdate").withColumnRenamed("first", "first_feed")
     late = first.join(direct, F.col("left_id") == F.col("o_orderkey")).where(F.col("o_orderdate") > F.col("first_feed") + F.expr("interval 14 days"))
     lag = F.datediff("o_orderdate", "first_feed").cast("long")
     return late.select(F.col("left_id").alias("id"), lag.alias("lag_days"), F.when(lag > 1000, "board added later").when(lag > 365, "republished").otherwise("seen late").alias("cause"))
