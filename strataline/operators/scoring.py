@@ -18,6 +18,11 @@ def extract_skills(text: Column, patterns: dict[str, str]) -> Column:
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
+def _once(value: Column, then) -> Column:
+    """then(value), with `value` computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _needle(pattern: str) -> str:
     """A text that every match of the pattern holds, empty if none is plain."""
     return pattern if re.fullmatch(r"[a-z0-9 ]+", pattern) else ""
@@ -86,15 +91,21 @@ def message_intent(body: Column) -> Column:
 
 def resume_structure(text: Column) -> Column:
     """struct(headings, bullets, contacts, date_ranges, lines) of a résumé's text."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x) != "")
-    hits = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p)))
-    return F.struct(
-        hits(r"(?i)^\s*(?:education|experience|work experience|employment|projects|skills|technical skills|summary|certifications|publications|awards)\s*:?\s*$").alias("headings"),
-        hits(r"^\s*(?:[-*•·–]|\d+\.)\s+").alias("bullets"),
-        hits(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}|linkedin\.com|github\.com").alias("contacts"),
-        hits(r"(?i)\b(?:19|20)\d{2}\b\s*(?:-|–|to)\s*(?:(?:19|20)\d{2}|present|current)").alias("date_ranges"),
-        F.size(lines).alias("lines"),
-    )
+    split = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x) != "")
+
+    def of(lines: Column) -> Column:
+        hits = lambda test: F.size(F.filter(lines, test))
+        # an address is tried only where its sign is, as each of its letters may be where it begins
+        contact = lambda x: (F.contains(x, F.lit("@")) & x.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z]{2,}")) | F.contains(x, F.lit("linkedin.com")) | F.contains(x, F.lit("github.com")) | x.rlike(r"\d{3}\)?[ .-]\d{3}[ .-]\d{4}")
+        return F.struct(
+            hits(lambda x: x.rlike(r"(?i)^\s*(?:education|experience|work experience|employment|projects|skills|technical skills|summary|certifications|publications|awards)\s*:?\s*$")).alias("headings"),
+            hits(lambda x: x.rlike(r"^\s*(?:[-*•·–]|\d+\.)\s+")).alias("bullets"),
+            hits(contact).alias("contacts"),
+            hits(lambda x: x.rlike(r"(?i)\b(?:19|20)\d{2}\b\s*(?:-|–|to)\s*(?:(?:19|20)\d{2}|present|current)")).alias("date_ranges"),
+            F.size(lines).alias("lines"),
+        )
+
+    return _once(split, of)
 
 
 #: Weights of the assessment's components.
@@ -108,7 +119,12 @@ def assessment(resume_text: Column, resume_skills: Column, job_text: Column, job
     with fewer than three skills is insufficient.  A skill counts 1 with
     evidence, 0.75 if only listed, 0.5 if a related one is there.
     """
-    s, size = resume_structure(resume_text), F.size(job_skills)
+    told = F.struct(resume_structure(resume_text).alias("s"), resume_skills.alias("own"), job_skills.alias("job"), evidenced.alias("shown"))
+    return _once(told, lambda t: _assessed(t["s"], resume_text, t["own"], job_text, t["job"], related, t["shown"]))
+
+
+def _assessed(s: Column, resume_text: Column, resume_skills: Column, job_text: Column, job_skills: Column, related: Column, evidenced: Column) -> Column:
+    size = F.size(job_skills)
     none = F.array().cast("array<string>")
     credit = F.aggregate(job_skills, F.lit(0.0), lambda a, k: a + F.when(F.array_contains(evidenced, k), 1.0).when(F.array_contains(resume_skills, k), 0.75).when(F.size(F.array_intersect(F.coalesce(related[k], none), resume_skills)) > 0, 0.5).otherwise(0.0))
     structure = 100.0 * (F.least(s["headings"], F.lit(4)) / 4 * 0.4 + F.least(s["bullets"], F.lit(8)) / 8 * 0.3 + F.least(s["contacts"], F.lit(1)) * 0.15 + F.least(s["date_ranges"], F.lit(2)) / 2 * 0.15)

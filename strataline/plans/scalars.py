@@ -195,8 +195,9 @@ def place_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def resume_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    own = scoring.extract_skills(F.col("text"), SKILLS)
+    # a column of its own, so that it is computed once
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", scoring.extract_skills(F.col("text"), SKILLS).alias("own"))
+    own = F.col("own")
     job = F.array(F.lit("License"), F.lit("Que"), F.lit("The"), F.lit("Und"))
     a = scoring.assessment(F.col("text"), own, F.col("text"), job, scoring.related_map([("Des", "The"), ("Und", "Que")]), F.slice(own, 1, 1))
     return docs.select("doc_id", a["state"].alias("state"), a["score"].alias("score"), a["confidence"].alias("confidence"))
