@@ -36,7 +36,8 @@ def any_of(patterns: Iterable[str]) -> str:
 
 def folded(text: Column) -> Column:
     """The text in lower case, with the letters that match i and s without regard to case as these."""
-    return F.lower(F.translate(text, "İıſ", "iis"))
+    odd = F.contains(text, F.lit("İ")) | F.contains(text, F.lit("ı")) | F.contains(text, F.lit("ſ"))
+    return F.lower(F.when(odd, F.translate(text, "İıſ", "iis")).otherwise(text))
 
 
 @dataclass(frozen=True)
@@ -132,6 +133,123 @@ def places(text: Column, pattern: Column | str) -> Column:
     return F.when(F.rlike(text, pattern), placed).otherwise(none)
 
 
+#: Longest runs of blanks (and marks between words) and of a word's signs that reach() reckons with; where a window has a longer one, the whole text is searched.
+BLANKS, SIGNS = 8, 40
+_LONG = rf"(?U)[\s,:\-]{{{BLANKS + 1}}}|[\w/+#.\-]{{{SIGNS + 1}}}"
+
+
+def _run(tokens: Sequence) -> int:
+    """Longest run of a class of characters without a bound of its own."""
+    (kind, what), *more = tokens
+    told = {(str(k), str(v)) for k, v in (what if str(kind) == "IN" else [(kind, what)])}
+    if more or str(kind) not in ("IN", "LITERAL"):
+        raise ValueError(f"no bound for repeats of {tokens}")
+    if told <= {("CATEGORY", "CATEGORY_SPACE"), *[("LITERAL", str(ord(c))) for c in ",:-"]}:
+        return BLANKS
+    signs = {("CATEGORY", "CATEGORY_WORD"), ("CATEGORY", "CATEGORY_DIGIT"), *[("LITERAL", str(ord(c))) for c in "/+#.-"]}
+    if not told <= signs:
+        raise ValueError(f"no bound for repeats of {tokens}")
+    return SIGNS
+
+
+def _reach(tokens: Sequence) -> int:
+    out = 0
+    for kind, what in tokens:
+        name = str(kind)
+        if name == "SUBPATTERN":
+            out += _reach(what[-1])
+        elif name == "BRANCH":
+            out += max(map(_reach, what[1]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            out += _run(what[2]) if what[1] == re._constants.MAXREPEAT else what[1] * _reach(what[2])
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            out += _reach(what[1])
+        elif name == "AT":
+            out += 1
+        elif name in ("LITERAL", "NOT_LITERAL", "IN", "ANY", "CATEGORY"):
+            out += 1
+        else:
+            raise ValueError(f"no bound for {name}")
+    return out
+
+
+def reach(patterns: Iterable[str]) -> int:
+    """Most code points that a match of any of the patterns, with what it looks at, can have while no run is longer than BLANKS or SIGNS."""
+    return max(_reach(re._parser.parse(p)) for p in patterns)
+
+
+def _holds_one(tokens: Sequence, needles: Sequence[str], ahead: str = "") -> bool:
+    """Whether what is matched, with the plain text ahead of it, is sure to hold a needle; the parser takes common heads out of branches."""
+    run = ahead
+    for kind, what in [*tokens, (None, None)]:
+        name = str(kind)
+        if name == "LITERAL":
+            run += chr(what).lower()
+            continue
+        if any(n in run for n in needles):
+            return True
+        if name == "SUBPATTERN" and _holds_one(what[-1], needles, run) or name == "BRANCH" and all(_holds_one(x, needles, run) for x in what[1]):
+            return True
+        if name in ("MAX_REPEAT", "MIN_REPEAT") and what[0] > 0 and _holds_one(what[2], needles):
+            return True
+        run = ""
+    return False
+
+
+def hold_one(patterns: Iterable[str], needles: Sequence[str]) -> bool:
+    """Whether every match of each pattern is sure to hold one of the needles."""
+    return all(_holds_one(re._parser.parse(p), needles) for p in patterns)
+
+
+def near(text: Text, needles: Sequence[str], patterns: Sequence[str]) -> Column:
+    """Windows of a text in which all matches of the patterns lie: array of (at, part, low), in order and apart from each other.
+
+    Each match holds one of the needles, which are looked for in the folded
+    text, and reaches no further from it than reach() tells.  If a window has a
+    longer run than that reckons with, the whole text is the window.
+    """
+    if not hold_one(patterns, needles):
+        raise ValueError(f"matches without {needles}")
+    most = reach(patterns) + max(map(len, needles)) + 1
+    # each piece but the first begins with a needle
+    pieces = F.split(F.concat(F.lit("\n"), text.low), "(?=" + "|".join(map(re.escape, needles)) + ")", -1)
+
+    def step(acc: Column, piece: Column) -> Column:
+        begin, end = acc["at"] - most, acc["at"] + most
+        apart = begin > acc["end"]
+        own = F.struct(acc["start"].alias("start"), acc["end"].alias("end"))
+        # a window is put away once the next one is apart from it, so the array grows by windows, not by needles
+        return F.struct(
+            (acc["at"] + F.length(piece)).alias("at"),
+            F.when(apart, begin).otherwise(acc["start"]).alias("start"),
+            end.alias("end"),
+            F.when(apart & (acc["end"] >= 0), F.array_append(acc["out"], own)).otherwise(acc["out"]).alias("out"),
+        )
+
+    spans = F.array().cast("array<struct<start:int,end:int>>")
+    far = F.lit(-(1 << 30))
+    zero = lambda ps: F.struct((F.length(F.get(ps, F.lit(0))) - 1).alias("at"), F.lit(0).alias("start"), far.alias("end"), spans.alias("out"))
+    told = lambda ps: F.aggregate(F.slice(ps, F.lit(2), F.size(ps)), zero(ps), step, lambda a: F.array_append(a["out"], F.struct(a["start"].alias("start"), a["end"].alias("end"))))
+    cut = lambda start, end: F.struct(start.alias("at"), F.substring(text.text, start + 1, end - start).alias("part"), F.substring(text.low, start + 1, end - start).alias("low"))
+    whole = F.array(F.struct(F.lit(0).alias("at"), text.text.alias("part"), text.low.alias("low")))
+    windows = lambda ps: F.transform(told(ps), lambda w: cut(F.greatest(w["start"], F.lit(0)), w["end"]))
+    checked = lambda ws: F.when(F.exists(ws, lambda w: F.rlike(w["part"], F.lit(_LONG))), whole).otherwise(ws)
+    bind = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    none = F.array().cast("array<struct<at:int,part:string,low:string>>")
+    return bind(pieces, lambda ps: F.when(F.size(ps) > 1, bind(windows(ps), checked)).otherwise(none))
+
+
+def places_near(windows: Column, patterns: Iterable[str]) -> Column:
+    """Places in the text of each pattern's matches within the windows of near()."""
+
+    def within(w: Column) -> Column:
+        each = F.flatten(F.transform(F.filter(table(patterns), lambda r: held(w["low"], r)), lambda r: places(w["part"], r["p"])))
+        return F.transform(each, lambda p: F.struct((p["start"] + w["at"]).alias("start"), (p["end"] + w["at"]).alias("end"), p["hit"].alias("hit")))
+
+    patterns = list(patterns)
+    return F.flatten(F.transform(windows, within))
+
+
 def places_of_each(text: Text, patterns: Iterable[str]) -> Column:
     """Places of each pattern by itself, so that matches of different patterns may overlap."""
     return F.flatten(F.transform(F.filter(table(patterns), lambda r: held(text.low, r)), lambda r: places(text.text, r["p"])))

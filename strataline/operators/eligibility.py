@@ -22,7 +22,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strataline.functions import places
-from strataline.functions.positions import Text, after, around, before, flags, folded, found, how_many, last_is, once, places_of_each
+from strataline.functions.positions import Text, after, around, before, flags, folded, found, held, how_many, last_is, near, once, places_near, table
 from strataline.functions.positions import places as places_of
 from strataline.operators import rules
 
@@ -237,7 +237,10 @@ DEMANDS = (*[p.replace(".", r"\.") for p in rules.CITIZEN_PHRASES], *rules.CITIZ
 def demands_citizenship(said: Text) -> Column:
     """Whether a demand for citizenship stands without a way to a licence within 200 code points of it."""
     shut = lambda p: ~found(F.regexp_replace(around(said.text, p["start"], p["end"], rules.LICENCE_REACH), flags(rules.LICENCE_CLOSED), " "), rules.LICENCE_ROUTES)
-    return F.coalesce(F.exists(places_of_each(said, DEMANDS), shut), F.lit(False))
+    # pattern by pattern in each window, so the first demand that stands ends the search
+    moved = lambda w, p: F.struct((p["start"] + w["at"]).alias("start"), (p["end"] + w["at"]).alias("end"))
+    stands = lambda w: F.exists(table(DEMANDS), lambda r: held(w["low"], r) & F.exists(places_of(w["part"], r["p"]), lambda p: shut(moved(w, p))))
+    return F.coalesce(F.exists(near(said, DEMAND_WORDS, DEMANDS), stands), F.lit(False))
 
 
 # -- doctorates
@@ -246,6 +249,10 @@ _SECTION_KINDS = "(?:required|minimum|basic|preferred|desired)"
 _CLAUSE = rf"[.;]\s+(?=[A-Z])|\n+|\s[-*•]\s+|(?=\b{_SECTION_KINDS}\s+(?:qualifications|requirements)\b)|(?<!{_SECTION_KINDS}\s)\b(?=(?:qualifications|requirements)\b)"
 _NOT_NEEDED = r"\b(?:preferred|optional|ideally|beneficial|a\s+(?:plus|bonus)|nice[- ]to[- ]have|not\s+(?:required|necessary|essential)|(?:don't|do not)\s+need|would\s+be\s+great|also\s+considered|can\s+be\s+an?\s+exception|welcome\s+to\s+apply)\b"
 _CLAIM = r"(?:^\W*|\b(?:have|hold|possess|education|degree|qualifications|requirements|enrolled\s+in|graduated\s+from|obtaining)\s*[:,]?\s*)(?:an?\s+)?(?:relevant\s+)?(?:ph\.?\s*d\.?(?!\w)|doctoral\s+degree\b|doctorate\b)"
+#: Texts of which every demand holds one.
+DEMAND_WORDS = ("citizen", "person", "itar", "export", "usc", "national")
+
+
 
 
 def wants_doctorate(title: Text, said: Text) -> Column:
