@@ -115,6 +115,8 @@ def role_priority(family: Column) -> Column:
 # -- years of experience
 
 _UNIT = r"(?:years?|yrs?)"
+#: Texts of which every figure holds one.
+YEAR_WORDS = ("year", "yr")
 _FLOOR = rf"(?<![\w-])(?:(?:at\s+least|(?:a\s+)?minimum(?:\s+of)?|no\s+less\s+than)\s+(?:{rules.WRITTEN_NUMBER}|\d{{1,2}})\s+{_UNIT}|(?:{rules.WRITTEN_NUMBER}|\d{{1,2}})\s+or\s+more\s+{_UNIT})\b"
 #: What a figure looks like: a range, one with a noun after it, one with a noun before it, and a bare one with a plus.
 RANGE = rf"\d{{1,2}}\s*(?:-|–|—|\s+to\s+)\s*\d{{1,2}}\s*{rules.PLUS}?\s*{_UNIT}\s+{rules.EXPERIENCE_CONTEXT}"
@@ -141,15 +143,27 @@ def written_floors(text: Column) -> Column:
         lead = F.regexp_extract(hit, flags(r"^(at\s+least|(?:a\s+)?minimum(?:\s+of)?|no\s+less\s+than)"), 1)
         return F.when(lead != "", F.concat_ws(" ", lead, number.cast("string"), unit)).otherwise(F.concat(number.cast("string"), F.lit("+ "), unit))
 
-    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.concat(gap, F.coalesce(said(hit), F.lit(""))))
+    def rewritten(part: Column) -> Column:
+        return F.array_join(F.zip_with(F.split(part, pattern, -1), F.regexp_extract_all(part, F.lit(pattern), F.lit(0)), lambda gap, hit: F.concat(gap, F.coalesce(said(hit), F.lit("")))), "")
+
+    def joined(windows: Column) -> Column:
+        """The text with each window rewritten, and what is between them."""
+        upto = F.transform(windows, lambda w: w["at"] + F.length(w["part"]))
+        each = F.zip_with(windows, F.concat(F.array(F.lit(0)), upto), lambda w, end: F.when(w.isNotNull(), F.concat(F.substring(text, end + 1, w["at"] - end), rewritten(w["part"]))).otherwise(F.substring(text, end + 1, F.length(text))))
+        return F.array_join(each, "")
+
     low = folded(text)
     marked = low.contains("least") | low.contains("minimum") | low.contains("less") | low.contains("more")
-    return F.when(marked & text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+    some = lambda ws: F.exists(ws, lambda w: F.rlike(w["part"], F.lit(pattern)))
+    return F.when(marked, bound(once(text, lambda t: near(t, YEAR_WORDS, [_FLOOR])), lambda ws: F.when(some(ws), joined(ws)).otherwise(text))).otherwise(text)
 
 
 def _optional(text: Column, at: Column) -> Column:
     """Whether the last header before a figure, or its own clause, makes it optional."""
-    clause = F.concat(F.element_at(F.split(F.substring(text, F.lit(1), at), r"[.;,\n]", -1), -1), F.regexp_extract(after(text, at, 2000), r"\A([^.;,\n]*)", 1))
+    ahead = F.substring(text, F.lit(1), at)
+    for mark in ".;,\n":
+        ahead = F.substring_index(ahead, mark, -1)
+    clause = F.concat(ahead, F.regexp_extract(after(text, at, 2000), r"\A([^.;,\n]*)", 1))
     words = F.lit(False)
     for w in rules.OPTIONAL_WORDS:
         words = words | F.lower(clause).contains(w)
@@ -176,16 +190,14 @@ def figures(description: Column) -> Column:
     def of(text: Column) -> Column:
         number = lambda hit, n: F.get(F.regexp_extract_all(hit, F.lit(r"(\d{1,2})"), F.lit(1)), F.lit(n)).cast("int")
 
-        low = folded(text)
-
-        def claimed(ranges: Column) -> Column:
+        def claimed(windows: Column, ranges: Column) -> Column:
             first = F.transform(
                 F.filter(ranges, lambda p: ~_instead_of_degree(text, p["start"])),
                 lambda p: F.struct(number(p["hit"], 0).alias("years"), number(p["hit"], 1).alias("high"), _optional(text, p["start"]).alias("optional"), F.lit(False).alias("open"), F.lit(True).alias("read")).cast(FIGURE),
             )
             each = F.concat(
-                F.transform(places_of_each(Text(text, low), (SINGLE, TRAILING)), lambda p: F.struct(p["start"].alias("start"), p["hit"].alias("hit"), F.lit(True).alias("read"))),
-                F.transform(places_of(text, BARE), lambda p: F.struct(p["start"].alias("start"), p["hit"].alias("hit"), once(before(text, p["start"], rules.SECTION_REACH), lambda t: found(t, (*rules.REQUIRED_HEADERS, *rules.PREFERRED_HEADERS))).alias("read"))),
+                F.transform(places_near(windows, (SINGLE, TRAILING)), lambda p: F.struct(p["start"].alias("start"), p["hit"].alias("hit"), F.lit(True).alias("read"))),
+                F.transform(places_near(windows, (BARE,)), lambda p: F.struct(p["start"].alias("start"), p["hit"].alias("hit"), once(before(text, p["start"], rules.SECTION_REACH), lambda t: found(t, (*rules.REQUIRED_HEADERS, *rules.PREFERRED_HEADERS))).alias("read"))),
             )
             free = F.filter(each, lambda p: ~F.exists(ranges, lambda r: (r["start"] <= p["start"]) & (p["start"] < r["end"])) & ~_instead_of_degree(text, p["start"]) & ~found(before(text, p["start"], 90), rules.COLLECTIVE))
 
@@ -198,7 +210,7 @@ def figures(description: Column) -> Column:
 
             return F.concat(first, F.transform(free, single))
 
-        return bound(places_of(text, RANGE), claimed)
+        return bound(once(text, lambda t: near(t, YEAR_WORDS, (RANGE, SINGLE, TRAILING, BARE))), lambda ws: bound(places_near(ws, (RANGE,)), lambda ranges: claimed(ws, ranges)))
 
     text = F.coalesce(description, F.lit(""))
     return F.when(folded(text).rlike("(?<![a-z])(?:year|yr)"), bound(written_floors(text), of)).otherwise(F.array().cast(f"array<{FIGURE}>"))
@@ -234,6 +246,10 @@ def title_years(title: Column) -> Column:
 DEMANDS = (*[p.replace(".", r"\.") for p in rules.CITIZEN_PHRASES], *rules.CITIZEN_PATTERNS)
 
 
+#: Texts of which every demand holds one.
+DEMAND_WORDS = ("citizen", "person", "itar", "export", "usc", "national")
+
+
 def demands_citizenship(said: Text) -> Column:
     """Whether a demand for citizenship stands without a way to a licence within 200 code points of it."""
     shut = lambda p: ~found(F.regexp_replace(around(said.text, p["start"], p["end"], rules.LICENCE_REACH), flags(rules.LICENCE_CLOSED), " "), rules.LICENCE_ROUTES)
@@ -249,10 +265,6 @@ _SECTION_KINDS = "(?:required|minimum|basic|preferred|desired)"
 _CLAUSE = rf"[.;]\s+(?=[A-Z])|\n+|\s[-*•]\s+|(?=\b{_SECTION_KINDS}\s+(?:qualifications|requirements)\b)|(?<!{_SECTION_KINDS}\s)\b(?=(?:qualifications|requirements)\b)"
 _NOT_NEEDED = r"\b(?:preferred|optional|ideally|beneficial|a\s+(?:plus|bonus)|nice[- ]to[- ]have|not\s+(?:required|necessary|essential)|(?:don't|do not)\s+need|would\s+be\s+great|also\s+considered|can\s+be\s+an?\s+exception|welcome\s+to\s+apply)\b"
 _CLAIM = r"(?:^\W*|\b(?:have|hold|possess|education|degree|qualifications|requirements|enrolled\s+in|graduated\s+from|obtaining)\s*[:,]?\s*)(?:an?\s+)?(?:relevant\s+)?(?:ph\.?\s*d\.?(?!\w)|doctoral\s+degree\b|doctorate\b)"
-#: Texts of which every demand holds one.
-DEMAND_WORDS = ("citizen", "person", "itar", "export", "usc", "national")
-
-
 
 
 def wants_doctorate(title: Text, said: Text) -> Column:
