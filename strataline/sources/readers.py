@@ -218,12 +218,13 @@ def markdown_roles(lists: DataFrame, today, key: str = "list_key", body: str = "
     rows = lines.select(key, "line", "raw", cells.alias("c")).where((F.size("c") >= 4) & ~F.lower(F.get("c", 0)).isin("company", "name", "company name", "role", "position", "location"))
     plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(text.html_to_text(x), r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"[*_`]+", ""))
     link = F.nullif(F.regexp_extract("raw", r"(https?://[^\s)\"'>|]+)", 1), F.lit(""))
-    own = plain(F.get("c", 0))
+    # each cell is a column of its own, so that it is read once
+    read = rows.select(key, "line", plain(F.get("c", 0)).alias("own"), plain(F.get("c", 1)).alias("title"), plain(F.get("c", 2)).alias("location"), link.alias("link"), plain(F.element_at("c", -1)).alias("last"), F.col("raw").contains("🔒").alias("locked"))
+    own, last = F.col("own"), F.col("last")
     w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = F.last(F.when(~own.startswith("↳") & (own != ""), own), ignorenulls=True).over(w)
-    last = plain(F.element_at("c", -1))
     age = F.regexp_extract(last, r"^(\d+)d$", 1).try_cast("int")
-    named = rows.select(key, "line", carried.alias("company"), plain(F.get("c", 1)).alias("title"), plain(F.get("c", 2)).alias("location"), link.alias("link"), F.coalesce(F.date_sub(F.lit(today), age), dates.parse_date(last, today)).alias("listed_on"), F.col("raw").contains("🔒").alias("locked"))
+    named = read.select(key, "line", carried.alias("company"), "title", "location", "link", F.coalesce(F.date_sub(F.lit(today), age), dates.parse_date(last, today)).alias("listed_on"), "locked")
     return named.where("not locked").drop("locked")
 
 
