@@ -137,6 +137,9 @@ def resolve(imported: DataFrame, stored: DataFrame, threshold: float = 0.75, mos
     """
     rows = imported.select("row_number", "company", "title", "url", "location", urls.normalized(F.col("url")).alias("u"), text.company_tight_key(F.col("company")).alias("c"), text.title_tokens(F.col("title")).alias("t"))
     jobs = stored.select("id", "location", "is_applied", urls.normalized(F.col("official_url")).alias("u"), text.company_tight_key(F.col("company")).alias("c"), text.title_tokens(F.col("title")).alias("t"))
+    # saved, as several joins read them, and links and titles would be worked out anew for each
+    scratch = Scratch(imported.sparkSession, "resolve")
+    rows, jobs = scratch.save(rows, "rows"), scratch.save(jobs, "jobs")
     blank = (F.col("u").isNull()) & ((F.trim(F.coalesce("company", F.lit(""))) == "") | (F.trim(F.coalesce("title", F.lit(""))) == ""))
     unusable = rows.where(blank)
     rows = rows.where(~blank)
@@ -151,8 +154,6 @@ def resolve(imported: DataFrame, stored: DataFrame, threshold: float = 0.75, mos
     lone = jobs.where("u is not null").groupBy(strip(F.col("u")).alias("p")).agg(F.min("id").alias("job_id"), F.count("*").alias("n")).where("n = 1")
     by_path = decided(rest.withColumn("p", strip(F.col("u"))).join(lone, "p").select("row_number", "job_id"), "path")
     rest = rest.join(by_path, "row_number", "left_anti").where("c <> ''")
-    # saved, as several joins read them
-    scratch = Scratch(imported.sparkSession, "resolve")
     titles = scratch.save(rest.select("row_number", "c", "t", F.col("location").alias("wanted")), "titles")
     offers = scratch.save(jobs.where("c <> ''").select("c", F.col("t").alias("o"), F.col("id").alias("job_id"), "is_applied", F.col("location").alias("place")), "offers")
     same = titles.join(offers, (titles["c"] == offers["c"]) & (titles["t"] == offers["o"])).select("row_number", "wanted", "job_id", "is_applied", "place", F.lit(True).alias("same"))
