@@ -5,7 +5,8 @@ Layout, as land() writes it by Spark's own writers:
     listings/board=<board>/part-*.json       external_id, title, location, url
     details/board=<board>/external_id=<id>/part-*.txt
 
-Each board is a partition of the scan.  Filters that Spark pushes down are held
+Each board is a partition of the scan; one whose listing passes PART_BYTES is
+several, by parts of the listing.  Filters that Spark pushes down are held
 against the listing before any details are read, so the details of a posting
 that is rejected by its title or place are never opened.  Filters on other
 columns, and kinds that aren't known here, stay with Spark.
@@ -74,9 +75,29 @@ def known(told: Filter) -> bool:
     return (type(told) in _TESTS or isinstance(told, IsNull | IsNotNull)) and len(told.attribute) == 1 and told.attribute[0] in ("board", *LISTING)
 
 
+#: Bytes of a board's listing that one partition of the scan reads, about; the details of its postings are opened there.
+PART_BYTES = 256 << 10
+#: Postings of a part of a listing at most.
+PART_ROWS = 1000
+
+
 @dataclass
 class Board(InputPartition):
     name: str
+    files: tuple[str, ...]
+
+
+def shares(files: list[tuple[str, int]], most: int) -> list[tuple[str, ...]]:
+    """Names of files (name, bytes) in order, put together up to `most` bytes; one at least."""
+    out: list[list[str]] = [[]]
+    size = 0
+    for name, n in files:
+        if out[-1] and size + n > most:
+            out.append([])
+            size = 0
+        out[-1].append(name)
+        size += n
+    return [tuple(x) for x in out]
 
 
 class BoardReader(DataSourceReader):
@@ -104,25 +125,32 @@ class BoardReader(DataSourceReader):
             return []
         names = sorted(unquote(f.base_name.partition("=")[2]) for f in store.get_file_info(fs.FileSelector(f"{root}/listings")) if f.base_name.startswith("board="))
         alone = [f for f in self.filters if f.attribute == ("board",)] if all(not isinstance(f, Not) for f in self.filters) else []
-        return [Board(n) for n in names if all(holds(f, {"board": n}) for f in alone)]
+        kept = [n for n in names if all(holds(f, {"board": n}) for f in alone)]
+        return [Board(n, files) for n in kept for files in shares([(f.base_name, f.size or 0) for f in self._parts(store, f"{root}/listings/board={part_name(n)}")], PART_BYTES)]
 
     def read(self, partition: Board | None) -> Iterator[tuple]:
         if partition is None:  # what Spark makes of no boards
             return
         store, root = self._open()
-        for line in self._lines(store, f"{root}/listings/board={part_name(partition.name)}"):
+        folder = f"{root}/listings/board={part_name(partition.name)}"
+        for line in (x for name in partition.files for x in self._read(store, f"{folder}/{name}")):
             row = json.loads(line) | {"board": partition.name}
             if all(holds(f, row) for f in self.filters):
                 details = "\n".join(self._lines(store, f"{root}/details/board={part_name(partition.name)}/external_id={part_name(row.get('external_id'))}"))
                 yield (row["board"], *[row.get(c) for c in LISTING], details or None)
 
-    def _lines(self, store, folder: str) -> Iterator[str]:
+    def _parts(self, store, folder: str) -> list:
         from pyarrow import fs
 
-        for f in sorted(store.get_file_info(fs.FileSelector(folder, allow_not_found=True)), key=lambda f: f.base_name):
-            if f.base_name.startswith("part-"):
-                with store.open_input_stream(f.path) as s:
-                    yield from s.read().decode().splitlines()
+        return sorted((f for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.base_name.startswith("part-")), key=lambda f: f.base_name)
+
+    def _read(self, store, path: str) -> list[str]:
+        with store.open_input_stream(path) as s:
+            return s.read().decode().splitlines()
+
+    def _lines(self, store, folder: str) -> Iterator[str]:
+        for f in self._parts(store, folder):
+            yield from self._read(store, f.path)
 
 
 class LandedBoards(DataSource):
@@ -142,7 +170,8 @@ class LandedBoards(DataSource):
 def land(postings: DataFrame, path: str) -> None:
     """Writes postings of SCHEMA as listings and details."""
     told = postings.select(*[F.col(c).cast("string").alias(c) for c in ("board", *LISTING, "description")])
-    told.select("board", *LISTING).write.mode("overwrite").partitionBy("board").json(f"{path}/listings")
+    # parts of a listing are of bounded size, so that tasks share a large board
+    told.select("board", *LISTING).write.mode("overwrite").option("maxRecordsPerFile", PART_ROWS).partitionBy("board").json(f"{path}/listings")
     told.where("description is not null").select("board", "external_id", "description").write.mode("overwrite").partitionBy("board", "external_id").text(f"{path}/details")
 
 
