@@ -17,6 +17,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,11 +102,23 @@ def held(low: Column, row: Column) -> Column:
     return F.exists(row["n"], lambda n: F.contains(low, n))
 
 
-def found(text: Column | Text, patterns: Iterable[str] | str, capitals: bool = False) -> Column:
-    """Whether any of the patterns is found; false for a null text.  In a Text each pattern is tried only where its needle is."""
+def holds(low: Column, words: Sequence[str]) -> Column:
+    """Whether a folded text holds any of the words."""
+    return reduce(or_, [F.contains(low, F.lit(w)) for w in words])
+
+
+def found(text: Column | Text, patterns: Iterable[str] | str, capitals: bool = False, words: Sequence[str] = ()) -> Column:
+    """Whether any of the patterns is found; false for a null text.
+
+    In a Text each pattern is tried only where its needle is, and none where
+    none of `words` is, one of which every match has to hold.
+    """
     told = [patterns] if isinstance(patterns, str) else list(patterns)
     if isinstance(text, Text):
-        return F.coalesce(F.exists(table(told, capitals), lambda r: held(text.low, r) & F.rlike(text.text, r["p"])), F.lit(False))
+        if words and not hold_one(told, words):
+            raise ValueError(f"matches without {words}")
+        some = F.exists(table(told, capitals), lambda r: held(text.low, r) & F.rlike(text.text, r["p"]))
+        return F.coalesce(holds(text.low, words) & some if words else some, F.lit(False))
     return F.coalesce(text.rlike(flags(any_of(told), capitals)), F.lit(False))
 
 
@@ -236,7 +250,8 @@ def near(text: Text, needles: Sequence[str], patterns: Sequence[str]) -> Column:
     checked = lambda ws: F.when(F.exists(ws, lambda w: F.rlike(w["part"], F.lit(_LONG))), whole).otherwise(ws)
     bind = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
     none = F.array().cast("array<struct<at:int,part:string,low:string>>")
-    return bind(pieces, lambda ps: F.when(F.size(ps) > 1, bind(windows(ps), checked)).otherwise(none))
+    # a plain search is far cheaper than splitting, and finds nothing in most texts
+    return F.when(holds(text.low, needles), bind(pieces, lambda ps: F.when(F.size(ps) > 1, bind(windows(ps), checked)).otherwise(none))).otherwise(none)
 
 
 def places_near(windows: Column, patterns: Iterable[str]) -> Column:

@@ -15,21 +15,21 @@ outside the country; a null employment type says nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strataline.functions import places
-from strataline.functions.positions import Text, after, around, before, flags, folded, found, held, how_many, last_is, near, once, places_near, table
+from strataline.functions.positions import Text, after, around, flags, folded, found, held, how_many, last_is, near, once, places_near, table
 from strataline.functions.positions import places as places_of
 from strataline.operators import rules
 
 
 @dataclass(frozen=True)
 class Rule:
-    """`outcome` if `says` is found in the text named `on`, and `unless` is not, and `given` (a name of a condition) holds."""
+    """`outcome` if `says` is found in the text named `on`, and `unless` is not, and `given` (a name of a condition) holds; whatever is said holds one of `words`."""
 
     number: int
     outcome: str
@@ -37,11 +37,12 @@ class Rule:
     says: Iterable[str] = ()
     unless: Iterable[str] = ()
     given: str = ""
+    words: Sequence[str] = ()
 
     def holds(self, texts: dict[str, Text], conditions: dict[str, Column]) -> Column:
         out = conditions[self.given] if self.given else F.lit(True)
         if self.says:
-            out = out & found(texts[self.on], self.says)
+            out = out & found(texts[self.on], self.says, words=self.words)
         if self.unless:
             out = out & ~found(texts[self.on], self.unless)
         return out
@@ -128,12 +129,14 @@ _NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven e
 _NUMBERS |= {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
 _INSTEAD = flags(r"\b(?:may|can)\s+be\s+(?:considered|accepted)\s+(?:in\s+place\s+of|in\s+lieu\s+of)\s+(?:an?\s+)?(?:bachelor|master)(?:['’]?s)?\s+degree\b")
 
+#: Code points after a figure that are cut out with it; most clauses end there.
+CLAUSE_REACH = 2000
 FIGURE = "struct<years:int,high:int,optional:boolean,open:boolean,read:boolean>"
 
 
-def written_floors(text: Column) -> Column:
-    """The text with minimums in words as digits: "at least five years" as "at least 5 years", "five or more years" as "5+ years"."""
-    pattern = flags(_FLOOR)
+def written_floors(whole: Text) -> Column:
+    """struct(text, low): the text with minimums in words as digits: "at least five years" as "at least 5 years", "five or more years" as "5+ years"."""
+    text, low, pattern = whole.text, whole.low, flags(_FLOOR)
     values = F.create_map(*[F.lit(x) for kv in _NUMBERS.items() for x in kv])
 
     def said(hit: Column) -> Column:
@@ -152,32 +155,54 @@ def written_floors(text: Column) -> Column:
         each = F.zip_with(windows, F.concat(F.array(F.lit(0)), upto), lambda w, end: F.when(w.isNotNull(), F.concat(F.substring(text, end + 1, w["at"] - end), rewritten(w["part"]))).otherwise(F.substring(text, end + 1, F.length(text))))
         return F.array_join(each, "")
 
-    low = folded(text)
     marked = low.contains("least") | low.contains("minimum") | low.contains("less") | low.contains("more")
     some = lambda ws: F.exists(ws, lambda w: F.rlike(w["part"], F.lit(pattern)))
-    return F.when(marked, bound(once(text, lambda t: near(t, YEAR_WORDS, [_FLOOR])), lambda ws: F.when(some(ws), joined(ws)).otherwise(text))).otherwise(text)
+    changed = lambda ws: bound(joined(ws), lambda new: F.struct(new.alias("text"), folded(new).alias("low")))
+    same = F.struct(text.alias("text"), low.alias("low"))
+    return F.when(marked, bound(near(whole, YEAR_WORDS, [_FLOOR]), lambda ws: F.when(some(ws), changed(ws)).otherwise(same))).otherwise(same)
 
 
-def _optional(text: Column, at: Column) -> Column:
+def _around(text: Column, p: Column) -> Column:
+    """A place's (start, hit) with what lies ahead of it and from it on, cut out of the text once: each cut costs the text up to there."""
+    most = rules.SECTION_REACH
+    cut = F.substring(text, F.greatest(p["start"] - most, F.lit(0)) + 1, F.least(p["start"], F.lit(most)) + F.length(p["hit"]) + CLAUSE_REACH)
+    size = F.least(p["start"], F.lit(most))
+    parts = lambda c: F.struct(p["start"].alias("start"), p["hit"].alias("hit"), F.substring(c, F.lit(1), size).alias("ahead"), F.substring(c, size + 1, F.length(p["hit"]) + CLAUSE_REACH).alias("rest"))
+    return bound(cut, parts)
+
+
+def _optional(text: Column, p: Column) -> Column:
     """Whether the last header before a figure, or its own clause, makes it optional."""
-    ahead = F.substring(text, F.lit(1), at)
-    for mark in ".;,\n":
-        ahead = F.substring_index(ahead, mark, -1)
-    clause = F.concat(ahead, F.regexp_extract(after(text, at, 2000), r"\A([^.;,\n]*)", 1))
-    words = F.lit(False)
-    for w in rules.OPTIONAL_WORDS:
-        words = words | F.lower(clause).contains(w)
-    return last_is(before(text, at, rules.SECTION_REACH), rules.PREFERRED_HEADERS, rules.REQUIRED_HEADERS) | words
 
+    def clause_ahead(ahead: Column) -> Column:
+        for mark in ".;,\n":
+            ahead = F.substring_index(ahead, mark, -1)
+        return ahead
+
+    # a clause that begins or ends beyond what was cut out is cut out of the whole text
+    known = (p["start"] <= rules.SECTION_REACH) | p["ahead"].rlike(r"[.;,\n]")
+    ahead = F.when(known, clause_ahead(p["ahead"])).otherwise(clause_ahead(F.substring(text, F.lit(1), p["start"])))
+    ends = p["rest"].rlike(r"[.;,\n]") | (F.length(p["rest"]) < F.length(p["hit"]) + CLAUSE_REACH)
+    rest = F.when(ends, p["rest"]).otherwise(F.substring(text, p["start"] + 1, F.length(text)))
+    clause = F.lower(F.concat(ahead, F.regexp_extract(rest, r"\A([^.;,\n]*)", 1)))
+
+    def has_word(c: Column) -> Column:
+        words = F.lit(False)
+        for w in rules.OPTIONAL_WORDS:
+            words = words | c.contains(w)
+        return words
 
-def _instead_of_degree(text: Column, at: Column) -> Column:
+    return last_is(p["ahead"], rules.PREFERRED_HEADERS, rules.REQUIRED_HEADERS) | bound(clause, has_word)
+
+
+def _instead_of_degree(p: Column) -> Column:
     """Whether the figure is what may stand for a degree: the only one ahead of these words in its clause."""
-    clause = F.regexp_extract(after(text, at, 250), r"\A([^.;!?\n]*)", 1)
+    clause = F.regexp_extract(F.substring(p["rest"], F.lit(1), F.lit(250)), r"\A([^.;!?\n]*)", 1)
     figures = F.regexp_count(F.regexp_extract(clause, rf"(?s)\A(.*?){_INSTEAD}", 1), F.lit(flags(rf"(?<![\w-])(?:{rules.WRITTEN_NUMBER}|\d{{1,2}})\s*{rules.PLUS}?\s*{_UNIT}\b")))
     return clause.rlike(_INSTEAD) & (figures == 1)
 
 
-def figures(description: Column) -> Column:
+def figures(description: Column | Text) -> Column:
     """Figures of experience: array of (years, high, optional, open, read).
 
     Ranges claim their text first and count by their low end; single figures
@@ -187,33 +212,40 @@ def figures(description: Column) -> Column:
     those that stand for a degree, are left out.
     """
 
-    def of(text: Column) -> Column:
+    def of(said: Text) -> Column:
+        text = said.text
         number = lambda hit, n: F.get(F.regexp_extract_all(hit, F.lit(r"(\d{1,2})"), F.lit(1)), F.lit(n)).cast("int")
+        last = lambda p, n: F.substring(p["ahead"], F.greatest(F.length(p["ahead"]) - n, F.lit(0)) + 1, F.lit(n))
 
         def claimed(windows: Column, ranges: Column) -> Column:
             first = F.transform(
-                F.filter(ranges, lambda p: ~_instead_of_degree(text, p["start"])),
-                lambda p: F.struct(number(p["hit"], 0).alias("years"), number(p["hit"], 1).alias("high"), _optional(text, p["start"]).alias("optional"), F.lit(False).alias("open"), F.lit(True).alias("read")).cast(FIGURE),
+                F.filter(F.transform(ranges, lambda p: _around(text, p)), lambda p: ~_instead_of_degree(p)),
+                lambda p: F.struct(number(p["hit"], 0).alias("years"), number(p["hit"], 1).alias("high"), _optional(text, p).alias("optional"), F.lit(False).alias("open"), F.lit(True).alias("read")).cast(FIGURE),
             )
-            each = F.concat(
-                F.transform(places_near(windows, (SINGLE, TRAILING)), lambda p: F.struct(p["start"].alias("start"), p["hit"].alias("hit"), F.lit(True).alias("read"))),
-                F.transform(places_near(windows, (BARE,)), lambda p: F.struct(p["start"].alias("start"), p["hit"].alias("hit"), once(before(text, p["start"], rules.SECTION_REACH), lambda t: found(t, (*rules.REQUIRED_HEADERS, *rules.PREFERRED_HEADERS))).alias("read"))),
-            )
-            free = F.filter(each, lambda p: ~F.exists(ranges, lambda r: (r["start"] <= p["start"]) & (p["start"] < r["end"])) & ~_instead_of_degree(text, p["start"]) & ~found(before(text, p["start"], 90), rules.COLLECTIVE))
+            outside = lambda ps: F.filter(ps, lambda p: ~F.exists(ranges, lambda r: (r["start"] <= p["start"]) & (p["start"] < r["end"])))
+            cut = lambda patterns, read: F.transform(F.transform(outside(places_near(windows, patterns)), lambda p: _around(text, p)), lambda p: p.withField("read", read(p)))
+            headed = lambda p: once(p["ahead"], lambda t: found(t, (*rules.REQUIRED_HEADERS, *rules.PREFERRED_HEADERS)))
+            each = F.concat(cut((SINGLE, TRAILING), lambda p: F.lit(True)), cut((BARE,), headed))
+            free = F.filter(each, lambda p: ~_instead_of_degree(p) & ~found(last(p, 90), rules.COLLECTIVE))
 
             def single(p: Column) -> Column:
-                at = p["start"] + F.length(F.regexp_extract(p["hit"], r"\A(\D*)", 1))
-                end = at + F.length(F.regexp_extract(p["hit"], r"(\d{1,2})", 1))
-                ahead = before(text, at, 26)
-                open_ = ~found(ahead, rules.CEILING) & (found(after(text, end, 22), rules.FLOOR_AFTER) | found(ahead, rules.FLOOR_BEFORE))
-                return F.struct(number(p["hit"], 0).alias("years"), F.lit(None).cast("int").alias("high"), _optional(text, p["start"]).alias("optional"), open_.alias("open"), p["read"].alias("read")).cast(FIGURE)
+                skip = F.length(F.regexp_extract(p["hit"], r"\A(\D*)", 1))
+                end = skip + F.length(F.regexp_extract(p["hit"], r"(\d{1,2})", 1))
+                # up to 26 code points ahead of the number itself
+                whole = F.concat(last(p, 26), F.substring(p["hit"], F.lit(1), skip))
+                ahead = F.substring(whole, F.greatest(F.length(whole) - 26, F.lit(0)) + 1, F.lit(26))
+                is_open = lambda a: ~found(a, rules.CEILING) & (found(after(p["rest"], end, 22), rules.FLOOR_AFTER) | found(a, rules.FLOOR_BEFORE))
+                return F.struct(number(p["hit"], 0).alias("years"), F.lit(None).cast("int").alias("high"), _optional(text, p).alias("optional"), bound(ahead, is_open).alias("open"), p["read"].alias("read")).cast(FIGURE)
 
             return F.concat(first, F.transform(free, single))
 
-        return bound(once(text, lambda t: near(t, YEAR_WORDS, (RANGE, SINGLE, TRAILING, BARE))), lambda ws: bound(places_near(ws, (RANGE,)), lambda ranges: claimed(ws, ranges)))
+        return bound(near(said, YEAR_WORDS, (RANGE, SINGLE, TRAILING, BARE)), lambda ws: bound(places_near(ws, (RANGE,)), lambda ranges: claimed(ws, ranges)))
+
+    def told(said: Text) -> Column:
+        some = (said.low.contains("year") | said.low.contains("yr")) & said.low.rlike("(?<![a-z])(?:year|yr)")
+        return F.when(some, bound(written_floors(said), lambda t: of(Text(t["text"], t["low"])))).otherwise(F.array().cast(f"array<{FIGURE}>"))
 
-    text = F.coalesce(description, F.lit(""))
-    return F.when(folded(text).rlike("(?<![a-z])(?:year|yr)"), bound(written_floors(text), of)).otherwise(F.array().cast(f"array<{FIGURE}>"))
+    return told(description) if isinstance(description, Text) else once(F.coalesce(description, F.lit("")), told)
 
 
 def years_of(told: Column) -> Column:
@@ -263,6 +295,8 @@ def demands_citizenship(said: Text) -> Column:
 
 _SECTION_KINDS = "(?:required|minimum|basic|preferred|desired)"
 _CLAUSE = rf"[.;]\s+(?=[A-Z])|\n+|\s[-*•]\s+|(?=\b{_SECTION_KINDS}\s+(?:qualifications|requirements)\b)|(?<!{_SECTION_KINDS}\s)\b(?=(?:qualifications|requirements)\b)"
+#: A cheap look at a folded text: whatever is a doctorate in `rules` holds this.
+_DOCTOR = r"ph[^a-z]*+d|doctor"
 _NOT_NEEDED = r"\b(?:preferred|optional|ideally|beneficial|a\s+(?:plus|bonus)|nice[- ]to[- ]have|not\s+(?:required|necessary|essential)|(?:don't|do not)\s+need|would\s+be\s+great|also\s+considered|can\s+be\s+an?\s+exception|welcome\s+to\s+apply)\b"
 _CLAIM = r"(?:^\W*|\b(?:have|hold|possess|education|degree|qualifications|requirements|enrolled\s+in|graduated\s+from|obtaining)\s*[:,]?\s*)(?:an?\s+)?(?:relevant\s+)?(?:ph\.?\s*d\.?(?!\w)|doctoral\s+degree\b|doctorate\b)"
 
@@ -280,16 +314,19 @@ def wants_doctorate(title: Text, said: Text) -> Column:
         optional = found(clause, _NOT_NEEDED) | (acc["soft"] & ~found(clause, rules.REQUIRED_HEADERS))
         other = found(clause, rules.OTHER_DEGREE)
         asked = found(clause, rules.DOCTOR_REQUIRED) | (acc["section"] & found(clause, _CLAIM))
-        soft = F.when(found(clause, rules.PREFERRED_HEADERS) | found(clause, rules.REQUIRED_HEADERS), last_is(clause, rules.PREFERRED_HEADERS, rules.REQUIRED_HEADERS)).otherwise(acc["soft"])
-        section = acc["section"] | found(clause, (*rules.PREFERRED_HEADERS, *rules.REQUIRED_HEADERS))
-        return F.struct((acc["hit"] | (wanted & ~optional & ~other & asked)).alias("hit"), soft.alias("soft"), section.alias("section"))
+        hit = acc["hit"] | (wanted & ~optional & ~other & asked)
+        soft = lambda headed: F.when(headed, last_is(clause, rules.PREFERRED_HEADERS, rules.REQUIRED_HEADERS)).otherwise(acc["soft"])
+        return bound(found(clause, (*rules.PREFERRED_HEADERS, *rules.REQUIRED_HEADERS)), lambda headed: F.struct(hit.alias("hit"), soft(headed).alias("soft"), (acc["section"] | headed).alias("section")))
 
     start = F.struct(F.lit(False).alias("hit"), F.lit(False).alias("soft"), F.lit(False).alias("section"))
-    return found(title, rules.DOCTOR_TITLE) | F.coalesce(F.when(found(said, rules.DOCTORATE), F.aggregate(cut, start, step, lambda a: a["hit"])), F.lit(False))
+    return found(title, rules.DOCTOR_TITLE) | F.coalesce(F.when(said.low.rlike(_DOCTOR) & found(said, rules.DOCTORATE), F.aggregate(cut, start, step, lambda a: a["hit"])), F.lit(False))
 
 
 # -- the gate
 
+#: Texts of which every match of these rules holds one.
+CLEARANCE_WORDS = ("clear", "secret", "sci", "polygraph")
+SPONSOR_WORDS = ("sponsor",)
 REJECTS = (
     Rule(1, "NON_TARGET_ROLE", given="other_family"),
     Rule(2, "NON_TARGET_ROLE", given="unwanted_family"),
@@ -308,7 +345,7 @@ REJECTS = (
     Rule(15, "SYSTEMS_LANGUAGE_ONLY", given="systems_only"),
     Rule(16, "CITIZENSHIP_BLOCKER", given="citizenship"),
     Rule(17, "CLEARANCE_BLOCKER", given="clearance"),
-    Rule(18, "SPONSORSHIP_BLOCKER", "both", (*rules.SPONSOR_PHRASES, *rules.SPONSOR_PATTERNS)),
+    Rule(18, "SPONSORSHIP_BLOCKER", "both", (*rules.SPONSOR_PHRASES, *rules.SPONSOR_PATTERNS), words=SPONSOR_WORDS),
 )
 NOTES = (
     Rule(1, "NO_HARD_BLOCKER"),
@@ -327,7 +364,7 @@ def _hardware(title: Text, description: Text) -> Column:
 def _systems_only(both: Text) -> Column:
     """Whether C or C++ are named and no other language."""
     *plain, capital = rules.SYSTEMS_LANGUAGES
-    named = found(both, plain) | found(both, capital, capitals=True)
+    named = found(both, plain) | (both.text.contains("C") & found(both, capital, capitals=True))
     return named & ~found(both, rules.OTHER_LANGUAGES) & ~found(both, rules.CAPITAL_LANGUAGES, capitals=True)
 
 
@@ -362,7 +399,7 @@ def gate(title: Column, description: Column, location: Column, employment_type:
             "not_yet_other": ~((family == "OTHER") | unwanted | paid),
             "systems_only": _systems_only(both),
             "citizenship": known["citizenship"],
-            "clearance": found(both, (*rules.CLEARANCE_PHRASES, *rules.CLEARANCE_PATTERNS)) | found(title, rules.CLEARANCE_TITLES),
+            "clearance": found(both, (*rules.CLEARANCE_PHRASES, *rules.CLEARANCE_PATTERNS), words=CLEARANCE_WORDS) | found(title, rules.CLEARANCE_TITLES),
         })
         early = ~over(required, rules.EARLY_YEARS) & ~over(years["ceiling"], most_years) & (found(title, rules.EARLY_CAREER) | found(description, rules.EARLY_CAREER) | required.isNotNull())
         notes = all_outcomes(NOTES, texts, {
@@ -379,7 +416,7 @@ def gate(title: Column, description: Column, location: Column, employment_type:
     known = lambda t: F.struct(
         *[t[c].alias(c) for k in texts for c in (k, f"{k}_low")],
         role_family(t["title"]).alias("family"),
-        bound(figures(t["description"]), years_of).alias("years"),
+        bound(figures(Text(t["description"], t["description_low"])), years_of).alias("years"),
         title_years(t["title"]).alias("title_years"),
         places.kind_of_place(location).alias("where"),
         demands_citizenship(Text(t["both"], t["both_low"])).alias("citizenship"),
